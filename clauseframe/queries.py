@@ -1,0 +1,11 @@
+"""Registry of the engine's queries: name -> (spark, sf_dir) -> DataFrame, and the same in SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "severity_summary"
