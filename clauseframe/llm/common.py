@@ -59,13 +59,13 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
 
 
 class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash, computed once for each word until ``most`` are held."""
+    """Word (bytes or str) -> 64-bit hash, computed once for each word until ``most`` are held."""
 
     def __init__(self, most: int = 400_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         import xxhash
 
         if len(self) >= self.most:
@@ -73,7 +73,7 @@ class WordHashes(dict):
         self[word] = value = xxhash.xxh64_intdigest(word, self.seed)
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chat_digest
 from .common import table
+from .packing import pack_digest
+from .quality import quality_scores
 from .secrets import secret_digest
 from .topk import embedding_topk
 
@@ -16,6 +18,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_topk(table(spark, sf_dir, "embeddings"))
 
@@ -52,10 +58,16 @@ FROM f GROUP BY conv_id
 """
 
 
+def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_topk": op8_exact_topk,
     "op9_chat_format": op9_chat_format,
+    "op10_best_two_fit": op10_best_two_fit,
 }
 
 ORACLE_SQL: dict[str, str] = {
