@@ -12,6 +12,7 @@ from .common import table
 from .packing import pack_digest
 from .quality import quality_scores
 from .secrets import secret_digest
+from .tokencount import token_counts
 from .topk import embedding_topk
 
 
@@ -23,6 +24,10 @@ def op3_bpe_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,6 +75,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_bpe_distinct_words": op3_bpe_distinct_words,
+    "op5_token_counts": op5_token_counts,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_topk": op8_exact_topk,
     "op9_chat_format": op9_chat_format,
