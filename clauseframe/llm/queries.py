@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_digest
 from .chat import chat_digest
 from .common import table
+from .fingerprint import neighbour_digest
 from .packing import pack_digest
 from .quality import quality_scores
 from .secrets import secret_digest
@@ -20,6 +21,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_order_minhash": op2_order_minhash,
     "op3_bpe_distinct_words": op3_bpe_distinct_words,
     "op5_token_counts": op5_token_counts,
     "op7_quality_classifier": op7_quality_classifier,
