@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import WordIds
+from .tokens import word_ids
 
 CAPACITY = 2048
 END_ID = 0
@@ -31,7 +31,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     columns = ("piece", "start", "length", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(vocabulary), np.array([end_id], "<u4").tobytes()
+        words, end = word_ids(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

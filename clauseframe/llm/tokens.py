@@ -38,20 +38,43 @@ def units(text: str) -> list[str]:
 
 
 class WordIds(dict):
-    """Word (bytes, without white space) -> its ids as little-endian unsigned 32-bit, encoded once until ``most`` are held.
+    """Word (bytes, without white space) -> its ids as little-endian unsigned 32-bit, encoded once while it is held.
 
-    For tokenizers that drop white space: the ids of a text are those of its words, one after another.
+    For tokenizers that lower-case and drop white space: the ids of a text are those of its words, one after another. Two
+    generations of at most ``most`` words are held; a word that is met again moves to the younger one, so that frequent
+    words stay.
     """
 
-    def __init__(self, name: str, most: int = 300_000):
+    def __init__(self, name: str, special: bool = True, most: int = 500_000):
         super().__init__()
-        self.tokenizer, self.most = load(name), most
+        self.tokenizer, self.most, self.old = load(name), most, {}
+        self.tokenizer.encode_special_tokens = not special
 
     def __missing__(self, word: bytes) -> bytes:
+        value = self.old.get(word)
+        if value is None:
+            value = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[word] = value = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = value
         return value
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        data = text.encode()
+        if b"<|" not in data:  # else lower-casing could spell a special token
+            data = data.lower()
+        return b"".join(map(self.__getitem__, data.split()))
+
+
+_held: dict[tuple, WordIds] = {}
+
+
+def word_ids(name: str, special: bool = True) -> WordIds:
+    """The process's own ``WordIds``: the tasks that one Python worker runs after another share it.
+
+    ``special`` says whether special tokens' strings in a text become special ids.
+    """
+    if (name, special) not in _held:
+        _held[name, special] = WordIds(name, special)
+    return _held[name, special]
