@@ -93,3 +93,54 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
         out *= np.uint64(0x9E3779B97F4A7C15)
         out += h[i : len(h) - n + 1 + i]
     return mixed(out)
+
+
+class Words:
+    """Hashes of the words of a text in UTF-8, all at once: words are what stands between ASCII white space.
+
+    A word's hash is a polynomial modulo 2 ** 64 over a random value for each byte, mixed. It comes from prefix sums: the
+    sum over a word is divided by the power at which it starts, which an odd base allows.
+    """
+
+    SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+    VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    BASE = 0x9E6C63D0876A9A35
+
+    def __init__(self):
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if n > len(self.powers):
+            size = 1 << n.bit_length()
+            for name, base in (("powers", self.BASE), ("inverses", pow(self.BASE, -1, 2**64))):
+                all_ = np.full(size, base, np.uint64)
+                all_[0] = 1
+                setattr(self, name, np.cumprod(all_, dtype=np.uint64))
+
+    def bounds(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the words, in bytes."""
+        space = np.ones(len(data) + 2, bool)
+        space[1:-1] = self.SPACE[np.frombuffer(data, np.uint8)]
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        return edges[::2], edges[1::2]
+
+    def hashes(self, data: bytes) -> np.ndarray:
+        starts, ends = self.bounds(data)
+        self.grow(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.VALUES[np.frombuffer(data, np.uint8)] * self.powers[: len(data)], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+
+
+def delta_bytes(ordered: np.ndarray) -> bytes:
+    """Ascending whole numbers as gaps, a byte each; 255 stands for that much and more to come."""
+    gaps = np.diff(ordered, prepend=ordered.dtype.type(0))
+    more = (gaps // 255).astype(np.int64)
+    out = np.full(len(gaps) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def from_delta_bytes(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 255]

@@ -13,6 +13,7 @@ from .fingerprint import neighbour_digest
 from .packing import pack_digest
 from .quality import quality_scores
 from .secrets import secret_digest
+from .substrings import substring_digest
 from .tokencount import token_counts
 from .topk import embedding_topk
 
@@ -33,6 +34,24 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS pos, words FROM w WHERE len(words) >= 13),
+h AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS win FROM p),
+m AS (SELECT win, min(doc_id) AS least FROM h GROUP BY win HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM h JOIN m USING (win) WHERE doc_id > least),
+g AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(CASE WHEN gone IS NULL THEN array_to_string(words, ' ')
+    ELSE array_to_string([words[i] FOR i IN range(1, len(words) + 1) IF NOT list_contains(gone, i)], ' ') END, '')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_order_minhash": op2_order_minhash,
     "op3_bpe_distinct_words": op3_bpe_distinct_words,
     "op5_token_counts": op5_token_counts,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_topk": op8_exact_topk,
     "op9_chat_format": op9_chat_format,
@@ -89,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_substring_dedup": OP6_SQL,
     "op8_exact_topk": OP8_SQL,
     "op9_chat_format": OP9_SQL,
 }
