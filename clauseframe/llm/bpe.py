@@ -25,9 +25,35 @@ from .common import shared_dir
 from .tokens import load, units
 
 VOCABULARY = "byte_bpe_50k.json"
-BLOCK, CHUNK, SHARD = 24_000_000, 2_000_000, 8_000_000
-PARTS = "block long, shard int, words array<string>, doc_ids array<long>, counts array<int>, codes binary"
-PARTS_ARROW = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("words", pa.list_(pa.string())), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.binary())])
+BLOCK, CHUNK, SHARD = 24_000_000, 500_000, 8_000_000
+PARTS = "block long, shard int, words binary, doc_ids array<long>, counts array<int>, codes binary"
+PARTS_ARROW = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.binary())])
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, compressed: all lowest bytes first, then all next ones, so that small numbers cost little."""
+    planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(numbers).to_bytes(4, "little") + pa.Codec("zstd", 3).compress(planes, asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = pa.Codec("zstd").decompress(data[4:], 4 * n, asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
+
+
+def packed_words(words: list[str]) -> bytes:
+    """Words, compressed; each is told from the next by its length, as it may hold any character."""
+    data = [w.encode() for w in words]
+    sizes, text = packed(np.array([len(w) for w in data], "<u4")), b"".join(data)
+    return len(sizes).to_bytes(4, "little") + sizes + len(text).to_bytes(4, "little") + pa.Codec("zstd", 3).compress(text, asbytes=True)
+
+
+def unpacked_words(data: bytes) -> list[str]:
+    at = 4 + int.from_bytes(data[:4], "little")
+    text = pa.Codec("zstd").decompress(data[at + 4 :], int.from_bytes(data[at : at + 4], "little"), asbytes=True)
+    ends = np.cumsum(unpacked(data[4:at]), dtype=np.int64).tolist()
+    return [text[s:e].decode() for s, e in zip([0, *ends], ends, strict=False)]
 
 
 class Codes(dict):
@@ -39,23 +65,30 @@ class Codes(dict):
 
 
 def block_rows(block: int, docs: list[tuple[int, np.ndarray]], codes: Codes, shards: int) -> Iterator[pa.RecordBatch]:
-    """The rows of one block: its words shard by shard, then its documents in chunks; positions count through the shards."""
+    """The rows of one block: its words shard by shard, sorted, then its documents in chunks.
+
+    A document is a list of ranks, frequent words first; the first chunk says where each rank's word stands in the shards.
+    """
     words = list(codes)
-    at = np.fromiter((zlib.crc32(w.encode()) % shards for w in words), np.int32, len(words))
-    order = np.argsort(at, kind="stable")
+    counts = np.bincount(np.concatenate([own for _, own in docs]), minlength=len(words))
+    by_rank = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(words), np.uint32)
+    rank[by_rank] = np.arange(len(words), dtype=np.uint32)
+    at = np.fromiter((zlib.crc32(w.encode()) % shards for w in words), np.int64, len(words))
+    order = np.array(sorted(range(len(words)), key=lambda i: (at[i], words[i])), np.int64)
     place = np.empty(len(words), np.uint32)
     place[order] = np.arange(len(words), dtype=np.uint32)
     row = lambda **x: pa.RecordBatch.from_arrays([pa.array([x.get(f.name)], f.type) for f in PARTS_ARROW], schema=PARTS_ARROW)
     for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
         if len(part):
-            yield row(block=block, shard=int(at[part[0]]), words=[words[i] for i in part])
+            yield row(block=block, shard=int(at[part[0]]), words=packed_words([words[i] for i in part]))
+    yield row(block=block, shard=-1, words=packed(place[by_rank]), doc_ids=[], counts=[], codes=packed(rank[:0]))
     start = size = 0
     for i, (_, own) in enumerate(docs):
         size += len(own)
-        if size >= CHUNK // 4 or i + 1 == len(docs):
+        if size >= CHUNK or i + 1 == len(docs):
             chunk = docs[start : i + 1]
-            packed = place[np.concatenate([c for _, c in chunk])] if size else place[:0]
-            yield row(block=block, shard=-1, doc_ids=[d for d, _ in chunk], counts=[len(c) for _, c in chunk], codes=packed.tobytes())
+            yield row(block=block, shard=-1, doc_ids=[d for d, _ in chunk], counts=[len(c) for _, c in chunk], codes=packed(rank[np.concatenate([c for _, c in chunk])]))
             start, size = i + 1, 0
 
 
@@ -77,7 +110,7 @@ def split_words(docs: DataFrame, shards: int) -> DataFrame:
 
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/words-{os.urandom(8).hex()}"
-    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PARTS).write.option("compression", "zstd").parquet(path)
+    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PARTS).write.parquet(path)
     return spark.read.schema(PARTS).parquet(path)
 
 
@@ -89,19 +122,20 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = split_words(docs, max(1, chars // SHARD))
-    words, chunks = parts.where("shard >= 0").select("block", "shard", "words"), parts.where("shard < 0").select("block", "doc_ids", "counts", "codes")
+    words, chunks = parts.where("shard >= 0").select("block", "shard", "words"), parts.where("shard < 0").select("block", "words", "doc_ids", "counts", "codes")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer, known = load(vocabulary), {}
         for batch in batches:
             out = []
-            for own in batch.column("words").to_pylist():
+            for data in batch.column("words").to_pylist():
+                own = unpacked_words(data)
                 new = [w for w in own if w not in known]
                 for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
                     known[w] = np.array(e.ids, "<u4").tobytes()
                 ids = [known[w] for w in own]
-                out.append((np.array([len(x) // 4 for x in ids], "<u4").tobytes(), b"".join(ids)))
+                out.append((packed(np.array([len(x) // 4 for x in ids], "<u4")), packed(np.frombuffer(b"".join(ids), "<u4"))))
             columns = [batch.column("block"), batch.column("shard"), *(pa.array([o[i] for o in out], pa.binary()) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, ["block", "shard", "sizes", "ids"])
 
@@ -109,12 +143,15 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def joined(docs_: pa.Table, answers_: pa.Table) -> pa.Table:
         answers_ = answers_.sort_by("shard")
-        joined_ = lambda name: np.frombuffer(b"".join(answers_.column(name).to_pylist()), "<u4").astype(np.int64)
-        sizes, ids = joined_("sizes"), joined_("ids").astype(np.int32)
+        joined_ = lambda name, kind: np.concatenate([np.zeros(0, kind), *map(unpacked, answers_.column(name).to_pylist())]).astype(kind)
+        sizes, ids = joined_("sizes", np.int64), joined_("ids", np.int32)
         starts = np.cumsum(sizes) - sizes
+        places = next((unpacked(w) for w in docs_.column("words").to_pylist() if w is not None), sizes[:0])
         doc_ids, values, ends = [], [], [np.zeros(1, np.int64)]
         for own, counts, codes in zip(*(docs_.column(n).to_pylist() for n in ("doc_ids", "counts", "codes")), strict=True):
-            code = np.frombuffer(codes, "<u4")
+            if not counts:
+                continue
+            code = places[unpacked(codes)]
             n = sizes[code]
             upto = np.cumsum(n)
             values.append(ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts[code] - (upto - n), n)])
