@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import portions, shared_dir
 from .tokens import load, units
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -98,7 +98,7 @@ def split_words(docs: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, codes, held, chars = TaskContext.get().partitionId() << 32, Codes(), [], 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, text in portions(batch, "doc_id", "text"):
                 own = units(text or "")
                 held.append((doc, np.fromiter(map(codes.__getitem__, own), np.uint32, len(own))))
                 chars += len(text or "")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,12 @@ def hex_digest(col: Column) -> Column:
     return F.sha2(F.encode(col, "UTF-8"), 256)
 
 
-def rows_of(batch: pa.RecordBatch, *names: str) -> Iterable[tuple]:
-    return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+def portions(batch: pa.RecordBatch, *names: str, size: int = 256) -> Iterator[tuple]:
+    """The rows of a batch as Python values of the columns ``names``, ``size`` rows at a time, so that texts stand in
+    memory twice for a few rows only."""
+    for at in range(0, batch.num_rows, size):
+        part = batch.slice(at, size)
+        yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
 
 
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:

@@ -22,15 +22,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, delta_bytes, from_delta_bytes, windows
+from .common import Words, delta_bytes, from_delta_bytes, portions, windows
 
 LENGTH = 13
 DEPTH = 2
 MOST_BITS = 2**29
 RANGE_BITS = 22
-FLUSH = 2_000_000
-GROUP_WINDOWS = 3_000_000
-BUCKET_CHARS = 8_000_000
+FLUSH = 750_000
+GROUP_WINDOWS = 2_000_000
+BUCKET_CHARS = 4_000_000
 ROW_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -43,7 +43,7 @@ def window_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[t
     """(doc_ids, windows), each window once in a document, in portions of about ``FLUSH``. Rows without an id take no part."""
     words, docs, held, n = Words(), [], [], 0
     for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for doc, text in portions(batch, "doc_id", "text"):
             h = words.hashes((text or "").encode())
             if doc is None or len(h) < length:
                 continue

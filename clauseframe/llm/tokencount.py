@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import portions, shared_dir
 from .tokens import word_ids
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 49407
@@ -56,7 +56,7 @@ def write_token_files(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int
             return pa.RecordBatch.from_arrays(list(columns), ["file", "bytes", "doc", "doc_id"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, text in portions(batch, "doc_id", "text"):
                 if sink is None:
                     name, size, held = f"{task:06d}-{uuid.uuid4().hex}.bin", 0, []
                     sink = system.open_output_stream(f"{path}/{name}")
