@@ -6,7 +6,7 @@ Encoding has four steps, and no step holds more than a block of documents or a s
    the block's distinct words and each document as positions in that list. The written table is read by all later steps.
 2. The distinct words of all blocks are dealt to shards by a hash, so that all copies of a word meet.
 3. A shard encodes each distinct word once and answers every block's list with the ids.
-4. Each block's answers meet its documents, and the ids are joined back by position.
+4. Each block's answers meet its documents' positions where they lie, and the ids are joined back by position.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, shared_dir
+from .common import partitions, portions, shared_dir
 from .tokens import load, units
 
 VOCABULARY = "byte_bpe_50k.json"
-BLOCK, CHUNK, SHARD = 24_000_000, 500_000, 8_000_000
+BLOCK, CHUNK, SHARD = 24_000_000, 1_000_000, 8_000_000
+#: In place of a shard: a block's documents, and the places of its words.
+DOCS, PLACES = -1, -2
 PARTS = "block long, shard int, words binary, doc_ids array<long>, counts array<int>, codes binary"
 PARTS_ARROW = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.binary())])
 
@@ -67,7 +69,7 @@ class Codes(dict):
 def block_rows(block: int, docs: list[tuple[int, np.ndarray]], codes: Codes, shards: int) -> Iterator[pa.RecordBatch]:
     """The rows of one block: its words shard by shard, sorted, then its documents in chunks.
 
-    A document is a list of ranks, frequent words first; the first chunk says where each rank's word stands in the shards.
+    A document is a list of ranks, frequent words first; a row of its own says where each rank's word stands in the shards.
     """
     words = list(codes)
     counts = np.bincount(np.concatenate([own for _, own in docs]), minlength=len(words))
@@ -82,18 +84,18 @@ def block_rows(block: int, docs: list[tuple[int, np.ndarray]], codes: Codes, sha
     for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
         if len(part):
             yield row(block=block, shard=int(at[part[0]]), words=packed_words([words[i] for i in part]))
-    yield row(block=block, shard=-1, words=packed(place[by_rank]), doc_ids=[], counts=[], codes=packed(rank[:0]))
+    yield row(block=block, shard=PLACES, words=packed(place[by_rank]))
     start = size = 0
     for i, (_, own) in enumerate(docs):
         size += len(own)
         if size >= CHUNK or i + 1 == len(docs):
             chunk = docs[start : i + 1]
-            yield row(block=block, shard=-1, doc_ids=[d for d, _ in chunk], counts=[len(c) for _, c in chunk], codes=packed(rank[np.concatenate([c for _, c in chunk])]))
+            yield row(block=block, shard=DOCS, doc_ids=[d for d, _ in chunk], counts=[len(c) for _, c in chunk], codes=packed(rank[np.concatenate([c for _, c in chunk])]))
             start, size = i + 1, 0
 
 
 def split_words(docs: DataFrame, shards: int) -> DataFrame:
-    """Step 1, as a written table."""
+    """Step 1, as a table in the shared folder, bucketed by block: the documents' positions are not shuffled again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, codes, held, chars = TaskContext.get().partitionId() << 32, Codes(), [], 0
@@ -109,9 +111,13 @@ def split_words(docs: DataFrame, shards: int) -> DataFrame:
             yield from block_rows(block, held, codes, shards)
 
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/words-{os.urandom(8).hex()}"
-    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PARTS).write.parquet(path)
-    return spark.read.schema(PARTS).parquet(path)
+    name = f"clauseframe_words_{os.urandom(8).hex()}"
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PARTS)
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
+    made.write.bucketBy(partitions(spark), "block").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay, and the frame knows them
+    return table
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -122,7 +128,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = split_words(docs, max(1, chars // SHARD))
-    words, chunks = parts.where("shard >= 0").select("block", "shard", "words"), parts.where("shard < 0").select("block", "words", "doc_ids", "counts", "codes")
+    words, chunks = parts.where("shard >= 0").select("block", "shard", "words"), parts.where(F.col("shard") == DOCS).select("block", "doc_ids", "counts", "codes")
+    places = parts.where(F.col("shard") == PLACES).select("block", "shard", F.lit(None).cast("binary").alias("sizes"), F.col("words").alias("ids"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -141,27 +148,29 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     answers = words.groupBy("shard").applyInArrow(encoded, "block long, shard int, sizes binary, ids binary")
 
-    def joined(docs_: pa.Table, answers_: pa.Table) -> pa.Table:
-        answers_ = answers_.sort_by("shard")
-        joined_ = lambda name, kind: np.concatenate([np.zeros(0, kind), *map(unpacked, answers_.column(name).to_pylist())]).astype(kind)
-        sizes, ids = joined_("sizes", np.int64), joined_("ids", np.int32)
-        starts = np.cumsum(sizes) - sizes
-        places = next((unpacked(w) for w in docs_.column("words").to_pylist() if w is not None), sizes[:0])
-        doc_ids, values, ends = [], [], [np.zeros(1, np.int64)]
-        for own, counts, codes in zip(*(docs_.column(n).to_pylist() for n in ("doc_ids", "counts", "codes")), strict=True):
-            if not counts:
-                continue
-            code = places[unpacked(codes)]
-            n = sizes[code]
-            upto = np.cumsum(n)
-            values.append(ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts[code] - (upto - n), n)])
-            doc_ids += own
-            ends.append(ends[-1][-1] + np.append(0, upto)[np.cumsum(counts)])
-        offsets = np.concatenate(ends)
-        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else ids[:0])).cast(pa.list_(pa.int32()))
-        return pa.table([pa.array(doc_ids, pa.int64()), lists], ["doc_id", "ids"])
-
-    return chunks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(joined, "doc_id long, ids array<int>")
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for block, doc_ids, counts, codes, own in portions(batch, "block", "doc_ids", "counts", "codes", "answers", size=1):
+                if held != block:
+                    first, *own = sorted(own, key=lambda a: a["shard"])
+                    none, order = np.zeros(0, "<u4"), unpacked(first["ids"])
+                    sizes = np.concatenate([none, *(unpacked(a["sizes"]) for a in own)]).astype(np.int64)
+                    ids = np.concatenate([none, *(unpacked(a["ids"]) for a in own)]).astype(np.int32)
+                    starts = (np.cumsum(sizes) - sizes)[order]
+                    sizes, held = sizes[order], block
+                code = unpacked(codes)
+                n = sizes[code]
+                upto = np.cumsum(n)
+                values = ids[np.arange(n.sum()) + np.repeat(starts[code] - (upto - n), n)]
+                ends = np.append(0, upto)[np.append(0, np.cumsum(counts))].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists], ["doc_id", "ids"])
+
+    # a block's answers are bounded as blocks are
+    told = answers.unionByName(places).groupBy("block").agg(F.collect_list(F.struct("shard", "sizes", "ids")).alias("answers"))
+    rows = chunks.join(told.hint("merge"), "block").select("block", "doc_ids", "counts", "codes", "answers")
+    return rows.mapInArrow(joined, "doc_id long, ids array<int>")
 
 
 def pieces(vocabulary: str = VOCABULARY) -> list[bytes]:
