@@ -169,8 +169,7 @@ def exact_links(members: DataFrame) -> DataFrame:
         linked = Postings([shingles(words, t) for t in part.column("text").to_pylist()]).similar(shingles(words, pivot.column("text")[0].as_py()))
         return as_links([(pivot.column("doc_id")[0].as_py(), part.column("doc_id")[int(i)].as_py()) for i in linked])
 
-    spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    pivots = large.where("doc_id = pivot").select("cluster", spread, "doc_id", "text")
+    pivots = large.where("doc_id = pivot").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc_id", "text")
     blocks = large.select("cluster", "block", "doc_id", "text")
     starred = written(blocks.groupBy("cluster", "block").cogroup(pivots.groupBy("cluster", "block")).applyInArrow(with_pivot, LINKS), "pivots")
 
@@ -182,10 +181,10 @@ def exact_links(members: DataFrame) -> DataFrame:
         sets = [shingles(words, t) for t in out.column("text").to_pylist() + part.column("text").to_pylist()]
         return as_links([(a, b) for a, b in forest_links(ids, sets, list(range(n))) if a != b])
 
-    outliers = large.join(starred.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").withColumn("dealt", F.col("block"))
-    outliers = outliers.select("cluster", "dealt", spread, "doc_id", "text")
-    dealt = blocks.join(outliers.select("cluster", "dealt").distinct(), "cluster")
-    last = dealt.groupBy("cluster", "dealt", "block").cogroup(outliers.groupBy("cluster", "dealt", "block")).applyInArrow(with_outliers, LINKS)
+    outliers = written(large.join(starred.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").select("cluster", F.col("block").alias("dealt"), "blocks", "doc_id", "text"), "outliers")
+    dealt = blocks.join(outliers.select("cluster", "dealt").distinct(), "cluster").select(F.col("cluster").alias("c"), F.col("dealt").alias("d"), F.col("block").alias("b"), "doc_id", "text")
+    spread = outliers.select("cluster", "dealt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc_id", "text")
+    last = dealt.groupBy("c", "d", "b").cogroup(spread.groupBy("cluster", "dealt", "block")).applyInArrow(with_outliers, LINKS)
     return small.unionByName(starred.where("a <> b")).unionByName(last)
 
 
