@@ -102,7 +102,7 @@ def neighbour_digest(docs: DataFrame) -> DataFrame:
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     order = (F.col("doc_id").desc_nulls_last(), F.col("text"))
     tasks = max(partitions(spark), int(chars // 16_000_000) + 1)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(tasks, order[0]).sortWithinPartitions(*order)
     done, head, tail = 0, 1, 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
