@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def counts(events: DataFrame, key: str, at: str = "ts", window: str = "1 minute", late: str | None = None) -> DataFrame:
     """(window_start, key, n, expires): requests in each fixed window; a record expires two windows after it began. With ``late``
     a streaming frame drops a window's state that long after its end."""
-    df = events.withWatermark(at, late) if late else events
+    df = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if late else events
     grouped = df.groupBy(F.window(at, window).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
     return grouped.select(F.col("w.start").alias("window_start"), key, "n", (F.col("w.end") + (F.col("w.end") - F.col("w.start"))).alias("expires"))
 
