@@ -25,7 +25,7 @@ from .common import partitions, portions, shared_dir
 from .tokens import load, units
 
 VOCABULARY = "byte_bpe_50k.json"
-BLOCK, CHUNK, SHARD = 24_000_000, 1_000_000, 8_000_000
+BLOCK, CHUNK, SHARD = 24_000_000, 500_000, 8_000_000
 #: In place of a shard: a block's documents, and the places of its words.
 DOCS, PLACES = -1, -2
 PARTS = "block long, shard int, words binary, doc_ids array<long>, counts array<int>, codes binary"
@@ -148,29 +148,27 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     answers = words.groupBy("shard").applyInArrow(encoded, "block long, shard int, sizes binary, ids binary")
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            for block, doc_ids, counts, codes, own in portions(batch, "block", "doc_ids", "counts", "codes", "answers", size=1):
-                if held != block:
-                    first, *own = sorted(own, key=lambda a: a["shard"])
-                    none, order = np.zeros(0, "<u4"), unpacked(first["ids"])
-                    sizes = np.concatenate([none, *(unpacked(a["sizes"]) for a in own)]).astype(np.int64)
-                    ids = np.concatenate([none, *(unpacked(a["ids"]) for a in own)]).astype(np.int32)
-                    starts = (np.cumsum(sizes) - sizes)[order]
-                    sizes, held = sizes[order], block
-                code = unpacked(codes)
-                n = sizes[code]
-                upto = np.cumsum(n)
-                values = ids[np.arange(n.sum()) + np.repeat(starts[code] - (upto - n), n)]
-                ends = np.append(0, upto)[np.append(0, np.cumsum(counts))].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists], ["doc_id", "ids"])
-
-    # a block's answers are bounded as blocks are
-    told = answers.unionByName(places).groupBy("block").agg(F.collect_list(F.struct("shard", "sizes", "ids")).alias("answers"))
-    rows = chunks.join(told.hint("merge"), "block").select("block", "doc_ids", "counts", "codes", "answers")
-    return rows.mapInArrow(joined, "doc_id long, ids array<int>")
+    def joined(docs_: pa.Table, told: pa.Table) -> pa.Table:
+        """One block: its answers are unpacked once, its documents chunk by chunk."""
+        first, *own = sorted(told.to_pylist(), key=lambda a: a["shard"])
+        none, order = np.zeros(0, "<u4"), unpacked(first["ids"])
+        sizes = np.concatenate([none, *(unpacked(a["sizes"]) for a in own)]).astype(np.int64)
+        ids = np.concatenate([none, *(unpacked(a["ids"]) for a in own)]).astype(np.int32)
+        starts = (np.cumsum(sizes) - sizes)[order]
+        sizes, out = sizes[order], []
+        for i in range(docs_.num_rows):
+            doc_ids, counts, codes = (docs_.column(n)[i].as_py() for n in ("doc_ids", "counts", "codes"))
+            code = unpacked(codes)
+            n = sizes[code]
+            upto = np.cumsum(n)
+            values = ids[np.arange(n.sum()) + np.repeat(starts[code] - (upto - n), n)]
+            ends = np.append(0, upto)[np.append(0, np.cumsum(counts))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists], ["doc_id", "ids"]))
+        return pa.Table.from_batches(out)
+
+    # the documents' side is bucketed by block, so only the answers are shuffled
+    return chunks.groupBy("block").cogroup(answers.unionByName(places).groupBy("block")).applyInArrow(joined, "doc_id long, ids array<int>")
 
 
 def pieces(vocabulary: str = VOCABULARY) -> list[bytes]:
@@ -195,12 +193,16 @@ def decode(rows: DataFrame, ids: str = "ids", column: str = "decoded", vocabular
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.array(shared.value, object)
-        for batch in batches:
-            at = batch.schema.get_field_index(ids)
-            lists = batch.column(at)
-            flat, ends = table[lists.values.to_numpy(zero_copy_only=False)], lists.offsets.to_numpy()
-            texts = [b"".join(flat[s:e].tolist()).decode("utf-8", "replace") for s, e in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(texts, pa.large_string())], [*(n for n in batch.schema.names if n != ids), column])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                at = batch.schema.get_field_index(ids)
+                lists = batch.column(at)
+                ends = lists.offsets.to_numpy()
+                flat = table[lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]]
+                ends = ends - ends[0]
+                texts = [b"".join(flat[s:e].tolist()).decode("utf-8", "replace") for s, e in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(texts, pa.large_string())], [*(n for n in batch.schema.names if n != ids), column])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != ids), f"`{column}` string"])
     return kept.withColumn(ids, F.coalesce(F.col(ids), F.array().cast("array<int>"))).mapInArrow(run, schema)
