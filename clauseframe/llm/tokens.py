@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from array import array
+from unicodedata import normalize
 
 #: White space as the tokenizers' regular expressions see it (the Unicode property); a fixed value.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: ASCII punctuation but for the apostrophe, which may begin an ending; a fixed value.
+PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
@@ -45,7 +47,7 @@ class WordIds(dict):
     words stay.
     """
 
-    def __init__(self, name: str, special: bool = True, most: int = 500_000):
+    def __init__(self, name: str, special: bool = True, most: int = 750_000):
         super().__init__()
         self.tokenizer, self.most, self.old = load(name), most, {}
         self.tokenizer.encode_special_tokens = not special
@@ -53,13 +55,23 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         value = self.old.get(word)
         if value is None:
-            value = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            value = self.parted(word)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[word] = value
         return value
 
+    def parted(self, word: bytes) -> bytes:
+        """The ids of a new word. Punctuation behind a letter or digit is a word of its own to the tokenizer, so it is cut off
+        here, and one encoding serves a word however its sentence goes on."""
+        core = word.rstrip(PUNCTUATION)
+        if core and len(core) < len(word) and b"<|" not in word:
+            last = core[-1:].decode() if core[-1] < 128 else normalize("NFC", core.decode()).lower()[-1]  # as the tokenizer sees it
+            if last.isalpha() or last in "0123456789":
+                return self[core] + self[word[len(core) :]]
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
     def of(self, text: str) -> bytes:
         data = text.encode()
         if b"<|" not in data:  # else lower-casing could spell a special token
