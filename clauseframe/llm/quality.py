@@ -8,13 +8,12 @@ log(1 + count) and scaled to length one. Nothing but the text is an input of a s
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mixed, windows
@@ -80,7 +79,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], how: Ftrl) -> np.ndarr
     return weights(z, n).astype(np.float32)
 
 
-def fold(doc_id: str = "doc_id"):  # noqa: ANN201
+def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; 0 is held out. A null id is in no fold."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
@@ -140,8 +139,3 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of ``docs`` whose score reaches ``threshold``, with their columns."""
     at = "_quality_score"
     return score(docs, fit(docs, labels), at).where(F.col(at) >= threshold).drop(at)
-
-
-def in_fold_zero(doc_id: int) -> bool:
-    """``fold`` for one id, in Python."""
-    return zlib.crc32(str(doc_id).encode()) % 5 == 0
