@@ -47,17 +47,3 @@ def duration(value: Column, unit: Column) -> Column:
 def add_months(period: Column | str, months: Column) -> Column:
     """A month 'YYYY-MM' some months later."""
     return F.date_format(F.add_months(F.to_date(F.concat(_col(period), F.lit("-01"))), months.cast("int")), "yyyy-MM")
-
-
-def cpi_factor(month: Column, yearly: float, mode: str, term: Column, floor_at_one: bool = True) -> Column:
-    """How much an index raises the rent of a month (from 1). ``mode``: MONTHLY, ANNUAL (whole years), AT_RENEWAL (after the
-    term, by the term's length) or NONE."""
-    i = 1 + yearly
-    years = {"MONTHLY": (month - 1) / 12, "ANNUAL": F.floor((month - 1) / 12), "AT_RENEWAL": F.when(month > term, term / 12).otherwise(F.lit(0)), "NONE": F.lit(0)}[mode]
-    factor = F.pow(F.lit(i), years)
-    return F.greatest(F.lit(1.0), factor) if floor_at_one else factor
-
-
-def effective_annual_percent(first: Column, last: Column, months: Column) -> Column:
-    """The yearly rate at which ``first`` becomes ``last`` over ``months`` rows; 0 for one row."""
-    return F.when((months > 1) & (first > 0), (F.pow(last / first, 12 / (months - 1)) - 1) * 100).otherwise(0.0)

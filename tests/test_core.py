@@ -190,6 +190,20 @@ def test_repository(spark):
     assert (r.yes, r.no) == (True, False)
 
 
+def test_small_operators(spark):
+    from clauseframe.operators import aggregates
+    from clauseframe.plans import layout
+
+    status = spark.createDataFrame([("COVERED",), ("PARTIAL",), ("MISSING",)], "s string")
+    assert status.agg(aggregates.coverage_percent(F.col("s")).alias("c")).first().c == 50 and status.limit(0).agg(aggregates.coverage_percent(F.col("s")).alias("c")).first().c == 100
+    r = one(spark, a=layout.is_scanned(F.lit("  12 ")), b=layout.is_scanned(F.lit("x" * 40)), c=T.without_fence(F.lit("```json\n{}\n```")))
+    assert (r.a, r.b, r.c) == (True, False, "{}")
+    kept = repository.unexpired(spark.sql("SELECT * FROM VALUES (1, TIMESTAMP'2024-01-02'), (2, TIMESTAMP'2023-01-01'), (3, CAST(NULL AS TIMESTAMP)) t(id, e)"), "e", F.lit("2024-01-01").cast("timestamp"))
+    assert sorted(x.id for x in kept.collect()) == [1, 3]
+    members = spark.createDataFrame([("k", 1), ("k", 2), ("j", 2), ("j", 3), ("j", 2)], "k string, m int")
+    assert sorted(map(tuple, joins.shared_member_pairs(members, "k", "m").collect())) == [(1, 2), (2, 3)]
+
+
 def test_pages():
     rows = pages.sections_of("<h1>A</h1><p>one <b>two</b></p><h2>B</h2><script>x</script><ul><li>three</li></ul><h1>C</h1>tail")
     assert rows == [(1, [], "A"), (0, ["A"], "one two"), (2, ["A"], "B"), (0, ["A", "B"], "three"), (1, [], "C"), (0, ["C"], "tail")]
