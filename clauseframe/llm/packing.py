@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import word_ids
+from .tokens import HELD_WORDS, word_ids
 
 CAPACITY = 2048
 END_ID = 0
@@ -23,15 +23,16 @@ VOCABULARY = "word_bpe_49k.json"
 PIECES = "piece int, start long, length long, ids binary"
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY, held_words: int = HELD_WORDS) -> DataFrame:
     """One row per piece: doc_id, piece (from 0), start, length, ids (little-endian unsigned 32-bit).
 
     Narrow: one pass, no shuffle. A null or empty text has one piece, the closing id. Repeated rows each have their pieces.
+    ``held_words`` trades memory for time; see ``tokens.WordIds``.
     """
     columns = ("piece", "start", "length", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = word_ids(vocabulary), np.array([end_id], "<u4").tobytes()
+        words, end = word_ids(vocabulary, most=held_words), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

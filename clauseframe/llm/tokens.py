@@ -39,6 +39,9 @@ def units(text: str) -> list[str]:
     return UNIT.findall(text)
 
 
+HELD_WORDS = 750_000
+
+
 class WordIds(dict):
     """Word (bytes, without white space) -> its ids as little-endian unsigned 32-bit, encoded once while it is held.
 
@@ -47,7 +50,7 @@ class WordIds(dict):
     words stay.
     """
 
-    def __init__(self, name: str, special: bool = True, most: int = 750_000):
+    def __init__(self, name: str, special: bool = True, most: int = HELD_WORDS):
         super().__init__()
         self.tokenizer, self.most, self.old = load(name), most, {}
         self.tokenizer.encode_special_tokens = not special
@@ -82,11 +85,11 @@ class WordIds(dict):
 _held: dict[tuple, WordIds] = {}
 
 
-def word_ids(name: str, special: bool = True) -> WordIds:
+def word_ids(name: str, special: bool = True, most: int = HELD_WORDS) -> WordIds:
     """The process's own ``WordIds``: the tasks that one Python worker runs after another share it.
 
-    ``special`` says whether special tokens' strings in a text become special ids.
+    ``special`` says whether special tokens' strings in a text become special ids; twice ``most`` words take about 220 bytes each.
     """
-    if (name, special) not in _held:
-        _held[name, special] = WordIds(name, special)
-    return _held[name, special]
+    if (name, special, most) not in _held:
+        _held[name, special, most] = WordIds(name, special, most)
+    return _held[name, special, most]
