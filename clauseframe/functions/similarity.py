@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +59,52 @@ def tfidf_pairs(terms: DataFrame, group: str, part: str, term: str, least: float
     return pairs.groupBy(group, "part_a", "part_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("score")).where(F.col("score") >= least)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, blocks: int = 8) -> DataFrame:
-    """(query, rank, key, score): the ``k`` vectors of the highest cosine, ties to the smaller key; a key is not its own neighbour.
+def dealt_pairs(queries: DataFrame, vectors: DataFrame, key: str, vector: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (query, q) and (key, vector) with the columns qb and vb, so that each query meets each vector under one (qb, vb).
 
-    Vectors are dealt into blocks and the queries visit each block; a block keeps its best ``k`` before anything is merged.
+    The number of blocks follows from the row counts: one (qb, vb) holds about ``rows`` of either side at any size.
     """
-    v = unit(vectors.select(key, vector), vector).withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    q = unit(queries.select(F.col(key).alias("query"), F.col(vector).alias("q")), "q").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    scored = q.join(v, "block").where(F.col("query") != F.col(key)).where(F.size("q") == F.size(vector)).withColumn("score", F.round(dot(F.col("q"), F.col(vector)), 9))
-    order = (F.desc("score"), F.col(key))
-    local = scored.withColumn("_n", F.row_number().over(Window.partitionBy("query", "block").orderBy(*order))).where(F.col("_n") <= k)
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
+    n_q, n_v = (max(1, -(-df.count() // rows)) for df in (queries, vectors))
+    block = lambda own, n: F.pmod(F.xxhash64(*own), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("q")).withColumn("qb", block(("query", "q"), n_q)).withColumn("vb", every(n_v))
+    v = vectors.select(key, vector).withColumn("vb", block((key, vector), n_v)).withColumn("qb", every(n_q))
+    return q, v
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, rows: int = 2048) -> DataFrame:
+    """(query, rank, key, score): the ``k`` vectors of the highest cosine, ties to the smaller key (a long); a key is not its own neighbour.
+
+    Queries and vectors of one length meet block by block; each pair of blocks gives its best ``k`` a query before anything
+    is merged. A null vector takes no part; a score with a null component is null and comes last.
+    """
+
+    def matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        flat = column.combine_chunks().flatten()
+        shape = (len(column), -1) if len(flat) else (len(column), 0)
+        return flat.to_numpy(zero_copy_only=False).reshape(shape), flat.is_null().to_numpy(zero_copy_only=False).reshape(shape).any(axis=1)
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if a.num_rows and b.num_rows:
+            (x, x_null), (y, y_null) = matrix(a.column("q")), matrix(b.column(vector))
+            ids = b.column(key).to_numpy()
+            for i, own in enumerate(a.column("query").to_pylist()):
+                score = np.round(y @ x[i], 9)
+                gone = y_null | x_null[i]
+                height = np.where(gone, -np.inf, np.where(np.isnan(score), np.inf, score))
+                others = np.flatnonzero(ids != own)
+                if len(others) > k:
+                    others = others[height[others] >= np.partition(height[others], -k)[-k]]
+                for j in others[np.lexsort((ids[others], -height[others]))[:k]].tolist():
+                    out[0].append(own)
+                    out[1].append(int(ids[j]))
+                    out[2].append(None if gone[j] else float(score[j]))
+        return pa.table({"query": pa.array(out[0], pa.int64()), key: pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    usable = lambda df: unit(df.select(key, vector).where(F.col(key).isNotNull() & F.col(vector).isNotNull()), vector)
+    q, v = dealt_pairs(usable(queries), usable(vectors), key, vector, rows)
+    on = lambda df, x: df.withColumn("dim", F.size(x)).groupBy("dim", "qb", "vb")
+    found = on(q, "q").cogroup(on(v, vector)).applyInArrow(best, f"query long, `{key}` long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col(key)))).where(F.col("rank") <= k)
     return ranked.select("query", "rank", key, "score")
