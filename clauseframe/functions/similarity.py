@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +46,74 @@ def multiset_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key
     return joined.groupBy(left_key, right_key, "n_left", "n_right").agg(F.sum(F.least("c_left", "c_right")).alias("shared"))
 
 
+Bag = Callable[[str], tuple[np.ndarray, np.ndarray]]
+_SPACE = dict.fromkeys(map(ord, " \t\n\x0b\f\r"), None)
+
+
+def trigram_bag() -> Bag:
+    """The members and counts of ``text.trigrams``, each as its three code points in one number."""
+
+    def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+        c = np.frombuffer(text.translate(_SPACE).encode("utf-32-le"), np.uint32).astype(np.int64)
+        return np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:], return_counts=True)
+
+    return bag
+
+
+def word_bag(least: int = 2) -> Bag:
+    """The distinct words of ``least`` characters or more, as numbers that hold inside one task; each counts once."""
+    codes: dict[str, int] = {}
+
+    def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+        own = {codes.setdefault(w, len(codes)) for w in re.split(r"[ \t\n\x0b\f\r]+", text) if len(w) >= least}
+        return np.sort(np.fromiter(own, np.int64, len(own))), np.ones(len(own), np.int64)
+
+    return bag
+
+
+def bag_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, make: Callable[[], Bag], chars: int = 4_000_000, right_chars: int = 200_000, right_rows: int = 128) -> DataFrame:
+    """What ``multiset_overlap`` gives, for a long ``left`` and a short ``right`` side, from their texts.
+
+    Each text of ``left`` is read and counted once a block of ``right``, and meets that block as a table of counts; no row is
+    made for a member, so one that all texts share costs what a rare one does. The number of blocks of either side follows its size.
+    """
+    size = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars")).first()
+    n, m = size(left), size(right)
+    rows, cols = max(1, -(-n.chars // chars)), max(1, -(-m.chars // right_chars), -(-m.n // right_rows))
+    kinds = {f.name: f.dataType.simpleString() for f in (left.schema[left_key], right.schema[right_key])}
+
+    def dealt(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias(own)
+        return df.select(key, F.coalesce(text, F.lit("")).alias("text"), block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)).groupBy("lb", "rb")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        made: tuple[list, ...] = ([], [], [], [], [])
+        if a.num_rows and b.num_rows:
+            bag = make()
+            bags = [bag(t) for t in b.column("text").to_pylist()]
+            known = np.unique(np.concatenate([x for x, _ in bags]))
+            counts = np.zeros((len(known), len(bags)), np.int32)
+            for j, (members, c) in enumerate(bags):
+                counts[np.searchsorted(known, members), j] = c
+            sizes, ids = [int(c.sum()) for _, c in bags], b.column(right_key).to_pylist()
+            for own, t in zip(a.column(left_key), a.column("text"), strict=True):
+                members, c = bag(t.as_py())
+                at = np.searchsorted(known, members)
+                hit = np.flatnonzero(at < len(known))
+                hit = hit[known[at[hit]] == members[hit]]
+                shared = np.minimum(counts[at[hit]], c[hit, None]).sum(axis=0)
+                n_own, own = int(c.sum()), own.as_py()
+                for j in np.flatnonzero(shared).tolist():
+                    for column, x in zip(made, (own, ids[j], int(shared[j]), n_own, sizes[j]), strict=True):
+                        column.append(x)
+        names = (left_key, right_key, "shared", "n_left", "n_right")
+        types = (a.schema.field(left_key).type, b.schema.field(right_key).type, pa.int64(), pa.int64(), pa.int64())
+        return pa.table({x: pa.array(c, t) for x, c, t in zip(names, made, types, strict=True)})
+
+    schema = f"`{left_key}` {kinds[left_key]}, `{right_key}` {kinds[right_key]}, shared long, n_left long, n_right long"
+    return dealt(left, left_key, "lb", rows, "rb", cols).cogroup(dealt(right, right_key, "rb", cols, "lb", rows)).applyInArrow(meet, schema)
+
+
 def tfidf_pairs(terms: DataFrame, group: str, part: str, term: str, least: float) -> DataFrame:
     """(group, part_a, part_b, score): cosine of tf * ln((1 + N) / (1 + df)) of two parts of one group, from ``least`` on.
 

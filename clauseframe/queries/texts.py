@@ -169,6 +169,15 @@ def trigram_dice(spark, sf_dir):
     return found.select("item_a", "item_b", F.round(2.0 * F.col("shared") / (F.col("n_left") + F.col("n_right")), 6).alias("dice"))
 
 
+@query(r"""WITH g AS (SELECT 'd' AS side, doc_id AS id, regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', '', 'g') AS t FROM documents UNION ALL SELECT 'b', item_id, regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', '', 'g') FROM benchmark),
+e AS (SELECT side, id, length(t) - 2 AS n, substr(t, unnest(range(1, length(t) - 1)), 3) AS gram FROM g WHERE length(t) >= 3), c AS (SELECT side, id, n, gram, count(*) AS c FROM e GROUP BY ALL)
+SELECT a.id AS doc_id, b.id AS item_id, round(2.0 * sum(least(a.c, b.c)) / (a.n + b.n), 6) AS dice FROM c a JOIN c b ON a.gram = b.gram AND a.side = 'd' AND b.side = 'b' GROUP BY a.id, b.id, a.n, b.n""")
+def trigram_dice_documents(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = S.bag_overlap(docs, items, "doc_id", "item_id", "text", S.trigram_bag)
+    return found.select("doc_id", "item_id", F.round(2.0 * F.col("shared") / (F.col("n_left") + F.col("n_right")), 6).alias("dice"))
+
+
 GRAMS_SQL = "list_distinct([array_to_string(w[i:i + 7], ' ') FOR i IN range(1, len(w) - 6)])"
 
 
@@ -194,6 +203,18 @@ def jaccard_words(spark, sf_dir):
     return rows.select("conv_id", "turn", F.round(S.jaccard(F.col("w"), F.col("b")), 6).alias("jaccard"))
 
 
+WORD_SET_SQL = "list_distinct([x FOR x IN string_split_regex(coalesce(lower(text), ''), '[ \\t\\n\\x0b\\f\\r]+') IF length(x) > 1])"
+
+
+@query(f"""WITH d AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM (SELECT doc_id, {WORD_SET_SQL} AS w FROM documents)),
+b AS (SELECT item_id, len(w) AS n, unnest(w) AS word FROM (SELECT item_id, {WORD_SET_SQL} AS w FROM benchmark))
+SELECT doc_id, item_id, round(count(*) / CAST(d.n + b.n - count(*) AS DOUBLE), 6) AS jaccard FROM d JOIN b ON d.word = b.word GROUP BY doc_id, item_id, d.n, b.n""")
+def jaccard_words_documents(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("text"))
+    found = S.bag_overlap(docs, items, "doc_id", "item_id", "text", S.word_bag)
+    return found.select("doc_id", "item_id", F.round(F.col("shared") / (F.col("n_left") + F.col("n_right") - F.col("shared")), 6).alias("jaccard"))
+
+
 @query(f"""WITH n AS (SELECT doc_id, {NORMAL_SQL.format('text')} AS norm, doc_id % 2 AS side FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY side, norm ORDER BY doc_id) AS k FROM n)
 SELECT a.doc_id AS before_id, b.doc_id AS after_id FROM k a JOIN k b ON a.norm = b.norm AND a.k = b.k AND a.side = 0 AND b.side = 1""")
 def exact_text_pairs(spark, sf_dir):

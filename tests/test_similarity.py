@@ -5,6 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from clauseframe.functions import similarity as S
+from clauseframe.functions import text as T
+from clauseframe.queries import QUERIES
 
 
 def test_nearest_deals_by_row_count(spark):
@@ -18,3 +20,22 @@ def test_nearest_deals_by_row_count(spark):
     few = df.where("vec_id % 7 = 0")
     got, whole = (S.nearest(few, df, "vec_id", "v", 3, rows=n).collect() for n in (20, 10_000))
     assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and len(got) == 3 * 129
+
+
+def test_documents_are_scored(spark, sf):
+    """The registered queries score documents against the benchmark, whatever the length."""
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "benchmark"))
+    for name in ("trigram_dice_documents", "jaccard_words_documents"):
+        rows = QUERIES[name](spark, sf).select("doc_id", "item_id").distinct().count()
+        assert 0.5 * docs * items < rows <= docs * items
+
+
+def test_bag_overlap_equals_inverted_index(spark):
+    """Also over several blocks, with repeats, white space, letters beyond the first plane, short and null texts."""
+    texts = ["abcabcabc", " ab\tc\x0babc", "ab", None, "", "\U0001f600bc\U0001f600bc", "no one", "bcabca xyz"] * 3
+    left = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    right = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:8])], "item_id int, text string")
+    grams = lambda df, key: df.select(key, T.trigrams("text").alias("g"))
+    want = S.multiset_overlap(grams(left, "doc_id"), grams(right, "item_id"), "doc_id", "item_id", "g").select("doc_id", "item_id", "shared", "n_left", "n_right")
+    got = S.bag_overlap(left, right, "doc_id", "item_id", "text", S.trigram_bag, chars=20, right_chars=9, right_rows=3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
