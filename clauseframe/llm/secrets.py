@@ -1,9 +1,12 @@
 """Secret scan with structural confirmation.
 
 Three pattern kinds (``assign``, ``access``, ``hex``) are reported as they match. Encoded candidates are reported only
-after they have been decoded and their structure holds: ``jwt`` (header and payload are JSON objects, the header names an
-algorithm), ``pem`` (an armoured private key), ``b64_key`` and ``hex_key`` (a bare base64 or hex string that is a whole
-DER private key, or an OpenSSH one, with every nested length adding up).
+after they have been decoded and their structure holds: ``jwt`` (three parts in a row of a dotted run, of which the first
+two are JSON objects and the first names an algorithm), ``pem`` (an armoured private key, also with its line ends spelt
+``\\n``, or encrypted), ``b64_key`` and ``hex_key`` (a bare base64 or hex string, plain, url-safe or in lines, that is a
+whole DER private key, an OpenSSH one or an armoured one, with every nested length adding up).
+
+Every candidate search is linear in the text, however long its runs are.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, schema_with
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "pem", "b64_key", "hex_key")
@@ -28,10 +31,13 @@ SPAN = "array<struct<kind:string,start:int,end:int>>"
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-JWT = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
+BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY)-----")
 B64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+URL_B64 = re.compile(r"[A-Za-z0-9_-]{40,}={0,2}")
+LINES_B64 = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,80}\r?\n[\x20\t]*)+[A-Za-z0-9+/]{1,80}={0,2}")
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
+URL_SAFE = str.maketrans("-_", "+/")
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
@@ -56,17 +62,36 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+def is_sequence_of(data: bytes) -> list[tuple[int, bytes]]:
+    """The items of the one SEQUENCE that fills ``data``, or none."""
+    top = der_items(data) if data[:1] == b"\x30" else None
+    return (der_items(top[0][1]) or []) if top and len(top) == 1 else []
+
+
+def is_algorithm(data: bytes) -> bool:
+    items = der_items(data)
+    return bool(items) and items[0][0] == OID and len(items[0][1]) > 0
+
+
 def is_der_key(data: bytes) -> bool:
-    """A PKCS#1, PKCS#8 or SEC 1 private key that fills ``data``."""
-    if data[:1] != b"\x30" or not (top := der_items(data)) or len(top) != 1 or not (inner := der_items(top[0][1])):
-        return False
+    """A private key that fills ``data``: PKCS#1, PKCS#8 with a key inside its octets, SEC 1 or DSA."""
+    inner = is_sequence_of(data)
     tags = [t for t, _ in inner]
-    if tags[0] != INTEGER or inner[0][1] not in (b"\0", b"\1") or len(tags) < 2:
+    if len(tags) < 2 or tags[0] != INTEGER or inner[0][1] not in (b"\0", b"\1"):
         return False
     if tags[1] == SEQUENCE:
-        algorithm = der_items(inner[1][1])
-        return bool(algorithm) and algorithm[0][0] == OID and len(tags) > 2 and tags[2] == OCTETS
-    return tags[1] == OCTETS and len(inner[1][1]) >= 16 or len(tags) >= 9 and set(tags[:9]) == {INTEGER}
+        octets = inner[2][1] if len(tags) > 2 and tags[2] == OCTETS else b""
+        return is_algorithm(inner[1][1]) and bool(der_items(octets))
+    if tags[1] == OCTETS:
+        return len(inner[1][1]) >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
+    # PKCS#1 has eight numbers behind its version, and more behind version 1; DSA has five
+    return set(tags[: 9 if len(tags) > 6 else 6]) == {INTEGER} and (len(tags) in (6, 9) or len(tags) == 10 and inner[0][1] == b"\1")
+
+
+def is_encrypted_key(data: bytes) -> bool:
+    """PKCS#8, encrypted: an algorithm, and octets."""
+    inner = is_sequence_of(data)
+    return [t for t, _ in inner] == [SEQUENCE, OCTETS] and is_algorithm(inner[0][1]) and len(inner[1][1]) >= 16
 
 
 def is_openssh_key(data: bytes) -> bool:
@@ -98,15 +123,70 @@ def unbase64(text: str) -> bytes | None:
 
 
 def is_key(data: bytes | None) -> bool:
-    return bool(data) and (is_der_key(data) or is_openssh_key(data))
+    if not data:
+        return False
+    if data.lstrip()[:11] == b"-----BEGIN ":
+        text = data.decode("latin-1").strip()
+        return [(0, len(text))] == armoured(text)
+    return is_der_key(data) or is_openssh_key(data)
+
+
+def armoured(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each armoured private key. A body ends at the next dashes, so each is read once."""
+    out, at = [], 0
+    while m := BEGIN.search(text, at):
+        stop = text.find("-----", m.end())
+        end = f"-----END {m[1]}-----"
+        if stop >= 0 and text.startswith(end, stop):
+            at = stop + len(end)
+            if is_body(text[m.end() : stop], m[1]):
+                out.append((m.start(), at))
+        else:
+            at = m.end()
+    return out
+
+
+def is_body(body: str, label: str) -> bool:
+    lines = [x.strip() for x in body.replace("\\r", "\n").replace("\\n", "\n").split("\n")]
+    headers, data = [x for x in lines if ":" in x], unbase64("".join("".join(x.split()) for x in lines if ":" not in x).rstrip("="))
+    if not data:
+        return False
+    if any(h.startswith("Proc-Type:") and "ENCRYPTED" in h for h in headers):  # whole cipher blocks; the lengths inside are not to be seen
+        return len(data) % 8 == 0 and any(re.fullmatch(r"DEK-Info: ?[A-Z0-9-]+,[0-9A-Fa-f]{16,}", h) for h in headers)
+    return is_encrypted_key(data) if label.startswith("ENCRYPTED") else is_key(data)
 
 
-def is_signed_token(token: str) -> bool:
+def as_object(part: str) -> dict | None:
+    """The JSON object that a token's part holds."""
+    if len(part) < 8 or part[0] not in "eIDC":  # what an opening brace, or white space before one, begins with
+        return None
     try:
-        head, body, _ = (json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))) if i < 2 else p for i, p in enumerate(token.split(".")))
+        data = base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)).strip()
+        value = json.loads(data) if data[:1] == b"{" and data[-1:] == b"}" else None
     except (ValueError, RecursionError):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def signed_tokens(text: str) -> list[tuple[int, int]]:
+    """(start, end) of header, payload and signature wherever they stand in a dotted run; each part is decoded once."""
+    out = []
+    for m in DOTTED.finditer(text):
+        parts, at, held = m[0].split("."), m.start(), None
+        starts = []
+        for p in parts:
+            starts.append(at)
+            at += len(p) + 1
+        i, held = 0, as_object(parts[0])
+        while i + 2 < len(parts):
+            following = as_object(parts[i + 1])
+            if held is not None and following is not None and isinstance(held.get("alg"), str) and len(parts[i + 2]) >= 8:
+                out.append((starts[i], starts[i + 2] + len(parts[i + 2])))
+                i += 3
+                held = as_object(parts[i]) if i < len(parts) else None
+            else:
+                i, held = i + 1, following
+    return out
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -121,12 +201,15 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if longest >= 24:
         out += [("hex", *m.span()) for m in HEX.finditer(text)]
         if "." in text:
-            out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+            out += [("jwt", *s) for s in signed_tokens(text)]
     if longest >= 40:
-        out += [("b64_key", *m.span()) for m in B64.finditer(text) if is_key(unbase64(m[0].rstrip("=")))]
+        keys = {m.span() for kind in (B64, URL_B64) for m in kind.finditer(text) if is_key(unbase64(m[0].rstrip("=").translate(URL_SAFE)))}
+        if "\n" in text:
+            keys |= {m.span() for m in LINES_B64.finditer(text) if is_key(unbase64("".join(m[0].split()).rstrip("=")))}
+        out += [("b64_key", *s) for s in keys]
         out += [("hex_key", *m.span()) for m in ANY_HEX.finditer(text) if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
     if "-----BEGIN " in text:
-        out += [("pem", *m.span()) for m in PEM.finditer(text) if is_key(unbase64("".join(m[2].split()).rstrip("=")))]
+        out += [("pem", *s) for s in armoured(text)]
     return sorted(out, key=lambda x: (x[1], ORDER[x[0]], x[2]))
 
 
@@ -157,7 +240,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", spans: str = "spans") -> D
 
         return step
 
-    return arrow_map(kept, _with(kept, spans, SPAN), make)
+    return arrow_map(kept, schema_with(kept, **{spans: SPAN}), make)
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -182,6 +265,3 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     found = scan_secrets(docs.select("doc_id", "text")).drop("text")
     return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(F.encode(line(base), "UTF-8"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
-
-def _with(df: DataFrame, name: str, kind: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` {kind}"])
