@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 SEGMENTS = (1, 4, 16)
 SAFE = 2**26  # components up to here: products of up to 2,048 components fit 64 bits
+TILE = 2**20  # so many bounds are held at once
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -36,10 +37,13 @@ def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k
     levels = [(statistics(q, s), statistics(x, s)) for s in segments]
     slack = 1 + 1e-9 * np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)) * (np.sqrt((x.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
     (qm, qs), (xm, xs) = levels[0]
-    coarse = qm @ xm.T + qs @ xs.T
+    tile = max(1, TILE // max(1, len(x)))
     for i in range(len(q)):
+        if i % tile == 0:
+            coarse = qm[i : i + tile] @ xm.T
+            coarse += qs[i : i + tile] @ xs.T
         own = ids != query_ids[i]
-        bound = np.where(own, coarse[i], -np.inf)
+        bound = np.where(own, coarse[i % tile], -np.inf)
         n = min(k, int(own.sum()))
         if not n:
             yield ids[:0], ids[:0]
@@ -68,7 +72,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, query_block: int = 40
 
     Queries meet all rows block by block: both sides are dealt into blocks by a hash of the id, each pair of blocks is one
     task's work, and gives at most k rows a query; the last step ranks what the blocks gave. The number of blocks follows
-    from the row counts, so a task's memory does not grow with the tables. A query is compared with vectors of its own
+    from the row counts, so a task's memory does not grow with the tables; of its bounds it holds
+    ``TILE`` at a time. A query is compared with vectors of its own
     length only. Of several rows with one vec_id each takes part; a query's own id never does, and of several query rows
     with one id each gives its rows, ranked together. Empty tables give an empty table.
     """
