@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, windows
+from .common import WordHashes, free_name, mixed, schema_with, windows
 
 BITS = 18
 MOST_LABELS = 10_000
@@ -88,12 +88,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS, how: Ftrl =
     """Weights from the labelled documents outside fold 0, or from ``most`` of them, chosen by a hash of the id, if they are more.
 
     That bound is what lets one task train them in a fixed order. Features are made where the documents are; only the
-    chosen rows' features travel. Null labels are left out; of several labels of one document the lowest counts. Without
+    chosen rows' features travel. Null labels are left out; of several labels of one document the lowest counts, and of several
+    rows of one document the one whose text sorts first (null as empty), so that the bound holds for rows too. Without
     labels the weights are 0, and every score 0.5.
     """
     chosen = labels.where(F.col("quality").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("int"), "at")), "doc_id").select("at", "doc_id", "quality", "text")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("int"), "at")), "doc_id")
+    texts = texts.groupBy("at", "doc_id", "quality").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Features()
@@ -125,8 +127,7 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFr
             scores = [probability(float(w[i] @ x)) for t in batch.column("text").to_pylist() for i, x in [made(t or "")]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), f"`{column}` double"])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema_with(kept, **{column: "double"}))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -136,6 +137,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, with their columns."""
-    at = "_quality_score"
+    """The rows of ``docs`` whose score reaches ``threshold``, with their columns, whatever their names; see ``fit`` and ``score``."""
+    at = free_name(docs, "quality_score")
     return score(docs, fit(docs, labels), at).where(F.col(at) >= threshold).drop(at)
