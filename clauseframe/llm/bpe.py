@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, portions, shared_dir
+from .common import bucketed, portions
 from .tokens import load, units
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -110,14 +110,8 @@ def split_words(docs: DataFrame, shards: int) -> DataFrame:
         if held:
             yield from block_rows(block, held, codes, shards)
 
-    spark = docs.sparkSession
-    name = f"clauseframe_words_{os.urandom(8).hex()}"
     made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PARTS)
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
-    made.write.bucketBy(partitions(spark), "block").option("path", path).saveAsTable(name)
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay, and the frame knows them
-    return table
+    return bucketed(made, "block", "words")
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -18,15 +18,19 @@ def least(rows: DataFrame) -> DataFrame:
 
 
 def large_star(links: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked with its smallest one."""
+    """Each node's larger neighbours are linked with its smallest one.
+
+    The smallest ones are written first: so both sides of the join are plain tables, which Spark joins by broadcast where
+    one is small, and else by a sort whose partitions it splits where a node has very many neighbours.
+    """
     rows = both_ways(links)
-    return rows.where("b > a").join(least(rows), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return rows.where("b > a").join(written(least(rows), "least"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def small_star(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked with the smallest of them."""
     rows = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = least(rows)
+    low = written(least(rows), "least")
     moved = rows.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 

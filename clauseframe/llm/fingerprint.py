@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions, windows, written
+from .common import mixed, partitions, schema_with, windows, written
 
 K, SIZE, TUPLE = 8, 32, 2
 _SEEDS = mixed(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -73,8 +73,7 @@ def fingerprints(docs: DataFrame, text: str = "text", column: str = "fingerprint
             made = [shown(order_minhash(t or "")) for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], [*b.schema.names, column])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), f"`{column}` string"])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema_with(kept, **{column: "string"}))
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -1,150 +1,202 @@
 """Removal of repeated passages: a count-min prefilter, then exact groups of the windows it cannot rule out.
 
-A window is ``LENGTH`` consecutive words. First pass: each task adds its windows to a count-min sketch of its own; the
-partial sketches travel as sorted counter positions, are merged range by range, and leave one bit for each counter that
-reached two. A counter never falls short, so a window whose counters are not all set stands in one document only. Second
-pass: only the other windows are dealt by their hash, each with its document, and grouped exactly; the smallest doc_id of
-a group keeps its passage. Third pass: each document learns which of its windows are repeats and drops what they cover.
-
-The bits are broadcast; their number follows the text up to ``MOST_BITS`` (a fixed size of 64 MB). On a larger input the
-sketch rules out fewer windows, and more are grouped; the result is the same. A window's identity is its 64-bit hash.
+A window is ``LENGTH`` consecutive words. Rows are dealt to blocks of bounded text, and a block counts each of its distinct
+windows once, whatever stands in it how often; repeats inside a block are settled there. The rest takes three steps:
+
+1. Each block adds its windows to a count-min sketch of its own. The partial sketches travel as sorted counter positions to
+   ranges of counters, are merged there, and each block is told which of its counters reached two. A counter never falls
+   short, so a window whose counters did not all reach two stands in no other block.
+2. Only the other windows are dealt by their hash, each with the smallest doc_id that has it in its block, and grouped
+   exactly. A block is told which of its windows stand in a document of a smaller doc_id elsewhere.
+3. Each block drops the words that its repeated windows cover.
+
+The sketch has at least four counters for each window and row, at any size, and is never brought to one place: a task
+holds one range of it. A window is told from others by 128 bits, made from the words' BLAKE2 digests.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, delta_bytes, from_delta_bytes, portions, windows
+from .common import Words, bucketed, from_gaps, free_name, gaps, portions, schema_with, windows
 
 LENGTH = 13
-DEPTH = 2
-MOST_BITS = 2**29
-RANGE_BITS = 22
-FLUSH = 750_000
-GROUP_WINDOWS = 2_000_000
-BUCKET_CHARS = 4_000_000
-ROW_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
-def counter(w: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """The counter of each window in one row of the sketch, from the high bits of a product."""
-    return (w * np.uint64(ROW_FACTORS[row])) >> np.uint64(64 - bits)
-
-
-def window_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(doc_ids, windows), each window once in a document, in portions of about ``FLUSH``. Rows without an id take no part."""
-    words, docs, held, n = Words(), [], [], 0
-    for batch in batches:
-        for doc, text in portions(batch, "doc_id", "text"):
-            h = words.hashes((text or "").encode())
-            if doc is None or len(h) < length:
-                continue
-            own = np.unique(windows(h, length))
-            docs.append(np.full(len(own), doc, np.int64))
-            held.append(own)
-            n += len(own)
-            if n >= FLUSH:
-                yield np.concatenate(docs), np.concatenate(held)
-                docs, held, n = [], [], 0
-    if n:
-        yield np.concatenate(docs), np.concatenate(held)
-
-
-def sketch_bits(texts: DataFrame, length: int, bits: int) -> Broadcast:
-    """The merged sketch's set counters, as ``DEPTH`` bit arrays of ``2 ** bits`` each."""
-    low = min(bits, RANGE_BITS)
+DEPTH, LOAD = 2, 4
+#: About so many bytes of text make a block.
+BLOCK_BYTES = 8_000_000
+#: Counters of one range, as a power of two; windows of one shard; bytes of text of one bucket of the table.
+RANGE_BITS, GROUP_WINDOWS, BUCKET_BYTES = 24, 1_000_000, 64_000_000
+
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, w in window_batches(batches, length):
-            rows = []
-            for row in range(DEPTH):
-                at = np.sort(counter(w, row, bits)).astype(np.int64)
-                cuts = np.searchsorted(at, np.arange(1, 1 << (bits - low)) << low)
-                rows += [(row, i, delta_bytes(part - (i << low))) for i, part in enumerate(np.split(at, cuts)) if len(part)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["row", "part", "gaps"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, key = np.zeros(1 << low, np.uint8), (0, 0)
+def with_block(docs: DataFrame, block: str) -> DataFrame:
+    """``docs`` with the number of each row's block: rows that a task reads one after another, up to about ``BLOCK_BYTES`` of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, before = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            key = (batch.column("row")[0].as_py(), batch.column("part")[0].as_py())
-            for gaps in batch.column("gaps").to_pylist():
-                at, n = np.unique(from_delta_bytes(gaps), return_counts=True)
-                count[at] = np.minimum(count[at] + np.minimum(n, 2), 2)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.packbits(count >= 2, bitorder="little").tobytes()], pa.binary())], ["row", "part", "bits"])
-
-    parts = texts.mapInArrow(partial, "row int, part int, gaps binary").groupBy("row", "part").applyInArrow(merged, "row int, part int, bits binary")
-    out = np.zeros((DEPTH, max(1, (1 << bits) // 8)), np.uint8)
-    size = max(1, (1 << low) // 8)
-    for r in parts.collect():
-        out[r.row, r.part * size : (r.part + 1) * size] = np.frombuffer(r.bits, np.uint8)
-    return texts.sparkSession.sparkContext.broadcast(out)
-
-
-def maybe_repeated(w: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray:
-    """Which windows have all their counters set."""
-    keep = np.ones(len(w), bool)
+            if batch.num_rows:
+                size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = before + np.cumsum(size)
+                before = int(ends[-1])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + (ends - size) // BLOCK_BYTES)], [*batch.schema.names, block])
+
+    return docs.mapInArrow(run, schema_with(docs, **{block: "long"}))
+
+
+class Block:
+    """The distinct windows of a block's rows: their 128 bits (``a``, ``b``), ascending, and the smallest doc_id that has each.
+
+    Rows without an id take no part. Nothing depends on the order of the rows.
+    """
+
+    def __init__(self, rows: pa.Table, length: int):
+        self.length, words, halves, self.sizes, ids = length, Words(), [np.zeros((2, 0), np.uint64)], [], []
+        for batch in rows.to_batches():
+            for doc, text in portions(batch, "doc_id", "text"):
+                own = (text or "").encode().split()
+                self.sizes.append(len(own))
+                ids.append(doc)
+                halves.append(words.halves(own))
+        halves = np.concatenate(halves, axis=1)
+        sizes = np.array(self.sizes, np.int64)
+        n = np.where([i is not None for i in ids], np.maximum(sizes - length + 1, 0), 0) if ids else sizes
+        #: Where each window begins, counted in words of the whole block.
+        self.starts = np.repeat(np.cumsum(sizes) - sizes, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.docs = np.repeat(np.array([i or 0 for i in ids], np.int64), n)
+        a, b = (windows(h, length)[self.starts] if len(self.starts) else np.zeros(0, np.uint64) for h in halves)
+        order = np.argsort(a, kind="stable")
+        if (np.diff(b[order])[np.diff(a[order]) == 0] != 0).any():
+            order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        self.order, self.of = order, np.cumsum(new) - 1
+        self.a, self.b = a[first], b[first]
+        self.least = np.minimum.reduceat(self.docs[order], first) if len(a) else self.docs
+
+    def counters(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The counters of the windows in one row of the sketch, ascending, and which windows they are."""
+        at = ((self.a, self.b)[row] >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        return at[order], order
+
+    def repeated(self, elsewhere: np.ndarray) -> np.ndarray:
+        """For each window, in order of the text: whether it starts in a document of a smaller id, in this block or elsewhere."""
+        out = np.empty(len(self.order), bool)
+        out[self.order] = elsewhere[self.of] | (self.docs[self.order] > self.least[self.of])
+        return out
+
+    def covered(self, windows_: np.ndarray) -> np.ndarray:
+        """For each word of the block, whether one of the chosen windows covers it."""
+        edge = np.zeros(sum(self.sizes) + 1, np.int32)
+        at = self.starts[windows_]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + self.length, -1)
+        return np.cumsum(edge)[:-1] > 0
+
+
+def table_of(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
+
+
+def cut(ordered: np.ndarray) -> list[tuple[int, slice]]:
+    """(value, slice) of each run of equal numbers."""
+    ends = np.append(np.flatnonzero(np.diff(ordered)) + 1, len(ordered)) if len(ordered) else []
+    return [(int(ordered[e - 1]), slice(s, e)) for s, e in zip([0, *ends], map(int, ends), strict=False)]
+
+
+SKETCH, ANSWER = "block long, row int, part long, counters binary", "block long, row int, part long, n int, reached binary"
+WINDOWS, ELSEWHERE = "block long, shard long, at binary, docs binary, a binary, b binary", "block long, at binary"
+
+
+def sketch_answers(texts: DataFrame, length: int, bits: int) -> DataFrame:
+    """For each block, row and range: which of the block's counters, in ascending order, reached two in the merged sketch."""
+    low = min(bits, RANGE_BITS)
+
+    def partial(rows: pa.Table) -> pa.Table:
+        own, block, out = Block(rows, length), rows.column("block")[0].as_py(), []
+        for row in range(DEPTH):
+            at, _ = own.counters(row, bits)
+            out += [(block, row, part, gaps(at[p] - (part << low))) for part, p in cut(at >> low)]
+        return table_of(SKETCH, out)
+
+    def merged(pieces: pa.Table) -> pa.Table:
+        count, out = np.zeros(1 << low, np.uint8), []
+        for data in pieces.column("counters"):
+            at = from_gaps(data.as_py())
+            new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            count[at[new]] = np.minimum(count[at[new]] + np.minimum(np.diff(np.append(new, len(at))), 2), 2)
+        for block, row, part, data in zip(*(pieces.column(n) for n in ("block", "row", "part", "counters")), strict=True):
+            at = from_gaps(data.as_py())
+            out.append((block.as_py(), row.as_py(), part.as_py(), len(at), np.packbits(count[at] > 1).tobytes()))
+        return table_of(ANSWER, out)
+
+    return texts.groupBy("block").applyInArrow(partial, SKETCH).groupBy("row", "part").applyInArrow(merged, ANSWER)
+
+
+def maybe_repeated(own: Block, answers: pa.Table, bits: int) -> np.ndarray:
+    """Which windows have a counter of two or more in every row."""
+    keep, told = np.ones(len(own.a), bool), sorted(answers.to_pylist(), key=lambda r: (r["row"], r["part"]))
     for row in range(DEPTH):
-        at = counter(w, row, bits).astype(np.int64)
-        keep &= (sketch[row, at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        reached = [np.unpackbits(np.frombuffer(r["reached"], np.uint8), count=r["n"]) for r in told if r["row"] == row]
+        _, order = own.counters(row, bits)
+        keep[order] &= np.concatenate([np.zeros(0, np.uint8), *reached]) > 0
     return keep
 
 
-def repeats(texts: DataFrame, length: int, sketch: Broadcast, bits: int, expected: int, buckets: int) -> DataFrame:
-    """bucket, docs, windows (packed, side by side): every window of a document that a document of a smaller id has too."""
-    shards = max(1, expected // GROUP_WINDOWS)
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, w in window_batches(batches, length):
-            keep = maybe_repeated(w, sketch.value, bits)
-            docs, w = docs[keep], w[keep]
-            shard = ((w >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((docs, shard))
-            docs, w, shard = docs[order], w[order], shard[order]
-            rows = []
-            for part in np.split(np.arange(len(w)), np.flatnonzero(np.diff(shard)) + 1):
-                if len(part):
-                    ids, index = np.unique(docs[part], return_inverse=True)
-                    rows.append((int(shard[part[0]]), ids.tobytes(), delta_bytes(index.astype(np.int64)), w[part].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "ids", "docs", "windows"])
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, w = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for batch in batches:
-            for ids, index, own in zip(*(batch.column(n).to_pylist() for n in ("ids", "docs", "windows")), strict=True):
-                docs.append(np.frombuffer(ids, np.int64)[from_delta_bytes(index)])
-                w.append(np.frombuffer(own, np.uint64))
-        docs, w = np.concatenate(docs), np.concatenate(w)
-        order = np.argsort(w, kind="stable")
-        docs, w = docs[order], w[order]
-        first = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
-        least = np.repeat(np.minimum.reduceat(docs, first), np.diff(np.append(first, len(w)))) if len(w) else docs
-        docs, w = docs[docs > least], w[docs > least]
-        bucket = bucket_of(docs, buckets)
-        order = np.argsort(bucket, kind="stable")
-        docs, w, bucket = docs[order], w[order], bucket[order]
-        rows = [(int(bucket[p[0]]), docs[p].tobytes(), w[p].tobytes()) for p in np.split(np.arange(len(w)), np.flatnonzero(np.diff(bucket)) + 1) if len(p)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "docs", "windows"])
+def planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, compressed byte by byte, so that what they have in common costs little."""
+    raw = np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(numbers).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
 
-    dealt = texts.mapInArrow(candidates, "shard int, ids binary, docs binary, windows binary")
-    return dealt.groupBy("shard").applyInArrow(grouped, "bucket int, docs binary, windows binary")
+def from_planes(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    raw = pa.Codec("zstd").decompress(data[4:], 8 * n, asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(8, n).T.copy().view("<i8").ravel()
 
 
-def bucket_of(docs: np.ndarray, buckets: int) -> np.ndarray:
-    """A document's bucket, from the checksum of its id as text; ``bucket_column`` says the same in Spark."""
-    ids, index = np.unique(docs, return_inverse=True)
-    return np.fromiter((zlib.crc32(str(d).encode()) % buckets for d in ids.tolist()), np.int64, len(ids))[index]
+def known_elsewhere(texts: DataFrame, answers: DataFrame, length: int, bits: int, shard_bits: int) -> DataFrame:
+    """For each block, which of its windows (by their place among its distinct ones) stand elsewhere under a smaller doc_id."""
 
+    def candidates(rows: pa.Table, told: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return table_of(WINDOWS, [])
+        own, block = Block(rows, length), rows.column("block")[0].as_py()
+        at = np.flatnonzero(maybe_repeated(own, told, bits))
+        shard = (own.a[at] >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(at), np.int64)
+        return table_of(WINDOWS, [(block, s, gaps(at[p]), planes(own.least[at[p]]), own.a[at[p]].tobytes(), own.b[at[p]].tobytes()) for s, p in cut(shard)])
 
-def bucket_column(buckets: int) -> Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % buckets, F.lit(0)).cast("int")
+    def grouped(pieces: pa.Table) -> pa.Table:
+        rows = pieces.to_pylist()
+        a, b = (np.concatenate([np.frombuffer(r[n], np.uint64) for r in rows]) for n in ("a", "b"))
+        docs = np.concatenate([from_planes(r["docs"]) for r in rows])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        least = np.empty(len(docs), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(docs[order], first), np.diff(np.append(first, len(a))))
+        out, start = [], 0
+        for r in rows:
+            end = start + len(r["a"]) // 8
+            hit = docs[start:end] > least[start:end]
+            if hit.any():
+                out.append((r["block"], gaps(from_gaps(r["at"])[hit])))
+            start = end
+        return table_of(ELSEWHERE, out)
+
+    found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(candidates, WINDOWS)
+    return found.groupBy("shard").applyInArrow(grouped, ELSEWHERE)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -153,47 +205,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Windows are judged on the input. Of the documents that share a window the one with the smallest doc_id keeps it;
     repeats inside one document, or between rows of one doc_id, stay. A null text counts as empty and stays null; a null
-    doc_id takes no part and keeps its text. Other columns stay; ones called n_words or n_removed are replaced. An empty
-    table gives an empty table.
+    doc_id takes no part and keeps its text. All other columns stay, whatever their names; ones called n_words or n_removed
+    are replaced. An empty table gives an empty table.
     """
-    rows = docs.drop("n_words", "n_removed", "_bucket")
-    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    expected = max(1, chars // 6)
-    bits = max(10, min((2 * expected).bit_length(), (MOST_BITS // DEPTH).bit_length() - 1))
-    buckets = max(1, chars // BUCKET_CHARS)
-    sketch = sketch_bits(texts, length, bits)
-    found = repeats(texts, length, sketch, bits, expected, buckets)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "n_words long, n_removed long"])
-
-    def cleaned(own: pa.Table, known: pa.Table) -> pa.Table:
-        ids = np.frombuffer(b"".join(known.column("docs").to_pylist()), np.int64)
-        repeated = np.frombuffer(b"".join(known.column("windows").to_pylist()), np.uint64)
-        order = np.argsort(ids, kind="stable")
-        ids, repeated = ids[order], repeated[order]
-        words, texts_, n_words, n_removed = Words(), [], [], []
-        for doc, text in zip(own.column("doc_id").to_pylist(), own.column("text").to_pylist(), strict=True):
-            data = (text or "").encode()
-            starts, ends = words.bounds(data)
-            gone = np.zeros(len(starts), bool)
-            if doc is not None and len(starts) >= length:
-                a, b = np.searchsorted(ids, [doc, doc + 1])
-                if b > a:
-                    hit = np.flatnonzero(np.isin(windows(words.hashes(data), length), repeated[a:b]))
-                    edge = np.zeros(len(starts) + 1, np.int64)
-                    np.add.at(edge, hit, 1)
-                    np.add.at(edge, hit + length, -1)
-                    gone = np.cumsum(edge)[:-1] > 0
-            n = int(gone.sum())
-            texts_.append(b" ".join([data[s:e] for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True)]).decode() if n else text)
-            n_words.append(len(starts))
-            n_removed.append(n)
+    docs = docs.drop("n_words", "n_removed")
+    block = free_name(docs, "block")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    expected = max(1, size // 5)
+    bits = max(10, int(LOAD * expected).bit_length())
+    shard_bits = max(0, (expected // GROUP_WINDOWS).bit_length())
+    rows = bucketed(with_block(docs, block), block, "blocks", size // BUCKET_BYTES)
+    texts = rows.select(F.col(block).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = known_elsewhere(texts, sketch_answers(texts, length, bits), length, bits, shard_bits)
+
+    def cleaned(own: pa.Table, told: pa.Table) -> pa.Table:
         at = own.schema.get_field_index("text")
-        out = own.set_column(at, "text", pa.array(texts_, own.schema.field(at).type)).drop_columns(["_bucket"])
-        return out.append_column("n_words", pa.array(n_words, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64()))
-
-    dealt = rows.withColumn("_bucket", bucket_column(buckets))
-    return dealt.groupBy("_bucket").cogroup(found.groupBy("bucket")).applyInArrow(cleaned, schema)
+        ids = own.column("doc_id").cast(pa.int64())
+        made = Block(pa.table([ids, own.column(at)], ["doc_id", "text"]), length)
+        elsewhere = np.zeros(len(made.a), bool)
+        for data in told.column("at"):
+            elsewhere[from_gaps(data.as_py())] = True
+        gone, start, texts_, removed = made.covered(made.repeated(elsewhere)), 0, [], []
+        for text, n in zip(own.column(at), made.sizes, strict=True):
+            mine = gone[start : start + n]
+            start += n
+            removed.append(int(mine.sum()))
+            texts_.append(b" ".join(w for w, g in zip(text.as_py().encode().split(), mine.tolist(), strict=True) if not g).decode() if removed[-1] else text.as_py())
+        out = own.set_column(at, own.schema.field(at), pa.array(texts_, own.schema.field(at).type)).drop_columns([block])
+        return out.append_column("n_words", pa.array(made.sizes, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
+
+    return rows.groupBy(block).cogroup(found.groupBy("block")).applyInArrow(cleaned, schema_with(docs, n_words="long", n_removed="long"))
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:
