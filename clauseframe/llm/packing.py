@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import HELD_WORDS, word_ids
+from .common import free_name, written
+from .tokens import HELD_WORDS, WordIds
 
 CAPACITY = 2048
 END_ID = 0
@@ -27,12 +28,12 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     """One row per piece: doc_id, piece (from 0), start, length, ids (little-endian unsigned 32-bit).
 
     Narrow: one pass, no shuffle. A null or empty text has one piece, the closing id. Repeated rows each have their pieces.
-    ``held_words`` trades memory for time; see ``tokens.WordIds``.
+    ``held_words`` trades memory for time; see ``tokens.WordIds``. What a task holds goes with it.
     """
     columns = ("piece", "start", "length", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = word_ids(vocabulary, most=held_words), np.array([end_id], "<u4").tobytes()
+        words, end = WordIds(vocabulary, most=held_words), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -107,30 +108,33 @@ def expected_pieces(docs: DataFrame, capacity: int = CAPACITY) -> int:
 def pack(pieces: DataFrame, expected: int, capacity: int = CAPACITY, per_shard: int = 16384) -> DataFrame:
     """``pieces`` (any columns; ``length`` from 1 to ``capacity``) with sequence_id and offset, gapless from 0 in each sequence.
 
-    One shuffle: the ``expected`` rows are dealt by a hash of the whole row to shards of about ``per_shard``; each is
-    packed on its own, its bins numbered within the shard. Every row is packed, repeated ones too. Columns that are already
-    called shard, sequence_id or offset are replaced. An empty table gives an empty table.
+    The pieces are written once, numbered. Only numbers and lengths are dealt, by a hash of the number, to shards of about
+    ``per_shard``: equal rows are spread like others, and no task holds what the pieces carry. Each shard is packed on its
+    own, its bins numbered within the shard, and the places are joined back by number. Every row is packed, repeated ones
+    too. All columns stay, whatever their names; ones called sequence_id or offset are replaced. An empty table gives an
+    empty table.
     """
-    rows = pieces.drop("shard", "sequence_id", "offset")
+    rows = pieces.drop("sequence_id", "offset")
+    at = free_name(rows, "piece_number")
     shards = max(1, round(expected / per_shard))
-    names = [f.name for f in rows.schema.fields]
+    rows = written(rows.withColumn(at, F.monotonically_increasing_id()), "pieces")
 
     def packed(key: tuple, shard: pa.Table) -> pa.Table:
         lengths = shard.column("length").to_pylist()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         base = key[0].as_py() << 32
         for b, own in enumerate(best_two_fit(lengths, capacity)):
-            at = 0
+            start = 0
             for i in own:
-                sequence[i], offset[i], at = base + b, at, at + lengths[i]
-        return shard.drop_columns(["shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+                sequence[i], offset[i], start = base + b, start, start + lengths[i]
+        return pa.table({at: shard.column(at), "sequence_id": sequence, "offset": offset})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "sequence_id long, offset long"])
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(*names), F.lit(shards)).cast("long"))
-    return dealt.groupBy("shard").applyInArrow(packed, schema)
+    dealt = rows.select(F.pmod(F.xxhash64(at), F.lit(shards)).cast("long").alias("shard"), at, F.col("length").cast("long").alias("length"))
+    places = dealt.groupBy("shard").applyInArrow(packed, f"{at} long, sequence_id long, offset long")
+    return rows.join(places, at).drop(at)
 
 
 def pack_digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns: the pieces' ids give their checksum, and stay behind before the shuffle."""
+    """The contract's columns; of the pieces' ids only the checksum is kept."""
     pieces = token_pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(pieces, expected_pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import portions, shared_dir
-from .tokens import word_ids
+from .tokens import WordIds
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 49407
 WIDTH = 2
@@ -44,7 +44,7 @@ def write_token_files(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int
     folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(vocabulary, special=False)
+        words = WordIds(vocabulary, special=False)
         system, path = open_folder(folder)
         system.create_dir(path, recursive=True)
         end, task = np.array([end_id], f"<u{width}").tobytes(), TaskContext.get().partitionId()

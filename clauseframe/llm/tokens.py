@@ -39,7 +39,8 @@ def units(text: str) -> list[str]:
     return UNIT.findall(text)
 
 
-HELD_WORDS = 750_000
+#: Words held in a generation by a task; twice as many take about 220 bytes each.
+HELD_WORDS = 200_000
 
 
 class WordIds(dict):
@@ -81,15 +82,3 @@ class WordIds(dict):
             data = data.lower()
         return b"".join(map(self.__getitem__, data.split()))
 
-
-_held: dict[tuple, WordIds] = {}
-
-
-def word_ids(name: str, special: bool = True, most: int = HELD_WORDS) -> WordIds:
-    """The process's own ``WordIds``: the tasks that one Python worker runs after another share it.
-
-    ``special`` says whether special tokens' strings in a text become special ids; twice ``most`` words take about 220 bytes each.
-    """
-    if (name, special, most) not in _held:
-        _held[name, special, most] = WordIds(name, special, most)
-    return _held[name, special, most]
