@@ -31,7 +31,7 @@ from .common import Words, bucketed, from_gaps, free_name, gaps, portions, schem
 LENGTH = 13
 DEPTH, LOAD = 2, 4
 #: About so many bytes of text make a block.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 #: Counters of one range, as a power of two; windows of one shard; bytes of text of one bucket of the table.
 RANGE_BITS, GROUP_WINDOWS, BUCKET_BYTES = 24, 1_000_000, 64_000_000
 
