@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return the
-columns of ``documents``; ``n_chars`` follows a text that a stage changes.
+columns of ``documents``, and extra ones that they have; ``n_chars`` follows a text that a stage changes.
+
+All stages take a null text for an empty one and an empty table for an empty result. Rows that are equal, or repeat a doc_id,
+go through one by one. A row without a doc_id takes no part in a comparison with others: neither near-duplicate nor repeated
+passage, it stays and is packed.
 """
 
 from __future__ import annotations
@@ -19,21 +23,18 @@ from clauseframe.llm.secrets import redact_secrets
 from clauseframe.llm.substrings import remove_repeats
 
 
-#: Fewer than the operator's own default: the workers still hold what earlier stages left, and ids travel with the pieces.
-HELD_WORDS = 200_000
-
-
 def counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones among them, does not reject."""
+    """Documents that the classifier, trained on the labelled ones among them, does not reject. Labels or texts that are null are no
+    obstacle; without labels all scores are equal and everything stays."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id."""
+    """One document of each near-duplicate group, the one with the smallest doc_id; rows that share that doc_id all stay."""
     return keep_one(docs)
 
 
@@ -49,7 +50,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids, sequence_id, offset of every piece of every document."""
-    return pack(token_pieces(docs, held_words=HELD_WORDS), expected_pieces(docs))
+    return pack(token_pieces(docs), expected_pieces(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
