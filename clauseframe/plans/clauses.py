@@ -28,11 +28,11 @@ def with_sentences(clauses: DataFrame) -> DataFrame:
     return clauses.select(*KEY, "ord", F.posexplode(parts).alias("s_ord", "sentence"))
 
 
-def profile_concepts(clauses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def profile_concepts(clauses: DataFrame, concepts: dict[str, str] = H.CONCEPTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(counts, heading, primary): how often each concept occurs in a clause, those its heading names, and what it is about."""
 
     def counts(text: str) -> DataFrame:
-        found = F.array(*(F.struct(F.lit(c).alias("concept"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p)).alias("n")) for c, p in H.CONCEPTS.items()))
+        found = F.array(*(F.struct(F.lit(c).alias("concept"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p)).alias("n")) for c, p in concepts.items()))
         return clauses.select(*KEY, "ord", F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("x")).select(*KEY, "ord", "x.concept", "x.n")
 
     in_text, in_heading = counts("text"), counts("heading").select(*KEY, "concept")
@@ -75,7 +75,7 @@ def sentence_numbers(sentences: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).where(F.col("value") > 0)
 
 
-def sentence_facts(sentences: DataFrame) -> DataFrame:
+def sentence_facts(sentences: DataFrame, owners: tuple[tuple[str, dict[str, str]], ...] = H.SUBJECTS) -> DataFrame:
     """(…, scan, at, fact, value, unit, sentence): each number under the subject named closest before it, or else after it."""
     numbers = sentence_numbers(sentences)
 
@@ -84,7 +84,7 @@ def sentence_facts(sentences: DataFrame) -> DataFrame:
         hits = sentences.select(*SENTENCE, F.explode(X.occurrences(F.col("sentence"), pattern)).alias("x"))
         return hits.select(*SENTENCE, (F.col("x.at")).alias("s_at"), (F.col("x.at") + F.length("x.hit")).alias("s_end"), F.lit(i).alias("s"), meant).select(*SENTENCE, "s_at", "s_end", "s", "m.kind", "m.target")
 
-    subjects = reduce(DataFrame.unionByName, (subject(i, p, t) for i, (p, t) in enumerate(H.SUBJECTS)))
+    subjects = reduce(DataFrame.unionByName, (subject(i, p, t) for i, (p, t) in enumerate(owners)))
     order = F.struct((F.col("s_at") > F.col("at")).alias("after"), F.abs(F.col("at") - F.col("s_at")).alias("d"), (-F.col("s_end")).alias("e"), "s", "target", "s_at")
     keys = [*SENTENCE, "scan", "at", "kind", "value", "unit", "sentence"]
     owned = numbers.join(subjects, [*SENTENCE, "kind"]).where("s_at <> at").groupBy(*keys).agg(F.min(order).alias("o")).select(*keys, "o.target", "o.s_at")
@@ -110,7 +110,7 @@ def contract_facts(facts: DataFrame) -> DataFrame:
 
 def references(sentences: DataFrame, clauses: DataFrame) -> DataFrame:
     """(…, at, label, kind, sentence) of each section a sentence points at, but for its own; kind is REFERENCE, SUBJECT_TO or NOTWITHSTANDING."""
-    hits = sentences.select(*SENTENCE, "sentence", F.explode(X.occurrences(F.col("sentence"), H.REFERENCE.replace("(\\d+(?:\\.\\d+)*(?![", "(?:\\d+(?:\\.\\d+)*(?![", 1))).alias("x"))
+    hits = sentences.select(*SENTENCE, "sentence", F.explode(X.occurrences(F.col("sentence"), H.REFERENCE)).alias("x"))
     prefix = F.substring(F.col("sentence"), F.greatest(F.lit(1), F.col("x.at") - 25), F.least(F.lit(25), F.col("x.at") - 1))
     kind = F.when(F.rlike(prefix, F.lit(H.NOTWITHSTANDING)), "NOTWITHSTANDING").when(F.rlike(prefix, F.lit(H.SUBJECT_TO)), "SUBJECT_TO").otherwise("REFERENCE")
     labels = F.regexp_extract_all(F.col("x.hit"), F.lit(r"(\d+(?:\.\d+)*)"), F.lit(1))

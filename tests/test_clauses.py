@@ -84,3 +84,38 @@ def test_protections(agreement):
     got = {r.item: (r.status, r.parts) for r in rules.checklist(agreement.select("contract_id", "clause_id", "text"), items, "contract_id", "text", "clause_id").collect()}
     assert got["RR-REC-SECURITY-RETURN"][0] == "PARTIAL" and got["RR-REC-RENEWAL-TERMS"] == ("COVERED", ["C005"]) and got["RR-REC-WEAR-AND-TEAR"] == ("MISSING", []) and len(got) == 8
     assert got["RR-REC-REPAIR-TIMELINE"] == ("PARTIAL", ["C004"])
+
+
+MUST = {
+    "RENT": ("דמי השכירות ישולמו מדי חודש", "השבחת הדירה"), "TERM": ("משך השכירות שנה", "התקופה האחרונה"), "SECURITY": ("השוכר יפקיד פיקדון", "הצדדים ערבים זה לזה"), "GUARANTOR": ("שני ערבים יחתמו", "בשעות הערב"),
+    "INDEXATION": ("הסכום יוצמד למדד", "הצימוד הלשוני"), "RENT_INCREASE": ("שכר הדירה יעלה", "מעלית הבניין"), "OPTION": ("לשוכר אופציה", "האופק פתוח"), "URGENT_REPAIR": ("תקלה דחופה תטופל", "דואר דחוף"), "REPAIRS": ("תחזוקת הדוד", "תקנון הבית"),
+    "SELF_REPAIR": ("יזמין בעל מקצוע", "בעל הדירה"), "ENTRY": ("המשכיר רשאי להיכנס לדירה", "הכנסות לדירה"), "EARLY_TERMINATION": ("סיום מוקדם של החוזה", "סיום התקופה"), "REPLACEMENT_TENANT": ("יציע דייר חלופי", "חלקי חילוף"), "BREACH": ("הפרת החוזה", "הפרחים בגינה"),
+    "VACATING": ("פינוי המושכר", "פינה שקטה"), "PENALTY": ("קנס של מאה שקלים", "כנס השוכרים"), "CHARGES": ("ארנונה ומים", "ימים נוספים"), "INSURANCE": ("פוליסה בתוקף", "בטוח ויציב"), "HANDOVER": ("פרוטוקול מסירה ייחתם", "מסירות הצדדים"), "WAIVER": ("השוכר מוותר", "לא נותר דבר"),
+    "PETS": ("אין להכניס חתולים", "כלבבי"), "SUBLET": ("שכירות משנה אסורה", "משנה זהירות"), "SALE_TRANSFER": ("במקרה של מכירת הדירה", "מכירת רהיטים"), "ALTERATIONS": ("שיפוצים באישור בלבד", "שופט בית המשפט"),
+}
+
+
+def test_each_concept_takes_its_sentence_and_leaves_another(spark):
+    assert set(MUST) == set(H.CONCEPTS)
+    for concept, (yes, no) in MUST.items():
+        r = spark.createDataFrame([(yes, no)], "yes string, no string").select(F.rlike("yes", F.lit(H.CONCEPTS[concept])), F.rlike("no", F.lit(H.CONCEPTS[concept]))).first()
+        assert tuple(r) == (True, False), concept
+
+
+def test_each_rule_takes_its_sentence_and_leaves_another(spark):
+    from clauseframe.lexicon import money as M
+    from clauseframe.lexicon import verdicts as V
+
+    told = [
+        (V.PETS_BARRED, "אין להחזיק בדירה כלבים", "מותר להחזיק כלב"), (V.UNFURNISHED, "הדירה אינה מרוהטת", "הדירה מרוהטת"), (V.RENT_INDEXED, "שכר הדירה יהיה צמוד למדד", "הערבות צמודה. דמי השכירות קבועים"),
+        (V.NO_RENEWAL, "לא תינתן אופציה לשוכר", "תינתן אופציה לשוכר"), (V.SUBLET_BARRED, "השוכר אינו רשאי להכניס דיירים נוספים", "השוכר רשאי להכניס שותף"), (V.WAIVES_ALL, "השוכר מוותר על כל טענה", "השוכר מוותר על החניה"),
+        (V.REALIZES, "המשכיר רשאי לחלט את הפיקדון", "הפיקדון יוחזר"), (V.NO_NOTICE, "ללא כל הודעה", "ללא עיכוב לאחר שתימסר לו ולכל הצדדים האחרים הודעה"), (V.OWNER_CHARGES, "ביטוח המבנה יחול על השוכר", "ביטוח המבנה יחול על המשכיר"),
+        (V.NO_REFUND, "השוכר לא יהיה זכאי להחזר", "השוכר יהיה זכאי להחזר"), (V.SHIFTS_BURDEN, "התיקון על חשבון השוכר", "התיקון על חשבון המשכיר"), (V.TENANT_MAY_END, "כל צד רשאי לסיים", "המשכיר רשאי לסיים"),
+        (V.NO_TENANT_RIGHT, "לשוכר לא תהיה זכות לעזוב", "לשוכר תהיה זכות לעזוב"), (V.REPLACEMENT_REQUIRED, "בתנאי שיביא שוכר חלופי", "שוכר חלופי אינו נדרש"), (V.PAYS_TO_END, "ישלם את שכר הדירה עד סוף התקופה", "ישלם את שכר הדירה בכל חודש"),
+        (V.FIXED_MONTHS, "פיצוי של שני חודשי שכירות", "תקופה של שני חודשים"), (M.START, "החל מיום 1.9.2026", "ביום השבת"), (M.LANDLORD_PAYS, "המשכיר יישא בהוצאה", "השוכר יישא בהוצאה"), (M.TENANT_PAYS, "המים יחולו על השוכר", "המים יחולו על המשכיר"),
+        (M.FLOOR, "ולא יפחתו מהבסיס", "ויפחתו"), (M.LATE_VACATING, "בגין איחור בפינוי", "בגין איחור בתשלום"), (M.LATE_PAYMENT, "איחור בתשלום יחויב", "התשלום הבא"), (M.MULTIPLE, "פי שניים מדמי השכירות היומיים", "פי התהום"),
+        (H.RETURN_VERB, "הערובה תוחזר", "הערובה תחולט"), (H.PREPAYMENT_MARKER, "עבור שלושה חודשים", "בסוף החודש"), (H.REFERENCE, "כאמור בסעיפים 3, 4.1 ו-5", "סעיף 5 לחוק השכירות"),
+    ]
+    for pattern, yes, no in told:
+        r = spark.createDataFrame([(yes, no)], "yes string, no string").select(F.rlike("yes", F.lit(pattern)), F.rlike("no", F.lit(pattern))).first()
+        assert tuple(r) == (True, False), (pattern, yes, no)
