@@ -33,11 +33,20 @@ def earliest_fact(facts: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return facts.groupBy(*keys).agg(F.min(row).alias("_row")).select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 
+BLOCK = 1024
+
+
 def manifest_hash(df: DataFrame, keys: list[str], order: str, text: str, column: str = "manifest") -> DataFrame:
-    """SHA-256 of the members' hashes, joined by colons in order: 64 characters a member travel, not its text."""
-    own = df.select(*keys, order, F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256).alias("_own"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, "_own"))), lambda x: x["_own"])
-    return own.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"), F.sha2(F.encode(F.array_join(ordered, ":"), "UTF-8"), 256).alias(column))
+    """SHA-256 of the block hashes, joined by colons in order; a block's hash is that of its members' text hashes, joined likewise.
+
+    A block holds the members whose ``order``, a whole number, has one quotient by ``BLOCK``. So no task holds a key's members
+    together, however many there are: of each block 64 characters travel.
+    """
+    joined = lambda *by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, "_own"))), lambda x: x["_own"]), ":")
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    own = df.select(*keys, order, F.floor(F.col(order) / BLOCK).alias("_block"), digest(F.coalesce(text, F.lit(""))).alias("_own"))
+    blocks = own.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"), digest(joined(order)).alias("_own"))
+    return blocks.groupBy(*keys).agg(F.sum("_n").alias("members"), digest(joined("_block")).alias(column))
 
 
 def coverage_percent(status: Column) -> Column:

@@ -180,15 +180,25 @@ TOKEN = re.compile(r"\s+|\w+(?:[.,:/]\w+)*|.", re.DOTALL)
 
 
 def word_diff(a: str, b: str) -> list[tuple[str, str]]:
-    """Runs of (equal | delete | insert, text) along a longest common subsequence of words; deletions come first."""
+    """Runs of (equal | delete | insert, text) along a longest common subsequence of words; deletions come first.
+
+    What both texts begin with is taken off; of the rest a row of the table of lengths is made at once, and only one bit a cell
+    is kept: whether a deletion loses nothing there. Two texts of n and m words take n * m / 8 bytes.
+    """
     x, y = TOKEN.findall(a or ""), TOKEN.findall(b or "")
-    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
     codes: dict[str, int] = {}
-    xs, ys = ([codes.setdefault(t, len(codes)) for t in s] for s in (x, y))
-    for i in range(len(x) - 1, -1, -1):
-        same = np.array(ys) == xs[i] if ys else np.zeros(0, bool)
-        for j in range(len(y) - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if same[j] else max(best[i + 1, j], best[i, j + 1])
+    xs, ys = (np.array([codes.setdefault(t, len(codes)) for t in s], np.int64) for s in (x, y))
+    short = min(len(xs), len(ys))
+    differ = np.flatnonzero(xs[:short] != ys[:short])
+    begun = int(differ[0]) if len(differ) else short
+    below, deletes = np.zeros(len(ys) - begun + 1, np.int32), []
+    for code in xs[begun:][::-1]:
+        row = below.copy()
+        row[:-1] = np.maximum(below[:-1], below[1:] + (ys[begun:] == code))
+        row = np.maximum.accumulate(row[::-1])[::-1]
+        deletes.append(np.packbits(below[:-1] >= row[1:]))
+        below = row
+    deletes.reverse()
     out: list[list[str]] = []
 
     def add(op: str, token: str) -> None:
@@ -202,7 +212,7 @@ def word_diff(a: str, b: str) -> list[tuple[str, str]]:
         if i < len(x) and j < len(y) and xs[i] == ys[j]:
             add("equal", x[i])
             i, j = i + 1, j + 1
-        elif i < len(x) and (j == len(y) or best[i + 1, j] >= best[i, j + 1]):
+        elif i < len(x) and (j == len(y) or deletes[i - begun][(j - begun) >> 3] >> (7 - ((j - begun) & 7)) & 1):
             add("delete", x[i])
             i += 1
         else:
@@ -234,20 +244,3 @@ def diffs(alignments: DataFrame) -> DataFrame:
 
     slim = alignments.select("pair_id", "before", "after", "before_text", "after_text")
     return slim.mapInArrow(run, "pair_id long, before array<int>, after array<int>, runs array<struct<op:string,text:string>>, numbers array<struct<before:string,after:string>>")
-
-
-def comparison_status(change: str, before: str | None, after: str | None) -> str:
-    """What a change means for a reader, from the severities before and after. Fixed table."""
-    rank = {"RED": 2, "ORANGE": 1}
-    x, y = rank.get(before or "", 0), rank.get(after or "", 0)
-    if change == "REMOVED":
-        return "FIXED" if x else "UNREQUESTED_CHANGE"
-    if change == "ADDED":
-        return "NEW_ISSUE" if y else "UNREQUESTED_CHANGE"
-    if x and not y:
-        return "FIXED"
-    if y and not x:
-        return "NEW_ISSUE"
-    if x or y:
-        return "WORSENED" if y > x else "IMPROVED" if y < x else "STILL_OPEN"
-    return "UNCHANGED" if change == "UNCHANGED" else "UNREQUESTED_CHANGE"

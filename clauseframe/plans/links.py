@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as T
 from ..lexicon import hebrew as H
+from ..session import settled
 from . import clauses as C
 
 #: Fixed values.
@@ -39,10 +40,10 @@ def _around(sentences: DataFrame, hits: DataFrame, clauses: DataFrame) -> DataFr
 
 def candidates(clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates in emission order, similarities) of every clause."""
-    sentences = C.with_sentences(clauses)
-    counts, headings, primary = C.profile_concepts(clauses)
-    facts = C.contract_facts(C.sentence_facts(sentences))
-    pointed = C.resolved(C.references(sentences, clauses), clauses)
+    sentences = settled(C.with_sentences(clauses))
+    counts, headings, primary = map(settled, C.profile_concepts(clauses))
+    facts = settled(C.contract_facts(C.sentence_facts(sentences)))
+    pointed = settled(C.resolved(C.references(sentences, clauses), clauses))
     texts = clauses.select("contract_id", F.col("clause_id").alias("target"), F.col("text").alias("target_text"), F.col("ord").alias("target_ord"))
 
     def row(df: DataFrame, step: int, sub: Column, relation: Column, excerpt: Column, score: Column | None = None) -> DataFrame:
@@ -113,7 +114,7 @@ def link_clauses(clauses: DataFrame) -> DataFrame:
     """(contract_id, clause_id, rank, target, relation, score, excerpt): the links of each clause, at most six explicit ones, topical
     ones up to four together, within a budget of characters."""
     found, like = candidates(clauses)
-    joined = folded(found).join(like, PAIR, "full_outer").join(clauses.select("contract_id", F.col("clause_id").alias("target"), F.col("ord").alias("target_ord"), "text"), ["contract_id", "target"])
+    joined = folded(settled(found)).join(like, PAIR, "full_outer").join(clauses.select("contract_id", F.col("clause_id").alias("target"), F.col("ord").alias("target_ord"), "text"), ["contract_id", "target"])
     score = F.when(F.col("relation").isNull(), SCORES["SIMILAR_TEXT"] + 0.4 * F.col("strength")).otherwise(F.least(F.lit(1.0), F.col("score") + 0.1 * F.coalesce("strength", F.lit(0.0))))
     links = joined.select(
         *PAIR, "first", "target_ord", F.coalesce("relation", F.lit("SIMILAR_TEXT")).alias("relation"), score.alias("score"), F.coalesce("excerpt", _capped("text", EXCERPT)).alias("excerpt")

@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..lexicon import hebrew as H
 from ..lexicon import money as M
 from ..lexicon import verdicts as V
+from ..session import settled
 from . import clauses as C
 from . import facts as X
 from .verdicts import agreement_exit, exit_terms, says
@@ -36,9 +37,9 @@ def start_date(sentence: Column) -> Column:
 
 def extract(clauses: DataFrame) -> DataFrame:
     """The terms of each agreement in ``clauses`` (see ``clauses``)."""
-    sentences = C.with_sentences(clauses)
+    sentences = settled(C.with_sentences(clauses))
     facts = C.contract_facts(C.sentence_facts(sentences))
-    numbers = C.sentence_numbers(sentences)
+    numbers = settled(C.sentence_numbers(sentences))
     first = lambda kind: F.min_by("value", F.when(F.col("kind") == kind, F.struct("scan", "at")))
     read = numbers.groupBy(*C.SENTENCE).agg(
         first("money").alias("money"), F.count_if(F.col("kind") == "money").alias("n_money"), first("percent").alias("percent"), F.min_by("value", F.when(F.col("kind") == "months", F.struct("at", "scan"))).alias("months"),

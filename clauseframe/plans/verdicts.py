@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..lexicon import hebrew as H
 from ..lexicon import verdicts as V
+from ..session import settled
 from . import clauses as C
 from . import rules
 
@@ -82,8 +83,8 @@ def verdicts(clauses: DataFrame, links: DataFrame, preferences: dict) -> DataFra
     ``links`` are ``links.link_clauses`` of the clauses; ``preferences`` overrides ``INDIFFERENT``.
     """
     p = INDIFFERENT | preferences
-    sentences = C.with_sentences(clauses)
-    facts = C.sentence_facts(sentences)
+    sentences = settled(C.with_sentences(clauses))
+    facts = settled(C.sentence_facts(sentences))
     first = facts.groupBy(*C.KEY, "fact").agg(F.min_by("value", F.struct("ord", "s_ord", "scan", "at")).alias("value"))
     own = first.groupBy(*C.KEY).agg(F.map_from_entries(F.collect_list(F.struct("fact", "value"))).alias("own"))
     whole = C.contract_facts(facts).groupBy("contract_id").agg(F.map_from_entries(F.collect_list(F.struct("fact", F.struct("value", "clause_id")))).alias("whole"))
@@ -92,7 +93,7 @@ def verdicts(clauses: DataFrame, links: DataFrame, preferences: dict) -> DataFra
     entry = sentences.where(says(F.col("sentence"), H.CONCEPTS["ENTRY"]) & says(F.col("sentence"), V.NOTICE))
     notice = C.sentence_numbers(entry).where("kind = 'days'").groupBy(*C.KEY).agg(F.min_by("value", F.struct("s_ord", "at")).alias("entry_days"))
     pointed = links.groupBy(*C.KEY).agg(F.bool_or(F.col("relation") == "OVERRIDES").alias("overrides"), F.bool_or((F.col("relation") == "OVERRIDDEN_BY") & says(F.col("excerpt"), V.SHIFTS_BURDEN)).alias("overridden"))
-    df = clauses.select(*C.KEY, "ord", "text").join(own, C.KEY, "left").join(whole, "contract_id", "left").join(said, C.KEY, "left").join(leaving, C.KEY, "left").join(notice, C.KEY, "left").join(pointed, C.KEY, "left")
+    df = settled(clauses.select(*C.KEY, "ord", "text").join(own, C.KEY, "left").join(whole, "contract_id", "left").join(said, C.KEY, "left").join(leaving, C.KEY, "left").join(notice, C.KEY, "left").join(pointed, C.KEY, "left"))
 
     text = F.col("text")
     fact = lambda k: F.try_element_at("own", F.lit(k))

@@ -189,8 +189,9 @@ def rule_table_last_wins(spark, sf_dir):
     return rules.evaluate(table(spark, sf_dir, "lineitem"), table_, ("violates", "risk")).select("l_orderkey", "l_linenumber", "violates", "risk", "reason")
 
 
-@query("""WITH d AS (SELECT source, doc_id, sha256(coalesce(text, '')) AS own FROM documents)
-SELECT source, count(*) AS members, sha256(string_agg(own, ':' ORDER BY doc_id)) AS manifest FROM d GROUP BY source""")
+@query("""WITH d AS (SELECT source, doc_id, CAST(floor(doc_id / 1024.0) AS BIGINT) AS block, sha256(coalesce(text, '')) AS own FROM documents),
+b AS (SELECT source, block, count(*) AS n, sha256(string_agg(own, ':' ORDER BY doc_id)) AS own FROM d GROUP BY source, block)
+SELECT source, CAST(sum(n) AS BIGINT) AS members, sha256(string_agg(own, ':' ORDER BY block)) AS manifest FROM b GROUP BY source""")
 def manifest_hash(spark, sf_dir):
     return A.manifest_hash(table(spark, sf_dir, "documents"), ["source"], "doc_id", "text")
 

@@ -224,12 +224,12 @@ def exact_text_pairs(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) * list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))), 9) AS score
-  FROM embeddings q, embeddings v WHERE q.vec_id % 25 = 0 AND q.vec_id <> v.vec_id),
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def vector_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    return S.nearest(vectors.where("vec_id % 25 = 0"), vectors, "vec_id", "embedding", 5).withColumn("score", F.round("score", 6))
+    return S.nearest(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "embedding", 5).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,3 +18,21 @@ def session(name: str, master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC, adaptive execution and Arrow; ``conf`` comes on top. The master is the cluster's unless given."""
     builder = SparkSession.builder.appName(name).config(map=DEFAULTS | conf)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+#: Where frames are settled on a local master whose session names no folder.
+OWN_FOLDER = "/tmp/clauseframe-checkpoints"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the folder that ``spark.checkpoint.dir`` names, for a plan that reads it many times.
+
+    The plan above it stays small, and a lost executor costs nothing of it. On a local master the folder may be unset.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or OWN_FOLDER)
+    return df.checkpoint()

@@ -44,15 +44,26 @@ def fold(rows: Iterator[tuple[int, str, str | None]], state: tuple[str, int, int
     return now, users, last
 
 
-def stream_states(turns: DataFrame) -> DataFrame:
-    """(conv_id, state, user_turns, last_turn) as they change, from a streaming frame (conv_id, turn, role, asked)."""
+#: How long the state of a conversation in which nothing happens is kept.
+KEPT_MS = 30 * 24 * 3600 * 1000
+
+
+def stream_states(turns: DataFrame, kept_ms: int = KEPT_MS) -> DataFrame:
+    """(conv_id, state, user_turns, last_turn) as they change, from a streaming frame (conv_id, turn, role, asked).
+
+    A conversation's state goes ``kept_ms`` after its last turn arrived, so state is bounded by what happens in that time.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now = state.get if state.exists else ("PRIORITIZE", 0, -1)
         rows = pd.concat(list(frames)).sort_values("turn")
         now = fold(zip(rows.turn.tolist(), rows.role.tolist(), [None if pd.isna(a) else a for a in rows.asked], strict=True), now)
         state.update(now)
+        state.setTimeoutDuration(kept_ms)
         yield pd.DataFrame([(key[0], *now)], columns=["conv_id", "state", "user_turns", "last_turn"])
 
-    return turns.groupBy("conv_id").applyInPandasWithState(run, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return turns.groupBy("conv_id").applyInPandasWithState(run, RESULT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)

@@ -44,9 +44,112 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert got == sorted(tuple(plain(r[columns.index(n)]) for n in names) for r in duck.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_query_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+UNCHECKED = {"html_sections", "html_manifest", "clause_alignment", "assignment_optimal", "lis_moved", "word_diff", "chunk_pack_300"}
+
+
+def test_every_query_has_sql_or_a_test_of_its_own():
+    assert set(QUERIES) - set(ORACLE_SQL) == UNCHECKED
+
+
+def test_chunks_hold_the_words_in_order(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    chunks = {}
+    for r in QUERIES["chunk_pack_300"](spark, sf).orderBy("doc_id", "part").collect():
+        chunks.setdefault(r.doc_id, []).append((r.part, r.chunk))
+    assert set(chunks) == {i for i, t in texts.items() if t.strip()}
+    for i, own in chunks.items():
+        assert [p for p, _ in own] == list(range(1, len(own) + 1)) and " ".join(c for _, c in own).split() == texts[i].split()
+        sizes = [len(c.split()) for _, c in own]
+        assert len(sizes) == 1 and sizes[0] <= segment.MOST or all(0.8 * segment.TARGET <= n for n in sizes[:-1])
+
+
+def versions_of(spark, sf):
+    from clauseframe.queries import states
+
+    sides = {}
+    for r in states._versions(spark, sf).orderBy("pair_id", "side", "ord").collect():
+        sides.setdefault(r.pair_id, {"before": [], "after": []})[r.side].append(r.text)
+    return sides
+
+
+def test_alignments_name_each_clause_once(spark, sf):
+    sides, rows = versions_of(spark, sf), {}
+    for r in QUERIES["clause_alignment"](spark, sf).collect():
+        rows.setdefault(r.pair_id, []).append(r)
+    assert set(rows) == set(sides)
+    for pair, own in rows.items():
+        for side in ("before", "after"):
+            assert sorted(i for r in own for i in getattr(r, side)) == list(range(len(sides[pair][side])))
+        for r in own:
+            told = {s: "\n".join(sides[pair][s][i] for i in getattr(r, s)) for s in ("before", "after")}
+            assert (r.before_text, r.after_text) == (told["before"], told["after"])
+            assert (r.change == "ADDED") == (not r.before) and (r.change == "REMOVED") == (not r.after)
+            assert r.change != "UNCHANGED" or align.normalized(r.before_text) == align.normalized(r.after_text)
+    counted = {r.pair_id: (r.pairs, r.similarity) for r in QUERIES["assignment_optimal"](spark, sf).collect()}
+    for pair, own in rows.items():
+        changed = [r.similarity for r in own if r.change == "MODIFIED"]
+        assert (pair in counted) == bool(changed)
+        assert not changed or counted[pair][0] == len(changed) and abs(counted[pair][1] - sum(changed)) < 0.002
+
+
+def test_moved_clauses_are_those_off_the_longest_run(spark, sf):
+    import itertools
+
+    rows = QUERIES["lis_moved"](spark, sf).collect()
+    assert all(r.before and r.after for r in rows)
+    rng = random.Random(3)
+    clauses = [f"clause {i} says that {i * i} things of kind {i % 7} hold in case {i * 31 % 17} of all" for i in range(9)]
+    made = []
+    for pair in range(6):
+        order = rng.sample(range(9), 9)
+        made += [(pair, "before", i, t) for i, t in enumerate(clauses)] + [(pair, "after", i, clauses[j]) for i, j in enumerate(order)]
+    got = {}
+    for r in align.align(spark.createDataFrame(made, "pair_id long, side string, ord int, text string")).collect():
+        got.setdefault(r.pair_id, []).append((r.before[0], r.after[0], r.moved))
+    for own in got.values():
+        places = [j for _, j, _ in sorted(own)]
+        longest = max(n for n in range(10) for c in itertools.combinations(places, n) if list(c) == sorted(c))
+        still = [j for _, j, moved in sorted(own) if not moved]
+        assert len(still) == longest and still == sorted(still)
+
+
+def plain_lcs(x, y):
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def test_word_diffs_give_both_texts_and_a_longest_common_run(spark, sf):
+    rng = random.Random(11)
+    pairs = [(" ".join(rng.choices("abcd", k=rng.randrange(0, 30))), " ".join(rng.choices("abcd", k=rng.randrange(0, 30)))) for _ in range(150)]
+    for a, b in [*pairs, ("", ""), ("a", ""), ("", "a b"), ("same text", "same text"), ("a b c", "a b")]:
+        runs = align.word_diff(a, b)
+        assert "".join(t for o, t in runs if o != "insert") == a and "".join(t for o, t in runs if o != "delete") == b
+        assert sum(len(align.TOKEN.findall(t)) for o, t in runs if o == "equal") == plain_lcs(align.TOKEN.findall(a), align.TOKEN.findall(b))
+    for r in QUERIES["word_diff"](spark, sf).collect():
+        assert [x.op for x in r.runs] and all(x.op in ("equal", "delete", "insert") for x in r.runs)
+    long = " ".join(str(rng.randrange(500)) for _ in range(4000))
+    assert "".join(t for o, t in align.word_diff(long, long[7000:] + long[:7000]) if o != "insert") == long
+
+
+def test_html_sections_are_parts_of_their_page(spark, sf):
+    pages_ = {r.page_id: r.html or "" for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    sections = QUERIES["html_sections"](spark, sf).collect()
+    assert {r.page_id for r in sections} <= set(pages_) and len({(r.page_id, r.ord) for r in sections}) == len(sections)
+    for r in sections:
+        first = next((w for w in (r.text or "").split() if w.isascii() and w.isalnum()), "")
+        assert first in pages_[r.page_id] and "<" not in (r.text or "").split(" ")[0][:1]
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    own = {}
+    for r in sorted(sections, key=lambda r: (r.page_id, r.ord)):
+        if len(r.text) >= 20:
+            own.setdefault(r.page_id, {}).setdefault(r.ord // 1024, []).append(sha(r.text))
+    expected = {p: sha(":".join(sha(":".join(b)) for _, b in sorted(blocks.items()))) for p, blocks in own.items()}
+    assert {r.page_id: r.manifest for r in QUERIES["html_manifest"](spark, sf).collect()} == expected
 
 
 def one(spark, **columns):
@@ -133,7 +236,7 @@ def test_rules_fold(spark):
 def test_assignment_is_optimal():
     from itertools import permutations
 
-    assert align.assign(1 - np.array([[0.1, 0.2], [0.15, 0.9]])) == [0, 1] or sum([0.1, 0.9]) > sum([0.2, 0.15])
+    assert align.assign(1 - np.array([[0.1, 0.2], [0.15, 0.9]])) == [0, 1]
     assert align.assign(np.array([[0.1, 0.2], [0.15, 0.9]])) == [1, 0] and align.assign(np.array([[0.5, 0.1, 0.9]])) == [1]
     rng = np.random.default_rng(0)
     for _ in range(30):
@@ -154,7 +257,6 @@ def test_alignment_of_two_versions():
     runs = align.word_diff("Rent is 6,000 a month", "Rent is 6,500 a month")
     assert [r for r in runs if r[0] != "equal"] == [("delete", "6,000"), ("insert", "6,500")] and align.number_changes(runs) == [("6,000", "6,500")]
     assert align.increasing([2, 0, 1, 3]) == {1, 2, 3} and align.increasing([]) == set()
-    assert align.comparison_status("MODIFIED", "RED", "OK") == "FIXED" and align.comparison_status("UNCHANGED", "ORANGE", "ORANGE") == "STILL_OPEN"
 
 
 def test_split_clause_joins_its_neighbour():
