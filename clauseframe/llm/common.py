@@ -114,10 +114,10 @@ class WordHashes(dict):
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits: xor-shift and multiply, twice."""
     h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    for _ in range(2):
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:

@@ -72,7 +72,7 @@ class Block:
         self.starts = np.repeat(np.cumsum(sizes) - sizes, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         self.docs = np.repeat(np.array([i or 0 for i in ids], np.int64), n)
         a, b = (windows(h, length)[self.starts] if len(self.starts) else np.zeros(0, np.uint64) for h in halves)
-        order = np.argsort(a, kind="stable")
+        order = np.argsort(a)
         if (np.diff(b[order])[np.diff(a[order]) == 0] != 0).any():
             order = np.lexsort((b, a))
         a, b = a[order], b[order]
@@ -83,9 +83,9 @@ class Block:
         self.least = np.minimum.reduceat(self.docs[order], first) if len(a) else self.docs
 
     def counters(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """The counters of the windows in one row of the sketch, ascending, and which windows they are."""
+        """The counters of the windows in one row of the sketch, ascending, and which windows they are; equal ones in any order."""
         at = ((self.a, self.b)[row] >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at) if row else np.arange(len(at))  # the first row's counters ascend with the windows
         return at[order], order
 
     def repeated(self, elsewhere: np.ndarray) -> np.ndarray:
