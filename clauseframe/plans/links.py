@@ -20,7 +20,7 @@ from . import clauses as C
 #: Fixed values.
 SCORES = {"SAME_SECTION": 1.0, "OVERRIDDEN_BY": 0.97, "OVERRIDES": 0.95, "REFERENCES": 0.9, "DEFINES_VALUE": 0.85, "REFERENCED_BY": 0.7, "RELATED_TOPIC": 0.6, "SIMILAR_TEXT": 0.3}
 EXPLICIT = ("SAME_SECTION", "REFERENCES", "REFERENCED_BY", "OVERRIDES", "OVERRIDDEN_BY")
-MOST_EXPLICIT, MOST, BUDGET, EXCERPT, SAME_EXCERPT, LEXICAL = 6, 4, 2500, 600, 900, 0.3
+MOST_EXPLICIT, MOST, BUDGET, EXCERPT, SAME_EXCERPT, LEXICAL, BY_VECTOR = 6, 4, 2500, 600, 900, 0.3, 0.55
 PAIR = ["contract_id", "clause_id", "target"]
 COLUMNS = [*PAIR, "step", "sub", "relation", "score", "excerpt"]
 
@@ -38,7 +38,22 @@ def _around(sentences: DataFrame, hits: DataFrame, clauses: DataFrame) -> DataFr
     return told.groupBy("contract_id", "clause_id", "tag").agg(_capped(joined, EXCERPT).alias("excerpt"))
 
 
-def candidates(clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
+def similar(clauses: DataFrame, vectors: DataFrame | None) -> DataFrame:
+    """(contract_id, part_a, part_b, strength): clauses of one agreement that are alike by their words, or by their vectors where both
+    have one (contract_id, clause_id, vector)."""
+    terms = clauses.select("contract_id", "clause_id", F.explode(T.stems("text", stop=H.STOP)).alias("term"))
+    like = S.tfidf_pairs(terms, "contract_id", "clause_id", "term", LEXICAL).select("contract_id", "part_a", "part_b", ((F.col("score") - LEXICAL) / (1 - LEXICAL)).alias("strength"))
+    if vectors is None:
+        return like.where("strength > 0")
+    v = S.unit(vectors.where("vector IS NOT NULL").select("contract_id", "clause_id", "vector"), "vector")
+    of = lambda x: v.select("contract_id", F.col("clause_id").alias(f"part_{x}"), F.col("vector").alias(x))
+    near = of("a").join(of("b"), "contract_id").where("part_a < part_b").withColumn("score", S.dot(F.col("a"), F.col("b")))
+    near = near.select("contract_id", "part_a", "part_b", ((F.col("score") - BY_VECTOR) / (1 - BY_VECTOR)).alias("strength"))
+    rest = like.join(near.select("contract_id", "part_a", "part_b"), ["contract_id", "part_a", "part_b"], "left_anti")
+    return rest.unionByName(near).where("strength > 0")
+
+
+def candidates(clauses: DataFrame, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates in emission order, similarities) of every clause."""
     sentences = settled(C.with_sentences(clauses))
     counts, headings, primary = map(settled, C.profile_concepts(clauses))
@@ -88,8 +103,7 @@ def candidates(clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = shared.join(shared.select("contract_id", "concept", F.col("clause_id").alias("target")), ["contract_id", "concept"]).where("clause_id <> target").select(*PAIR).distinct().join(texts, ["contract_id", "target"])
     peers = row(pairs, 4, F.array("target_ord"), F.lit("RELATED_TOPIC"), _capped("target_text", EXCERPT), F.lit(SCORES["RELATED_TOPIC"] - 0.05))
 
-    terms = clauses.select("contract_id", "clause_id", F.explode(T.stems("text", stop=H.STOP)).alias("term"))
-    like = S.tfidf_pairs(terms, "contract_id", "clause_id", "term", LEXICAL).withColumn("strength", (F.col("score") - LEXICAL) / (1 - LEXICAL)).where("strength > 0")
+    like = similar(clauses, vectors)
     both = like.select("contract_id", F.col("part_a").alias("clause_id"), F.col("part_b").alias("target"), "strength").unionByName(like.select("contract_id", F.col("part_b").alias("clause_id"), F.col("part_a").alias("target"), "strength"))
     cast = lambda df: df.withColumn("sub", F.col("sub").cast("array<int>")).select(*COLUMNS)
     return reduce(DataFrame.unionByName, map(cast, (same, refs, back, values, topics, peers))), both
@@ -110,10 +124,10 @@ def folded(found: DataFrame) -> DataFrame:
     return grouped.select(*PAIR, "first", F.aggregate("all", F.lit(None).cast(item), merged).alias("x")).select(*PAIR, "first", "x.*")
 
 
-def link_clauses(clauses: DataFrame) -> DataFrame:
+def link_clauses(clauses: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """(contract_id, clause_id, rank, target, relation, score, excerpt): the links of each clause, at most six explicit ones, topical
-    ones up to four together, within a budget of characters."""
-    found, like = candidates(clauses)
+    ones up to four together, within a budget of characters. ``vectors``: see ``similar``."""
+    found, like = candidates(clauses, vectors)
     joined = folded(settled(found)).join(like, PAIR, "full_outer").join(clauses.select("contract_id", F.col("clause_id").alias("target"), F.col("ord").alias("target_ord"), "text"), ["contract_id", "target"])
     score = F.when(F.col("relation").isNull(), SCORES["SIMILAR_TEXT"] + 0.4 * F.col("strength")).otherwise(F.least(F.lit(1.0), F.col("score") + 0.1 * F.coalesce("strength", F.lit(0.0))))
     links = joined.select(

@@ -79,3 +79,25 @@ def gate(df: DataFrame, rules: tuple[Rule, ...] = HEBREW, names: tuple[str, ...]
     """(clean, quarantined): a document goes to the second as a whole if an identifier remains in any of its parts."""
     bad = df.where(residual(text, rules, names)).select(key).distinct()
     return df.join(bad, key, "left_anti"), df.join(bad, key, "left_semi")
+
+
+def resolved_spans(spans: Column, text: Column, least: float) -> Column:
+    """The spans (start, end, mark, score; code points, end exclusive) that count: those with a mark and ``least`` certainty that lie
+    in the text, in order, and of overlapping ones the first, or the longer of two that begin together."""
+    size = F.length(F.coalesce(text, F.lit("")))
+    usable = F.filter(spans, lambda s: s["mark"].isNotNull() & (s["score"] >= least) & (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= size))
+    ordered = F.array_sort(F.transform(usable, lambda s: F.struct(s["start"].cast("int").alias("start"), (s["start"] - s["end"]).cast("int").alias("size"), s["end"].cast("int").alias("end"), s["mark"].alias("mark"))))
+    none = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,end:int,mark:string>>").alias("kept"))
+    step = lambda a, s: F.when(s["start"] < a["upto"], a).otherwise(F.struct(s["end"].alias("upto"), F.concat(a["kept"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["mark"].alias("mark")))).alias("kept")))
+    return F.aggregate(F.coalesce(ordered, F.array().cast("array<struct<start:int,size:int,end:int,mark:string>>")), none, step)["kept"]
+
+
+def mask_spans(df: DataFrame, spans: str, least: float, text: str = "text", count: str = "masked") -> DataFrame:
+    """``df`` with each span of ``spans`` that counts replaced by its mark, and how many there were; see ``resolved_spans``. What names
+    the spans is the caller's: they come as a column."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), s["mark"]).alias("out"))
+    kept = df.withColumn("_kept", resolved_spans(F.col(spans), F.col(text), least))
+    told = F.aggregate("_kept", start, step)
+    masked = F.when(F.size("_kept") > 0, F.concat(told["out"], F.substring(F.col(text), told["at"] + 1, F.length(text)))).otherwise(F.col(text))
+    return kept.withColumn(count, F.size("_kept")).withColumn(text, masked).drop("_kept")

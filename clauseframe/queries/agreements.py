@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans import analyses, links, rules, terms, verdicts
+from ..plans import analyses, links, metrics, rules, terms, verdicts
 from ..plans import clauses as C
 from ..registry import query, table
 
@@ -121,3 +121,17 @@ def comparison_statuses(spark, sf_dir):
     before = orders.select(F.col("o_orderkey").alias("pair_id"), F.lit(0).alias("ord"), mapped(F.col("o_orderstatus"), "P", "O"))
     after = orders.select(F.col("o_orderkey").alias("pair_id"), F.lit(0).alias("ord"), mapped(F.substring("o_orderpriority", 1, 1), "1", "2"))
     return analyses.compare(rows, before, after).select(F.col("pair_id").alias("o_orderkey"), "status")
+
+
+@query("""WITH g AS (SELECT *, CASE o_orderstatus WHEN 'P' THEN 'RED' WHEN 'O' THEN 'ORANGE' ELSE 'OK' END AS severity, CASE left(o_orderpriority, 1) WHEN '1' THEN 'RED' WHEN '2' THEN 'ORANGE' ELSE 'OK' END AS said FROM orders),
+r AS (SELECT round(count(*) FILTER (severity = 'RED' AND said = 'RED') / CAST(count(*) FILTER (severity = 'RED') AS DOUBLE), 6) AS violation_recall,
+  round(count(*) FILTER (said IN ('RED', 'ORANGE') AND said = severity) / CAST(count(*) FILTER (said IN ('RED', 'ORANGE')) AS DOUBLE), 6) AS warning_precision,
+  round(count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0) / CAST(count(*) FILTER (o_orderkey % 3 = 0) AS DOUBLE), 6) AS protection_recall FROM g)
+SELECT *, violation_recall >= 0.9 AND warning_precision >= 0.95 AND protection_recall >= 0.85 AS passed FROM r""")
+def release_gate(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("clause_id"), "o_orderstatus", F.substring("o_orderpriority", 1, 1).alias("p"))
+    told = lambda c, red, orange: F.when(F.col(c) == red, "RED").when(F.col(c) == orange, "ORANGE").otherwise("OK")
+    side = lambda severity: orders.select("case_id", "clause_id", severity.alias("severity"), (severity == "RED").alias("violates"))
+    items = orders.select("case_id", F.col("clause_id").alias("item"))
+    reported = items.select("case_id", "item", F.when(F.col("item") % 5 == 0, "COVERED").otherwise("MISSING").alias("status"))
+    return metrics.release_gate(side(told("o_orderstatus", "P", "O")), side(told("p", "1", "2")), items.where("item % 3 = 0"), reported)

@@ -36,3 +36,31 @@ def test_grounding(spark):
     s = [("RED", False, True, "CITE_LAW", "בקשה", False), ("RED", True, True, "CONCEDE", None, False), ("ORANGE", True, True, "PROPOSE_ALTERNATIVE", "x", False), ("RED", True, False, "CONCEDE", None, True)]
     told = grounding.strategy_problems(spark.createDataFrame(s, "severity string, has_reference boolean, prioritised boolean, kind string, request string, confirmed boolean"))
     assert [r.problems for r in told.collect()] == [["NO_REFERENCE"], ["CONFIRMATION_NEEDED"], ["NO_REQUEST"], ["NOT_A_PRIORITY"]]
+
+
+def test_spans_are_resolved_and_masked(spark):
+    from clauseframe.plans import redact
+
+    spans = [(0, 4, "[A]", 0.9), (0, 6, "[B]", 0.9), (5, 8, "[C]", 0.9), (6, 9, "[D]", 0.9), (9, 9, "[E]", 0.9), (10, 12, None, 0.9), (10, 12, "[F]", 0.1), (11, 99, "[G]", 0.9), (12, 13, "[H]", 0.5)]
+    rows = [(1, "0123456789abcdef", spans), (2, "nothing", []), (3, None, spans), (4, "no list", None)]
+    df = spark.createDataFrame(rows, "id int, text string, spans array<struct<start:int,end:int,mark:string,score:double>>")
+    got = {r.id: (r.text, r.masked) for r in redact.mask_spans(df, "spans", 0.5).collect()}
+    assert got == {1: ("[B][D]9ab[H]def", 3), 2: ("nothing", 0), 3: (None, 0), 4: ("no list", 0)}
+
+
+def test_similar_by_vector_where_both_have_one(spark):
+    from clauseframe.plans import links
+
+    clauses = spark.createDataFrame([(1, c, t) for c, t in (("a", "alpha beta gamma"), ("b", "alpha beta gamma"), ("c", "delta"), ("d", "delta"), ("e", "epsilon"))], "contract_id int, clause_id string, text string")
+    words = {(r.part_a, r.part_b) for r in links.similar(clauses, None).collect()}
+    assert words == {("a", "b"), ("c", "d")}
+    vectors = spark.createDataFrame([(1, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0]), (1, "e", [0.9, 0.1]), (1, "c", None)], "contract_id int, clause_id string, vector array<double>")
+    assert {(r.part_a, r.part_b) for r in links.similar(clauses, vectors).collect()} == {("a", "e"), ("c", "d")}
+
+
+def test_release_gate_without_cases(spark):
+    from clauseframe.plans import metrics
+
+    found = spark.createDataFrame([], "case_id int, clause_id string, severity string, violates boolean")
+    r = metrics.release_gate(found, found, spark.createDataFrame([], "case_id int, item string"), spark.createDataFrame([], "case_id int, item string, status string")).first()
+    assert tuple(r) == (0.0, 0.0, 1.0, False)
