@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, written
-from .tokens import HELD_WORDS, WordIds
+from .tokens import HELD_WORDS, word_ids
 
 CAPACITY = 2048
 END_ID = 0
@@ -28,12 +28,12 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     """One row per piece: doc_id, piece (from 0), start, length, ids (little-endian unsigned 32-bit).
 
     Narrow: one pass, no shuffle. A null or empty text has one piece, the closing id. Repeated rows each have their pieces.
-    ``held_words`` trades memory for time; see ``tokens.WordIds``. What a task holds goes with it.
+    ``held_words`` trades memory for time; see ``tokens.word_ids``.
     """
     columns = ("piece", "start", "length", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(vocabulary, most=held_words), np.array([end_id], "<u4").tobytes()
+        words, end = word_ids(vocabulary, most=held_words), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
