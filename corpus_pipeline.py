@@ -23,6 +23,10 @@ from clauseframe.llm.secrets import redact_secrets
 from clauseframe.llm.substrings import remove_repeats
 
 
+#: Fewer than the operator's own default, as the workers still hold what earlier stages left.
+HELD_WORDS = 200_000
+
+
 def counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
@@ -50,7 +54,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids, sequence_id, offset of every piece of every document."""
-    return pack(token_pieces(docs), expected_pieces(docs))
+    return pack(token_pieces(docs, held_words=HELD_WORDS), expected_pieces(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
