@@ -47,3 +47,8 @@ def duration(value: Column, unit: Column) -> Column:
 def add_months(period: Column | str, months: Column) -> Column:
     """A month 'YYYY-MM' some months later."""
     return F.date_format(F.add_months(F.to_date(F.concat(_col(period), F.lit("-01"))), months.cast("int")), "yyyy-MM")
+
+
+def date_in_zone(instant: Column | str, zone: str = "Asia/Jerusalem") -> Column:
+    """The calendar date in ``zone`` of an instant, in a session that keeps UTC."""
+    return F.to_date(F.from_utc_timestamp(_col(instant), zone))

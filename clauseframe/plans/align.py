@@ -16,7 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MATCH, CONTAINED, PART = 0.45, 0.85, 0.7
-RESULT = "pair_id long, before array<int>, after array<int>, change string, similarity double, moved boolean, before_text string, after_text string"
+RESULT = "pair_id long, before array<int>, after array<int>, change string, similarity double, moved boolean, before_text string, after_text string, renumbered boolean"
+
+#: What names a section: the word, then numbers that commas, dashes and the like join. Fixed patterns.
+LABEL = r"\d{1,3}(?:\.\d{1,3})*"
+NAMED = re.compile(rf"((?:סעיפים|סעיפי|סעיף|[Ss]ections?|[Cc]lauses?)\s+)({LABEL}(?:\s*(?:,|-|–|ו-?|עד|and|to)\s*{LABEL})*)")
+OWN_LABEL = re.compile(rf"\s*(?:סעיף\s+)?({LABEL})\s*[.):\-]")
 
 
 def normalized(text: str) -> str:
@@ -24,6 +29,23 @@ def normalized(text: str) -> str:
     return " ".join(re.sub("[‘’‚׳]", "'", re.sub("[“”„״]", '"', plain)).split())
 
 
+def own_label(text: str) -> str | None:
+    """The number that a clause begins with."""
+    found = OWN_LABEL.match(text or "")
+    return found and found[1]
+
+
+def renumbered(text: str, labels: dict[str, str]) -> str:
+    """``text`` with each section number that it names replaced as ``labels`` says; of a number that is unknown as a whole, the
+    main part is."""
+
+    def one(label: re.Match) -> str:
+        main, dot, rest = label[0].partition(".")
+        return labels.get(label[0]) or labels.get(main, main) + dot + rest
+
+    return NAMED.sub(lambda m: m[1] + re.sub(LABEL, one, m[2]), text or "")
+
+
 class Clause:
     """What the comparison needs of a clause."""
 
@@ -111,8 +133,9 @@ def increasing(values: list[int]) -> set[int]:
     return out
 
 
-def aligned(before: list[str], after: list[str]) -> list[tuple[list[int], list[int], str, float, bool]]:
-    """(before, after, change, similarity, moved) in the order of the later version; removed clauses stand before what follows them."""
+def aligned(before: list[str], after: list[str]) -> list[tuple[list[int], list[int], str, float, bool, bool]]:
+    """(before, after, change, similarity, moved, renumbered) in the order of the later version; removed clauses stand before what
+    follows them. A pair is unchanged, and renumbered, if it differs only in naming sections by the numbers they have since."""
     place = lambda i, n: i / (n - 1) if n > 1 else 0.0
     a = [Clause(t, place(i, len(before))) for i, t in enumerate(before)]
     b = [Clause(t, place(i, len(after))) for i, t in enumerate(after)]
@@ -150,16 +173,19 @@ def aligned(before: list[str], after: list[str]) -> list[tuple[list[int], list[i
                 joined.add(i)
     ordered = sorted(pairs)
     still = {ordered[k] for k in increasing([pairs[i] for i in ordered])}
+    labels = {new: old for i, j in pairs.items() if (new := own_label(after[j])) and (old := own_label(before[i]))}
     rows = []
     for i, (x, y) in groups.items():
-        same = normalized(before[i]) == normalized(after[pairs[i]])
+        old, new = normalized(before[i]), after[pairs[i]]
+        equal = old == normalized(new)
+        same = equal or old == normalized(renumbered(new, labels))
         change = "SPLIT" if len(y) > 1 else "MERGED" if len(x) > 1 else "UNCHANGED" if same else "MODIFIED"
-        rows.append((float(pairs[i]), (sorted(x), sorted(y), change, round(score[i], 3), i not in still)))
+        rows.append((float(pairs[i]), (sorted(x), sorted(y), change, round(score[i], 3), i not in still, change == "UNCHANGED" and not equal)))
     for i in range(len(a)):
         if i not in joined:
             after_it = next((pairs[k] for k in ordered if k > i), len(b))
-            rows.append((after_it - 0.5, ([i], [], "REMOVED", 0.0, False)))
-    rows += [(float(j), ([], [j], "ADDED", 0.0, False)) for j in range(len(b)) if j not in taken]
+            rows.append((after_it - 0.5, ([i], [], "REMOVED", 0.0, False, False)))
+    rows += [(float(j), ([], [j], "ADDED", 0.0, False, False)) for j in range(len(b)) if j not in taken]
     return [r for _, r in sorted(rows, key=lambda r: (r[0], r[1][0]))]
 
 
@@ -171,7 +197,7 @@ def align(clauses: DataFrame) -> DataFrame:
         texts = {s: pair.text[pair.side == s].tolist() for s in ("before", "after")}
         rows = aligned(texts["before"], texts["after"])
         told = lambda side, at: "\n".join(texts[side][i] for i in at)
-        return pd.DataFrame([(pair.pair_id.iloc[0], x, y, c, s, m, told("before", x), told("after", y)) for x, y, c, s, m in rows], columns=["pair_id", "before", "after", "change", "similarity", "moved", "before_text", "after_text"])
+        return pd.DataFrame([(pair.pair_id.iloc[0], x, y, c, s, m, told("before", x), told("after", y), r) for x, y, c, s, m, r in rows], columns=["pair_id", "before", "after", "change", "similarity", "moved", "before_text", "after_text", "renumbered"])
 
     return clauses.groupBy("pair_id").applyInPandas(run, RESULT)
 

@@ -94,3 +94,10 @@ def marks(boxes_: DataFrame, width: str = "page_width", height: str = "page_heig
     """The boxes padded and kept inside their page."""
     clamp = lambda c, most: F.greatest(F.lit(0.0), F.least(c, F.col(most).cast("double")))
     return boxes_.withColumns({"x0": clamp(F.col("x0") - PAD, width), "y0": clamp(F.col("y0") - PAD, height), "x1": clamp(F.col("x1") + PAD, width), "y1": clamp(F.col("y1") + PAD, height)})
+
+
+def first_location(boxes_: DataFrame) -> DataFrame:
+    """(doc_id, clause_id, page, x0, y0, x1, y1): where to look for a clause: its first page and there its highest box, as y grows
+    upwards; of boxes of one height the leftmost."""
+    box = F.struct("page", (-F.col("y0")).alias("_down"), "x0", "y0", "x1", "y1")
+    return boxes_.groupBy("doc_id", "clause_id").agg(F.min(box).alias("b")).select("doc_id", "clause_id", *(f"b.{c}" for c in ("page", "x0", "y0", "x1", "y1")))

@@ -116,3 +116,11 @@ def effective_percent(months: DataFrame, key: str) -> DataFrame:
     ends = own.groupBy(key).agg(F.min_by(rent, "month").alias("first"), F.max_by(rent, "month").alias("last"), F.count(F.lit(1)).alias("span"))
     rate = F.when((F.col("span") > 1) & (F.col("first") > 0), (F.pow(F.col("last") / F.col("first"), 12 / (F.col("span") - 1)) - 1) * 100).otherwise(0.0)
     return ends.select(key, rate.alias("percent"))
+
+
+def security_summary(securities: DataFrame, key: str) -> DataFrame:
+    """(key, total, cash_locked, return_days) of ``securities`` (key, ord, kind, amount, return_days): what is known of their amounts,
+    what of it is held in cash, and the first return time that is stated."""
+    known = lambda c: money(F.coalesce(F.sum(c), F.lit(0.0)))
+    days = F.min(F.when(F.col("return_days").isNotNull(), F.struct("ord", "return_days")))["return_days"]
+    return securities.groupBy(key).agg(known(F.col("amount")).alias("total"), known(F.when(F.col("kind") == "CASH_DEPOSIT", F.col("amount"))).alias("cash_locked"), days.alias("return_days"))
