@@ -143,6 +143,13 @@ def dealt_pairs(queries: DataFrame, vectors: DataFrame, key: str, vector: str, r
     return q, v
 
 
+def matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of one length as rows, and which of them hold a null."""
+    flat = column.combine_chunks().flatten()
+    shape = (len(column), -1) if len(flat) else (len(column), 0)
+    return flat.to_numpy(zero_copy_only=False).reshape(shape), flat.is_null().to_numpy(zero_copy_only=False).reshape(shape).any(axis=1)
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, rows: int = 2048) -> DataFrame:
     """(query, rank, key, score): the ``k`` vectors of the highest cosine, ties to the smaller key (a long); a key is not its own neighbour.
 
@@ -150,11 +157,6 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
     is merged. A null vector takes no part; a score with a null component is null and comes last.
     """
 
-    def matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        flat = column.combine_chunks().flatten()
-        shape = (len(column), -1) if len(flat) else (len(column), 0)
-        return flat.to_numpy(zero_copy_only=False).reshape(shape), flat.is_null().to_numpy(zero_copy_only=False).reshape(shape).any(axis=1)
-
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if a.num_rows and b.num_rows:
@@ -179,3 +181,47 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
     found = on(q, "q").cogroup(on(v, vector)).applyInArrow(best, f"query long, `{key}` long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col(key)))).where(F.col("rank") <= k)
     return ranked.select("query", "rank", key, "score")
+
+
+def linked(vectors: DataFrame, group: str, key: str, vector: str, least: float, counts: bool = False, rows: int = 2048) -> DataFrame:
+    """Pairs of one group whose cosine is ``least`` or more: (a, b, score) with a < b, or, with ``counts``, (key, n_links) for each key
+    that has a link, so that no pair is written.
+
+    A group is dealt to blocks of about ``rows``, whose number follows its own count, and its blocks meet two by two: a group that
+    holds a third of all rows is many tasks' work. Keys are longs and distinct. Rows whose group, key or vector is null, and vectors with a
+    null component or of another length, have no links.
+    """
+    usable = unit(vectors.select(group, key, vector).where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(vector).isNotNull()), vector)
+    sizes = usable.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_blocks"))
+    dealt = usable.join(sizes, group).withColumn("_own", F.pmod(F.xxhash64(key), F.col("_blocks").cast("long")).cast("int")).withColumn("_dim", F.size(vector))
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.select(group, "_dim", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), "_own", key, vector)
+
+    def meet(names: tuple, block: pa.Table) -> pa.Table:
+        own, ids = block.column("_own").to_numpy(), block.column(key).to_numpy()
+        (v, null), (first, second) = matrix(block.column(vector)), (names[2].as_py(), names[3].as_py())
+        left, right = np.flatnonzero((own == first) & ~null), np.flatnonzero((own == second) & ~null)
+        a, b, score, n = [], [], [], np.zeros(len(ids), np.int64)
+        for at in range(0, len(left), 256):
+            part = left[at : at + 256]
+            s = v[part] @ v[right].T
+            hit = (s >= least) | np.isnan(s)
+            if first == second:
+                hit &= ids[part][:, None] < ids[right][None, :]
+            i, j = np.nonzero(hit)
+            if counts:
+                np.add.at(n, part[i], 1)
+                np.add.at(n, right[j], 1)
+            else:
+                x, y = ids[part[i]], ids[right[j]]
+                a.append(np.minimum(x, y))
+                b.append(np.maximum(x, y))
+                score.append(s[i, j])
+        if counts:
+            return pa.table({key: ids[n > 0], "n_links": n[n > 0]})
+        joined = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+        return pa.table({"a": joined(a, pa.int64()), "b": joined(b, pa.int64()), "score": joined(score, pa.float64())})
+
+    schema = f"`{key}` long, n_links long" if counts else "a long, b long, score double"
+    found = met.groupBy(group, "_dim", "_x", "_y").applyInArrow(meet, schema)
+    return found.groupBy(key).agg(F.sum("n_links").alias("n_links")) if counts else found

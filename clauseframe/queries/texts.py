@@ -236,10 +236,18 @@ def vector_topk(spark, sf_dir):
 SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS score
 FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.4""")
 def vector_threshold_links(spark, sf_dir):
-    v = S.unit(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), "embedding")
-    side = lambda x: v.select("label", F.col("vec_id").alias(f"vec_{x}"), F.col("embedding").alias(x))
-    pairs = side("a").join(side("b"), "label").where("vec_a < vec_b").withColumn("score", S.dot(F.col("a"), F.col("b"))).where("score >= 0.4")
-    return pairs.select("vec_a", "vec_b", F.round("score", 6).alias("score"))
+    pairs = S.linked(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.4)
+    return pairs.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"), F.round("score", 6).alias("score"))
+
+
+@query("""WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.4)
+SELECT vec_id, label, count(p.vec_id) AS n_links FROM u LEFT JOIN p USING (vec_id) GROUP BY vec_id, label""")
+def vector_link_counts(spark, sf_dir):
+    """The links of ``vector_threshold_links`` as one row a vector: its class and how many links it has."""
+    vectors = table(spark, sf_dir, "embeddings")
+    counted = S.linked(vectors, "label", "vec_id", "embedding", 0.4, counts=True)
+    return vectors.select("vec_id", "label").join(counted, "vec_id", "left").fillna(0, ["n_links"])
 
 
 @query("""WITH e AS (SELECT source, doc_id, left(text, 600) AS excerpt, n_chars FROM documents), u AS (SELECT *, coalesce(sum(length(excerpt)) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM e)

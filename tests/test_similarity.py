@@ -39,3 +39,22 @@ def test_bag_overlap_equals_inverted_index(spark):
     want = S.multiset_overlap(grams(left, "doc_id"), grams(right, "item_id"), "doc_id", "item_id", "g").select("doc_id", "item_id", "shared", "n_left", "n_right")
     got = S.bag_overlap(left, right, "doc_id", "item_id", "text", S.trigram_bag, chars=20, right_chars=9, right_rows=3)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_links_of_dealt_blocks(spark):
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, i % 7 and "hot", [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    rows = [(i, g or "cold", v) for i, g, v in rows] + [(200, None, [1.0] * 4), (201, "hot", None), (202, "hot", [1.0, None, 1.0, 1.0]), (203, "hot", [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, g string, v array<double>")
+    unit = {i: (g, [x / math.hypot(*v) for x in v]) for i, g, v in rows if i < 200}
+    want = {(a, b) for a, b in itertools.combinations(unit, 2) if unit[a][0] == unit[b][0] and sum(x * y for x, y in zip(unit[a][1], unit[b][1], strict=True)) >= 0.4}
+    for size in (16, 2048):
+        found = [(r.a, r.b) for r in S.linked(df, "g", "id", "v", 0.4, rows=size).collect()]
+        assert len(found) == len(want) and set(found) == want
+        counted = {r.id: r.n_links for r in S.linked(df, "g", "id", "v", 0.4, counts=True, rows=size).collect()}
+        assert counted == {i: n for i in unit if (n := sum(i in p for p in want))}
+    assert S.linked(df.limit(0), "g", "id", "v", 0.4).count() == 0
