@@ -52,6 +52,8 @@ def stream_states(turns: DataFrame, kept_ms: int = KEPT_MS) -> DataFrame:
     """(conv_id, state, user_turns, last_turn) as they change, from a streaming frame (conv_id, turn, role, asked).
 
     A conversation's state goes ``kept_ms`` after its last turn arrived, so state is bounded by what happens in that time.
+    Spark runs empty batches to see to such timeouts; a replay (``availableNow``) therefore ends only in a session that sets
+    spark.sql.streaming.noDataMicroBatches.enabled to false.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
