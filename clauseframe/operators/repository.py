@@ -145,3 +145,8 @@ def health(laws: DataFrame, vectors: DataFrame, status: str = "status") -> DataF
     rows = laws.select(F.col(status).alias("_s"), F.lit(1).alias("_law")).unionByName(vectors.select(F.col(status).alias("_s"), F.lit(0).alias("_law")))
     of = lambda law: F.count_if(F.coalesce((F.col("_s") == "ACTIVE") & (F.col("_law") == law), F.lit(False)))
     return rows.agg(of(1).alias("active_laws"), of(0).alias("active_vectors"))
+
+
+def as_read(df: DataFrame, **defaults: Column) -> DataFrame:
+    """``df`` as readers expect it: a field that old records lack, or have as null, has its default."""
+    return df.withColumns({c: F.coalesce(F.col(c), d) if c in df.columns else d for c, d in defaults.items()})

@@ -50,3 +50,17 @@ def acceptable_pdf(content: Column, most_bytes: int = 10 * 2**20) -> Column:
 def progress_lines(events: DataFrame, *columns: str) -> DataFrame:
     """(value): one JSON object a row, nulls left out; for the text sink."""
     return events.select(F.to_json(F.struct(*columns)).alias("value"))
+
+
+def event_blocks(pieces: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
+    """(key, ord, data, complete) of event streams that arrive in pieces, cut anywhere: the ``data`` lines of each block between blank
+    lines, joined by line breaks. What follows the last blank line is not complete yet; blocks without data are left out.
+
+    A stream is one reply, so its pieces are put together in one row.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(order, F.coalesce(text, F.lit("")).alias("_text"))))
+    whole = F.regexp_replace(F.array_join(F.transform(ordered, lambda p: p["_text"]), ""), r"\r\n?", "\n")
+    blocks = pieces.groupBy(key).agg(F.split(whole, r"\n{2,}", -1).alias("_blocks")).select(key, F.size("_blocks").alias("_n"), F.posexplode("_blocks").alias("ord", "_block"))
+    lines = F.filter(F.split("_block", "\n"), lambda x: F.startswith(x, F.lit("data:")))
+    data = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, "^data: ?", "")), "\n")
+    return blocks.where(F.size(lines) > 0).select(key, "ord", data.alias("data"), (F.col("ord") < F.col("_n") - 1).alias("complete"))
