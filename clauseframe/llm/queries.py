@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digest
 from .chat import chat_digest
+from .clusters import cluster
 from .common import table
 from .fingerprint import neighbour_digest
+from .languages import language_predictions
 from .neardup import near_duplicates
+from .negatives import embedding_negatives
 from .packing import pack_digest
 from .quality import quality_scores
 from .secrets import secret_digest
@@ -116,6 +119,57 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_block_norm_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql(rounds: int = 5) -> str:
+    """Each round is two steps: the nearest centroid of every vector, and the floors of the means."""
+    steps = [
+        """WITH e AS (SELECT row_number() OVER () AS n, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS INTEGER) AS c, v FROM e WHERE vec_id IS NOT NULL QUALIFY c < 40)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (SELECT n, c, CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(e.v, c{r}.v)]) AS BIGINT) AS d FROM e, c{r}),
+a{r} AS (SELECT n, c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, c) = 1)""")
+        if r < rounds:
+            steps.append(f"""u{r} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS k FROM (SELECT a{r}.c, unnest(e.v) AS x, generate_subscripts(e.v, 1) AS i FROM a{r} JOIN e USING (n)) GROUP BY c, i),
+m{r} AS (SELECT c, list((s - ((s % k) + k) % k) // k ORDER BY i) AS v FROM u{r} GROUP BY c),
+c{r + 1} AS (SELECT c{r}.c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return ",\n".join(steps) + f"""
+SELECT e.vec_id, a{rounds}.c AS cluster, a{rounds}.d AS distance, CAST(sum(a{rounds}.d) OVER (PARTITION BY a{rounds}.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a{rounds}.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN e USING (n) JOIN c{rounds} ON c{rounds}.c = a{rounds}.c"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_predictions(table(spark, sf_dir, "documents"))
+
+
+def op13_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_negatives(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH e AS (SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.n AS anchor, q.vec_id AS anchor_id, x.n AS other, x.vec_id AS other_id, q.label = x.label AS alike,
+    CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, x.v)]) AS BIGINT) AS score
+  FROM e q, e x WHERE q.vec_id % 100 = 0 AND q.n <> x.n AND len(q.v) = len(x.v)),
+p AS (SELECT anchor, other_id AS positive_id, other AS positive, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id, other) <= 5)
+SELECT s.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY s.anchor, p.positive ORDER BY s.score DESC, s.other_id, s.other) AS INTEGER) AS rank,
+  s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.alike AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_order_minhash": op2_order_minhash,
@@ -127,6 +181,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_chat_format": op9_chat_format,
     "op10_best_two_fit": op10_best_two_fit,
+    "op11_block_norm_clusters": op11_block_norm_clusters,
+    "op12_kneser_ney_language": op12_kneser_ney_language,
+    "op13_ball_tree_negatives": op13_ball_tree_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -134,4 +191,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op8_exact_topk": OP8_SQL,
     "op9_chat_format": OP9_SQL,
+    "op11_block_norm_clusters": OP11_SQL,
+    "op13_ball_tree_negatives": OP13_SQL,
 }
