@@ -1,21 +1,26 @@
 """Alignment of two versions of a document, clause by clause.
 
-Equal clauses are paired first, k-th with k-th; what is left is assigned one to one at the lowest total distance; clauses
-that were split or merged join a neighbour's pair. These rules look at a whole pair of versions, so a pair is one group.
+Equal clauses are paired first, k-th with k-th; what is left is assigned one to one, see ``assignment``; clauses that were
+split or merged join a neighbour's pair. Whatever grows with the product of the lengths is dealt into blocks and parts; what is done
+for a pair of versions in one place is linear in their length.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-MATCH, CONTAINED, PART = 0.45, 0.85, 0.7
+from ..session import settled
+from .assignment import Clause, all_edges, assigned, containment, edges, matching
+
+PART = 0.7
 RESULT = "pair_id long, before array<int>, after array<int>, change string, similarity double, moved boolean, before_text string, after_text string, renumbered boolean"
 
 #: What names a section: the word, then numbers that commas, dashes and the like join. Fixed patterns.
@@ -46,75 +51,15 @@ def renumbered(text: str, labels: dict[str, str]) -> str:
     return NAMED.sub(lambda m: m[1] + re.sub(LABEL, one, m[2]), text or "")
 
 
-class Clause:
-    """What the comparison needs of a clause."""
-
-    def __init__(self, text: str, at: float):
-        self.text, self.at = text, at
-        flat = "".join(text.split())
-        self.grams = Counter(flat[i : i + 3] for i in range(len(flat) - 2))
-        self.n = max(0, len(flat) - 2)
-        self.words = {w for w in re.findall(r"[^\W_]+", text) if len(w) > 1}
-        self.heading = text.split("\n", 1)[0].strip() if len(text.split("\n", 1)[0].split()) <= 7 else ""
-
-
-def overlap(a: Clause, b: Clause) -> int:
-    small, large = sorted((a.grams, b.grams), key=len)
-    return sum(min(n, large[g]) for g, n in small.items() if g in large)
-
-
-def similarity(a: Clause, b: Clause) -> float:
-    """0.6 Dice of trigrams, 0.25 Jaccard of words, 0.1 for one heading, 0.05 for one place."""
-    dice = 2 * overlap(a, b) / (a.n + b.n) if a.n + b.n else 0.0
-    jaccard = len(a.words & b.words) / max(1, len(a.words | b.words))
-    return 0.6 * dice + 0.25 * jaccard + 0.1 * (bool(a.heading) and a.heading == b.heading) + 0.05 * (1 - abs(a.at - b.at))
-
-
-def containment(part: Clause, whole: Clause) -> float:
-    return overlap(part, whole) / part.n if part.n else 0.0
-
-
 def assign(cost: np.ndarray) -> list[int]:
-    """The column of each row, or -1, at the lowest total cost; a row or column may stay alone for a cost of 1. Shortest
-    augmenting paths with potentials, one row after another."""
-    rows, cols = cost.shape
-    n = rows + cols
-    square = np.ones((n, n))
-    square[:rows, :cols] = cost
-    square[rows:, cols:] = 0.0
-    u, v = np.zeros(n + 1), np.zeros(n + 1)
-    owner = np.zeros(n + 1, int)
-    for i in range(1, n + 1):
-        owner[0], at = i, 0
-        least, came, used = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
-        while owner[at]:
-            used[at] = True
-            row = owner[at]
-            free = ~used[1:]
-            reduced = square[row - 1] - u[row] - v[1:]
-            better = free & (reduced < least[1:])
-            least[1:][better] = reduced[better]
-            came[1:][better] = at
-            nxt = 1 + int(np.argmin(np.where(free, least[1:], np.inf)))
-            delta = least[nxt]
-            np.add.at(u, owner[used], delta)
-            v[used] -= delta
-            least[~used] -= delta
-            at = nxt
-        while at:
-            owner[at] = owner[came[at]]
-            at = came[at]
-    out = [-1] * rows
-    for j in range(1, cols + 1):
-        if owner[j] <= rows:
-            out[owner[j] - 1] = j - 1
-    return out
+    """The column of each row, or -1, at the lowest total cost; a row may stay alone for a cost of 1."""
+    i, j = np.nonzero(np.asarray(cost) < 1)
+    taken = matching(i, j, 1 - np.asarray(cost)[i, j])
+    return [taken.get(k, -1) for k in range(len(cost))]
 
 
 def increasing(values: list[int]) -> set[int]:
     """The positions of one longest increasing subsequence."""
-    from bisect import bisect_left
-
     ends: list[int] = []
     at: list[int] = []
     back = [-1] * len(values)
@@ -133,41 +78,53 @@ def increasing(values: list[int]) -> set[int]:
     return out
 
 
-def aligned(before: list[str], after: list[str]) -> list[tuple[list[int], list[int], str, float, bool, bool]]:
-    """(before, after, change, similarity, moved, renumbered) in the order of the later version; removed clauses stand before what
-    follows them. A pair is unchanged, and renumbered, if it differs only in naming sections by the numbers they have since."""
-    place = lambda i, n: i / (n - 1) if n > 1 else 0.0
-    a = [Clause(t, place(i, len(before))) for i, t in enumerate(before)]
-    b = [Clause(t, place(i, len(after))) for i, t in enumerate(after)]
-    pairs: dict[int, int] = {}
+def exact_pairs(before: list[str], after: list[str]) -> dict[int, int]:
+    """Equal clauses, the k-th with the k-th."""
     seats: dict[str, list[int]] = {}
-    for j, t in enumerate(after):
+    for j, t in reversed([*enumerate(after)]):
         seats.setdefault(normalized(t), []).append(j)
-    for i, t in enumerate(before):
-        if seats.get(key := normalized(t)):
-            pairs[i] = seats[key].pop(0)
-    score = {i: 1.0 for i in pairs}
+    return {i: seats[key].pop() for i, t in enumerate(before) if seats.get(key := normalized(t))}
+
+
+def place(i: int, n: int) -> float:
+    return i / (n - 1) if n > 1 else 0.0
+
+
+def assigned_here(before: list[str], after: list[str], pairs: dict[int, int]) -> list[tuple[int, int, float]]:
+    """(i, j, likeness) of the clauses outside ``pairs`` that are assigned to each other."""
     taken = set(pairs.values())
-    left, right = [i for i in range(len(a)) if i not in pairs], [j for j in range(len(b)) if j not in taken]
-    if left and right:
-        likeness = np.array([[similarity(a[i], b[j]) for j in right] for i in left])
-        for r, c in enumerate(assign(1 - likeness)):
-            if c >= 0:
-                i, j = left[r], right[c]
-                if likeness[r, c] >= MATCH or max(containment(a[i], b[j]), containment(b[j], a[i])) >= CONTAINED:
-                    pairs[i], score[i] = j, float(likeness[r, c])
+    left, right = [i for i in range(len(before)) if i not in pairs], [j for j in range(len(after)) if j not in taken]
+    i, j, score = edges([Clause(before[k], place(k, len(before))) for k in left], [Clause(after[k], place(k, len(after))) for k in right])
+    likeness = {(a, b): s for a, b, s in zip(i.tolist(), j.tolist(), score.tolist(), strict=True)}
+    return [(left[a], right[b], likeness[a, b]) for a, b in matching(i, j, score).items()]
+
+
+def aligned(before: list[str], after: list[str], matched: list[tuple[int, int, float]] | None = None) -> list[tuple[list[int], list[int], str, float, bool, bool]]:
+    """(before, after, change, similarity, moved, renumbered) in the order of the later version; removed clauses stand before what
+    follows them. A pair is unchanged, and renumbered, if it differs only in naming sections by the numbers they have since.
+    ``matched`` holds the assignment of what has no equal, if it is known."""
+    pairs = exact_pairs(before, after)
+    score = {i: 1.0 for i in pairs}
+    for i, j, s in sorted(assigned_here(before, after, pairs) if matched is None else matched):
+        pairs[i], score[i] = j, s
+    rank = {i: n for n, i in enumerate(pairs)}
+    back = {j: i for i, j in pairs.items()}
+    made: dict[tuple[str, int], Clause] = {}
+    clause = lambda side, k: made.get((side, k)) or made.setdefault((side, k), Clause((before if side == "b" else after)[k], 0.0))
     groups = {i: ([i], [j]) for i, j in pairs.items()}
     taken = set(pairs.values())
-    for j in range(len(b)):
+    for j in range(len(after)):
         if j not in taken:
-            owner = next((i for i, k in pairs.items() if abs(k - j) == 1 and containment(b[j], a[i]) >= PART), None)
+            beside = sorted((back[k] for k in (j - 1, j + 1) if k in back), key=rank.get)
+            owner = next((i for i in beside if containment(clause("a", j), clause("b", i)) >= PART), None)
             if owner is not None:
                 groups[owner][1].append(j)
                 taken.add(j)
     joined = set(pairs)
-    for i in range(len(a)):
+    for i in range(len(before)):
         if i not in joined:
-            owner = next((k for k in pairs if abs(k - i) == 1 and containment(a[i], b[pairs[k]]) >= PART), None)
+            beside = sorted((k for k in (i - 1, i + 1) if k in pairs), key=rank.get)
+            owner = next((k for k in beside if containment(clause("b", i), clause("a", pairs[k])) >= PART), None)
             if owner is not None:
                 groups[owner][0].append(i)
                 joined.add(i)
@@ -181,25 +138,42 @@ def aligned(before: list[str], after: list[str]) -> list[tuple[list[int], list[i
         same = equal or old == normalized(renumbered(new, labels))
         change = "SPLIT" if len(y) > 1 else "MERGED" if len(x) > 1 else "UNCHANGED" if same else "MODIFIED"
         rows.append((float(pairs[i]), (sorted(x), sorted(y), change, round(score[i], 3), i not in still, change == "UNCHANGED" and not equal)))
-    for i in range(len(a)):
+    for i in range(len(before)):
         if i not in joined:
-            after_it = next((pairs[k] for k in ordered if k > i), len(b))
-            rows.append((after_it - 0.5, ([i], [], "REMOVED", 0.0, False, False)))
-    rows += [(float(j), ([], [j], "ADDED", 0.0, False, False)) for j in range(len(b)) if j not in taken]
+            after_it = bisect_left(ordered, i)
+            rows.append(((pairs[ordered[after_it]] if after_it < len(ordered) else len(after)) - 0.5, ([i], [], "REMOVED", 0.0, False, False)))
+    rows += [(float(j), ([], [j], "ADDED", 0.0, False, False)) for j in range(len(after)) if j not in taken]
     return [r for _, r in sorted(rows, key=lambda r: (r[0], r[1][0]))]
 
 
-def align(clauses: DataFrame) -> DataFrame:
-    """Alignments of each pair_id in ``clauses`` (pair_id, side 'before' or 'after', ord, text)."""
+def left_over(clauses: DataFrame) -> DataFrame:
+    """pair_id, side, i, at, text of the clauses that have no equal in the other version. ``i`` counts a version's clauses, ``at`` is the
+    place from 0 to 1."""
 
     def run(pair: pd.DataFrame) -> pd.DataFrame:
         pair = pair.sort_values("ord")
         texts = {s: pair.text[pair.side == s].tolist() for s in ("before", "after")}
-        rows = aligned(texts["before"], texts["after"])
+        pairs = exact_pairs(texts["before"], texts["after"])
+        done = {"before": set(pairs), "after": set(pairs.values())}
+        rows = [(pair.pair_id.iloc[0], s, i, place(i, len(own)), t) for s, own in texts.items() for i, t in enumerate(own) if i not in done[s]]
+        return pd.DataFrame(rows, columns=["pair_id", "side", "i", "at", "text"])
+
+    return clauses.groupBy("pair_id").applyInPandas(run, "pair_id long, side string, i int, at double, text string")
+
+
+def align(clauses: DataFrame) -> DataFrame:
+    """Alignments of each pair_id in ``clauses`` (pair_id, side 'before' or 'after', ord, text). A null text counts as empty."""
+    clauses = clauses.select("pair_id", "side", "ord", F.coalesce("text", F.lit("")).alias("text"))
+    matches = assigned(settled(all_edges(settled(left_over(clauses)))))
+
+    def run(pair: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        pair = pair.sort_values("ord")
+        texts = {s: pair.text[pair.side == s].tolist() for s in ("before", "after")}
+        rows = aligned(texts["before"], texts["after"], list(zip(found.i.tolist(), found.j.tolist(), found.score.tolist(), strict=True)))
         told = lambda side, at: "\n".join(texts[side][i] for i in at)
         return pd.DataFrame([(pair.pair_id.iloc[0], x, y, c, s, m, told("before", x), told("after", y), r) for x, y, c, s, m, r in rows], columns=["pair_id", "before", "after", "change", "similarity", "moved", "before_text", "after_text", "renumbered"])
 
-    return clauses.groupBy("pair_id").applyInPandas(run, RESULT)
+    return clauses.groupBy("pair_id").cogroup(matches.groupBy("pair_id")).applyInPandas(run, RESULT)
 
 
 TOKEN = re.compile(r"\s+|\w+(?:[.,:/]\w+)*|.", re.DOTALL)
