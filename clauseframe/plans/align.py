@@ -179,46 +179,91 @@ def align(clauses: DataFrame) -> DataFrame:
 TOKEN = re.compile(r"\s+|\w+(?:[.,:/]\w+)*|.", re.DOTALL)
 
 
-def word_diff(a: str, b: str) -> list[tuple[str, str]]:
-    """Runs of (equal | delete | insert, text) along a longest common subsequence of words; deletions come first.
+#: Cells of a box whose choices are kept at once, a byte each.
+BOX = 2**20
+
+
+class Path:
+    """The path through the table of common lengths of ``x`` and ``y``: a step on both sides where tokens are equal, else a deletion if that
+    loses nothing, else an insertion.
 
-    What both texts begin with is taken off; of the rest a row of the table of lengths is made at once, and only one bit a cell
-    is kept: whether a deletion loses nothing there. Two texts of n and m words take n * m / 8 bytes.
+    Boxes are halved until one has few cells. A sweep over a box, from its last row up, holds one row of lengths and the column in which the
+    path from each cell enters the middle row; so the path's place there is known, and both halves follow. What a half must know of the
+    cells below and to the right of it are one row and one column. Memory is linear in both texts.
     """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y = x, y
+        self.ops: list[np.ndarray] = []  # 0 both, 1 deletion, 2 insertion
+
+    def rows(self, top: int, end: int, left: int, right: int, below: np.ndarray, edge: np.ndarray):  # noqa: ANN201
+        """(row, its lengths, equal, deletion) from ``end - 1`` up to ``top``, for columns ``left`` to ``right``; ``below`` are the lengths of
+        row ``end``, ``edge`` those of column ``right`` in rows ``top`` to ``end``."""
+        y = self.y[left:right]
+        for i in range(end - 1, top - 1, -1):
+            equal = y == self.x[i]
+            row = np.append(np.maximum(below[:-1], below[1:] + equal), edge[i - top])
+            row = np.maximum.accumulate(row[::-1])[::-1]
+            yield i, row, equal, below[:-1] >= row[1:]
+            below = row
+
+    def walk(self, top: int, end: int, left: int, right: int, below: np.ndarray, edge: np.ndarray) -> None:
+        """From (top, left) to (end, right)."""
+        if top == end or left == right:
+            self.ops.append(np.full(right - left + end - top, 2 if top == end else 1, np.int8))
+            return
+        if (end - top) * (right - left) <= BOX or end - top == 1:
+            kinds = np.empty((end - top, right - left), np.int8)
+            for i, _, equal, deletion in self.rows(top, end, left, right, below, edge):
+                kinds[i - top] = np.where(equal, 0, np.where(deletion, 1, 2))
+            i, j, out = top, left, []
+            while i < end and j < right:
+                kind = int(kinds[i - top, j - left])
+                out.append(kind)
+                i, j = i + (kind != 2), j + (kind != 1)
+            self.ops.append(np.array(out + [1] * (end - i) + [2] * (right - j), np.int8))
+            return
+        middle = (top + end) // 2
+        at = np.arange(right - left + 1)
+        enters, row_there = at, below
+        for i, row, equal, deletion in self.rows(top, end, left, right, below, edge):
+            if i >= middle:
+                row_there = row
+                continue
+            went = np.append(np.where(equal, enters[1:], enters[:-1]), enters[-1])
+            stays = np.append(equal | deletion, True)  # an insertion goes where the next column goes
+            nearest = np.minimum.accumulate(np.where(stays, at, len(at))[::-1])[::-1]
+            enters = went[nearest]
+        cross = int(enters[0])
+        side = np.empty(middle - top + 1, row_there.dtype)
+        side[-1] = row_there[cross]
+        for i, row, _, _ in self.rows(top, middle, left, right, row_there, edge[: middle - top + 1]):
+            side[i - top] = row[cross]
+        self.walk(top, middle, left, left + cross, row_there[: cross + 1], side)
+        self.walk(middle, end, left + cross, right, below[cross:], edge[middle - top :])
+
+
+def word_diff(a: str, b: str) -> list[tuple[str, str]]:
+    """Runs of (equal | delete | insert, text) along a longest common subsequence of words; of several, the one that deletes first.
+    What both texts begin with is taken off; see ``Path`` for the rest."""
     x, y = TOKEN.findall(a or ""), TOKEN.findall(b or "")
     codes: dict[str, int] = {}
     xs, ys = (np.array([codes.setdefault(t, len(codes)) for t in s], np.int64) for s in (x, y))
     short = min(len(xs), len(ys))
     differ = np.flatnonzero(xs[:short] != ys[:short])
     begun = int(differ[0]) if len(differ) else short
-    below, deletes = np.zeros(len(ys) - begun + 1, np.int32), []
-    for code in xs[begun:][::-1]:
-        row = below.copy()
-        row[:-1] = np.maximum(below[:-1], below[1:] + (ys[begun:] == code))
-        row = np.maximum.accumulate(row[::-1])[::-1]
-        deletes.append(np.packbits(below[:-1] >= row[1:]))
-        below = row
-    deletes.reverse()
-    out: list[list[str]] = []
-
-    def add(op: str, token: str) -> None:
-        if out and out[-1][0] == op:
-            out[-1][1] += token
-        else:
-            out.append([op, token])
-
-    i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and xs[i] == ys[j]:
-            add("equal", x[i])
-            i, j = i + 1, j + 1
-        elif i < len(x) and (j == len(y) or deletes[i - begun][(j - begun) >> 3] >> (7 - ((j - begun) & 7)) & 1):
-            add("delete", x[i])
-            i += 1
-        else:
-            add("insert", y[j])
-            j += 1
-    return [(op, text) for op, text in out]
+    path = Path(xs[begun:], ys[begun:])
+    n, m = len(xs) - begun, len(ys) - begun
+    path.walk(0, n, 0, m, np.zeros(m + 1, np.int32), np.zeros(n + 1, np.int32))
+    ops = np.concatenate([np.zeros(begun, np.int8), *path.ops])
+    i, j = (np.concatenate([[0], np.cumsum(ops != other)]) for other in (2, 1))
+    cuts = np.flatnonzero(np.diff(ops)) + 1
+    out = []
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ops)], strict=True):
+        if start < end:
+            kind = int(ops[start])
+            out.append((("equal", "delete", "insert")[kind], "".join(y[j[start] : j[end]] if kind == 2 else x[i[start] : i[end]])))
+    return out
 
 
 def number_changes(runs: list[tuple[str, str]]) -> list[tuple[str, str]]:

@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pytest
 
 from clauseframe.plans import align, assignment
 from clauseframe.plans.assignment import CONTAINED, MATCH, Clause, Index, edges, matching, overlap, parts
@@ -118,3 +120,52 @@ def test_a_long_agreement_is_many_tasks_work(spark):
     frame = spark.createDataFrame(rows, "pair_id long, side string, ord int, text string").repartition(8)
     found = align.align(frame).where("size(before) = 1 AND size(after) = 1 AND before[0] = after[0]").count()
     assert found >= 0.99 * n
+
+
+# ---- word differences ------------------------------------------------------------------------------------------------
+
+
+def plain_runs(x, y):
+    """The runs from the whole table of lengths, deletions first."""
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(x) or j < len(y):
+        if i < len(x) and j < len(y) and x[i] == y[j]:
+            step = ("equal", x[i])
+            i, j = i + 1, j + 1
+        elif i < len(x) and (j == len(y) or best[i + 1][j] >= best[i][j + 1]):
+            step, i = ("delete", x[i]), i + 1
+        else:
+            step, j = ("insert", y[j]), j + 1
+        if out and out[-1][0] == step[0]:
+            out[-1] = (step[0], out[-1][1] + step[1])
+        else:
+            out.append(step)
+    return out
+
+
+@pytest.mark.parametrize("box", [1, 6, 40, 2**20])
+def test_differences_take_the_same_path_in_boxes_of_any_size(monkeypatch, box):
+    monkeypatch.setattr(align, "BOX", box)
+    rng = random.Random(box)
+    for _ in range(150):
+        a, b = (" ".join(rng.choices("abcd", k=rng.randrange(0, 25))) for _ in range(2))
+        if rng.random() < 0.3:
+            b = a[: rng.randrange(len(a) + 1)] + b[:5] + a[rng.randrange(len(a) + 1) :]
+        assert align.word_diff(a, b) == plain_runs(align.TOKEN.findall(a), align.TOKEN.findall(b))
+
+
+def test_differences_of_long_texts_hold_little():
+    rng = random.Random(8)
+    words = [str(rng.randrange(3000)) for _ in range(10_000)]
+    other = [w if rng.random() < 0.9 else str(rng.randrange(3000)) for w in words]
+    a, b = " ".join(words), " ".join(other)
+    tracemalloc.start()
+    runs = align.word_diff(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "".join(t for o, t in runs if o != "insert") == a and "".join(t for o, t in runs if o != "delete") == b
+    assert most < 16e6  # the table's bits alone would take 50 MB
