@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 for two empty ones."""
@@ -114,20 +116,42 @@ def bag_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return dealt(left, left_key, "lb", rows, "rb", cols).cogroup(dealt(right, right_key, "rb", cols, "lb", rows)).applyInArrow(meet, schema)
 
 
-def tfidf_pairs(terms: DataFrame, group: str, part: str, term: str, least: float) -> DataFrame:
-    """(group, part_a, part_b, score): cosine of tf * ln((1 + N) / (1 + df)) of two parts of one group, from ``least`` on.
-
-    ``terms`` has a row for each occurrence. The join is on (group, term), so pairs never cross groups.
-    """
+def weighted_terms(terms: DataFrame, group: str, part: str, term: str) -> DataFrame:
+    """(group, part, term, df, w): tf * ln((1 + N) / (1 + df)) of each term that weighs something, scaled so that a part's vector has
+    length one. ``terms`` has a row for each occurrence; N parts make up a group, df of them hold the term."""
     tf = terms.groupBy(group, part, term).agg(F.count(F.lit(1)).alias("tf"))
-    per_term = Window.partitionBy(group, term)
+    df = tf.groupBy(group, term).agg(F.count(F.lit(1)).alias("df"))
     parts = terms.groupBy(group).agg(F.countDistinct(part).alias("parts"))
-    weighted = tf.withColumn("df", F.count(F.lit(1)).over(per_term)).join(parts, group)
+    weighted = tf.join(df, [group, term]).join(parts, group)
     weighted = weighted.withColumn("w", F.col("tf") * F.log((1 + F.col("parts")) / (1 + F.col("df")))).where("w > 0")
-    scaled = weighted.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(group, part))))
+    return weighted.select(group, part, term, "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(group, part)))).alias("w"))
+
+
+def threshold_candidates(scaled: DataFrame, group: str, part: str, term: str, least: float) -> DataFrame:
+    """(group, part_a, part_b), part_a < part_b: all pairs whose product can reach ``least``, and some others.
+
+    Terms are ordered from rare to common. What a part's terms from some place on weigh together bounds what they can add to any
+    product, so a pair that reaches ``least`` shares a term before the place where either's rest falls short of it; only those
+    first terms meet.
+    """
+    common_first = Window.partitionBy(group, part).orderBy(F.desc("df"), F.desc(term))
+    rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(common_first))
+    first = scaled.withColumn("rest", rest).where(F.col("rest") >= least - 1e-9)
+    side = lambda x: first.select(group, term, F.col(part).alias(f"part_{x}"))
+    return side("a").join(side("b"), [group, term]).where("part_a < part_b").select(group, "part_a", "part_b").distinct()
+
+
+def tfidf_pairs(terms: DataFrame, group: str, part: str, term: str, least: float) -> DataFrame:
+    """(group, part_a, part_b, score): cosine of tf * ln((1 + N) / (1 + df)) of two parts of one group, from ``least`` on, which is above 0.
+
+    ``terms`` has a row for each occurrence. Only the pairs of ``threshold_candidates`` meet and get their whole product; no pair crosses
+    groups.
+    """
+    scaled = settled(weighted_terms(terms, group, part, term))
+    near = threshold_candidates(scaled, group, part, term, least)
     side = lambda x: scaled.select(group, term, F.col(part).alias(f"part_{x}"), F.col("w").alias(f"w_{x}"))
-    pairs = side("a").join(side("b"), [group, term]).where("part_a < part_b")
-    return pairs.groupBy(group, "part_a", "part_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("score")).where(F.col("score") >= least)
+    met = near.join(side("a"), [group, "part_a"]).join(side("b"), [group, "part_b", term])
+    return met.groupBy(group, "part_a", "part_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("score")).where(F.col("score") >= least)
 
 
 def dealt_pairs(queries: DataFrame, vectors: DataFrame, key: str, vector: str, rows: int) -> tuple[DataFrame, DataFrame]:

@@ -58,3 +58,40 @@ def test_links_of_dealt_blocks(spark):
         counted = {r.id: r.n_links for r in S.linked(df, "g", "id", "v", 0.4, counts=True, rows=size).collect()}
         assert counted == {i: n for i in unit if (n := sum(i in p for p in want))}
     assert S.linked(df.limit(0), "g", "id", "v", 0.4).count() == 0
+
+
+def test_few_pairs_meet_in_the_threshold_join(spark):
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(9)
+    rows = []
+    for group in range(3):
+        for part in range(60):
+            words = ["the", "of", "and"] * 3 + rng.choices([f"w{i}" for i in range(150)], k=12)
+            rows += [(group, part, w) for w in words]
+        rows += [(group, 100 + k, w) for k in range(3) for w in ("same", "rare", "words", "the")]
+    rows.append((7, 1, "alone"))
+    terms = spark.createDataFrame(rows, "g int, p int, t string")
+    tf, df, parts = Counter(rows), Counter(), defaultdict(set)
+    for g, p, t in tf:
+        df[g, t] += 1
+        parts[g].add(p)
+    vectors = defaultdict(dict)
+    for (g, p, t), n in tf.items():
+        if (w := n * math.log((1 + len(parts[g])) / (1 + df[g, t]))) > 0:
+            vectors[g, p][t] = w
+    length = {k: math.sqrt(sum(w * w for w in v.values())) for k, v in vectors.items()}
+    for least in (0.1, 0.3, 0.9):
+        want = {}
+        for (g, p), v in vectors.items():
+            for (h, q), u in vectors.items():
+                if g == h and p < q and (s := sum(w * u.get(t, 0) for t, w in v.items()) / length[g, p] / length[h, q]) >= least:
+                    want[g, p, q] = s
+        got = {(r.g, r.part_a, r.part_b): r.score for r in S.tfidf_pairs(terms, "g", "p", "t", least).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    scaled = S.weighted_terms(terms, "g", "p", "t")
+    every = sum(len(p) * (len(p) - 1) // 2 for p in parts.values())
+    assert S.threshold_candidates(scaled, "g", "p", "t", 0.3).count() < 0.5 * every
+    assert S.threshold_candidates(scaled, "g", "p", "t", 0.9).count() < 0.1 * every
