@@ -120,9 +120,8 @@ def weighted_terms(terms: DataFrame, group: str, part: str, term: str) -> DataFr
     """(group, part, term, df, w): tf * ln((1 + N) / (1 + df)) of each term that weighs something, scaled so that a part's vector has
     length one. ``terms`` has a row for each occurrence; N parts make up a group, df of them hold the term."""
     tf = terms.groupBy(group, part, term).agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(group, term).agg(F.count(F.lit(1)).alias("df"))
     parts = terms.groupBy(group).agg(F.countDistinct(part).alias("parts"))
-    weighted = tf.join(df, [group, term]).join(parts, group)
+    weighted = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(group, term))).join(parts, group)
     weighted = weighted.withColumn("w", F.col("tf") * F.log((1 + F.col("parts")) / (1 + F.col("df")))).where("w > 0")
     return weighted.select(group, part, term, "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(group, part)))).alias("w"))
 
@@ -131,14 +130,17 @@ def threshold_candidates(scaled: DataFrame, group: str, part: str, term: str, le
     """(group, part_a, part_b), part_a < part_b: all pairs whose product can reach ``least``, and some others.
 
     Terms are ordered from rare to common. What a part's terms from some place on weigh together bounds what they can add to any
-    product, so a pair that reaches ``least`` shares a term before the place where either's rest falls short of it; only those
-    first terms meet.
+    product. So a pair that reaches ``least`` shares a term before the place where either's rest falls short of it: only those first
+    terms meet, and a pair stays if what they add up to, and the heavier of both rests, reach it.
     """
-    common_first = Window.partitionBy(group, part).orderBy(F.desc("df"), F.desc(term))
-    rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(common_first))
-    first = scaled.withColumn("rest", rest).where(F.col("rest") >= least - 1e-9)
-    side = lambda x: first.select(group, term, F.col(part).alias(f"part_{x}"))
-    return side("a").join(side("b"), [group, term]).where("part_a < part_b").select(group, "part_a", "part_b").distinct()
+    whole, square = Window.partitionBy(group, part), F.col("w") * F.col("w")
+    rest = F.sqrt(F.sum(square).over(whole.orderBy(F.desc("df"), F.desc(term))))
+    left = F.coalesce(F.sqrt(F.sum(F.when(F.col("rest") < least - 1e-9, square)).over(whole)), F.lit(0.0))
+    first = scaled.withColumn("rest", rest).withColumn("left", left).where(F.col("rest") >= least - 1e-9)
+    side = lambda x: first.select(group, term, F.col(part).alias(f"part_{x}"), F.col("w").alias(f"w_{x}"), F.col("left").alias(f"left_{x}"))
+    met = side("a").join(side("b"), [group, term]).where("part_a < part_b").groupBy(group, "part_a", "part_b")
+    sums = met.agg(F.sum(F.col("w_a") * F.col("w_b")).alias("so_far"), F.max(F.greatest("left_a", "left_b")).alias("left"))
+    return sums.where(F.col("so_far") + F.col("left") >= least - 1e-9).select(group, "part_a", "part_b")
 
 
 def tfidf_pairs(terms: DataFrame, group: str, part: str, term: str, least: float) -> DataFrame:
