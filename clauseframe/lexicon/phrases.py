@@ -22,6 +22,11 @@ def any_of(*phrases: str) -> str:
     return rf"(?iu)(?<!\p{{L}})(?:{'|'.join(told)})(?!\p{{L}})"
 
 
+def one_sentence(*patterns: str) -> str:
+    """A sentence or line that states all of the patterns, in any order."""
+    return r"(?:^|(?<=[.\n]))" + "".join(rf"(?=[^.\n]*{p})" for p in patterns)
+
+
 def then(first: str, second: str, most: int = 60) -> str:
     """The first pattern and behind it, in the same sentence and within ``most`` characters, the second."""
     return rf"(?:{first}[^.\n]{{0,{most}}}{second})"

@@ -86,6 +86,37 @@ def test_protections(agreement):
     assert got["RR-REC-REPAIR-TIMELINE"] == ("PARTIAL", ["C004"])
 
 
+STATED = {
+    "RR-REC-EARLY-TERMINATION": ("לשוכר הזכות לסיום מוקדם בהודעה של חודשיים", "המשכיר רשאי לדרוש סיום מוקדם", "COVERED", "PARTIAL"),
+    "RR-REC-WEAR-AND-TEAR": ("השוכר אינו נושא בעלות בלאי סביר", "השוכר יתקן כל נזק", "COVERED", "PARTIAL"),
+    "RR-REC-REPAIR-TIMELINE": ("בתוך 48 שעות יטפל המשכיר בכל תקלה דחופה", "תקלה דחופה תטופל. שלושה ימים אחר כך יבוא שמאי", "COVERED", "PARTIAL"),
+    "RR-REC-SECURITY-RETURN": ("השבת הפיקדון תיעשה בתוך שלושים ימים", "השוכר יפקיד פיקדון. המפתח יוחזר", "COVERED", "PARTIAL"),
+    "RR-REC-ENTRY-NOTICE": ("בתיאום עם השוכר רשאי המשכיר להיכנס לדירה", "המשכיר רשאי להיכנס לדירה ללא תיאום", "COVERED", "PARTIAL"),
+    "RR-REC-CHARGES-ALLOCATION": ("חשמל, גז וארנונה יחולו על השוכר", "תשלומים שוטפים יחולו על השוכר", "COVERED", "PARTIAL"),
+    "RR-REC-HANDOVER-CONDITION": ("מצב הדירה יתועד בצילומים", "מצב הדירה ידוע לשוכר", "COVERED", "PARTIAL"),
+    "RR-REC-RENEWAL-TERMS": ("דמי השכירות באופציה יהיו 5,000", "לשוכר אופציה לשנה. דמי השכירות ישולמו מראש", "COVERED", "PARTIAL"),
+}
+
+
+def test_each_protection_needs_its_parts_in_one_sentence(spark):
+    assert set(STATED) == {p[0] for p in H.PROTECTIONS}
+    rows = [(i, item, text) for item, (yes, no, *_) in STATED.items() for i, text in ((1, yes), (2, no), (3, "הצדדים חתמו ביום שמש"))]
+    frame = spark.createDataFrame([(f"{item}/{i}", text) for i, item, text in rows], "key string, text string").selectExpr("key", "text", "0 AS ord")
+    got = {(r.key, r.item): r.status for r in rules.checklist(frame, [rules.Item(*p) for p in H.PROTECTIONS], "key").collect()}
+    for item, (_, _, *want) in STATED.items():
+        assert [got[f"{item}/{i}", item] for i in (1, 2, 3)] == [*want, "MISSING"], item
+
+
+def test_owners_take_their_sample_sentences(spark):
+    samples = [("נזילה בתקרה תטופל בתוך ארבעה ימים", {"REPAIR_DAYS": 4.0}), ("קלקול בדוד יתוקן בתוך שבוע", {"REPAIR_DAYS": 7.0}), ("השוכר יודיע שלושים יום קודם", {}), ("שוכר שאיחר בשבעה ימים ישלם 200 ש\"ח", {}), ("שכר המתווך 3,000 ש\"ח", {}), ("דמי השכירות 4,000 ש\"ח לחודש ושכר המתווך 3,000 ש\"ח", {"MONTHLY_RENT": 4000.0})]
+    frame = spark.createDataFrame([(i, "C1", 0, t, None, None) for i, (t, _) in enumerate(samples)], "contract_id int, clause_id string, ord int, text string, section_label string, heading string")
+    got = {}
+    for r in C.sentence_facts(C.with_sentences(frame)).collect():
+        got.setdefault(r.contract_id, {})[r.fact] = r.value
+    for i, (text, want) in enumerate(samples):
+        assert got.get(i, {}) == want, text
+
+
 MUST = {
     "RENT": ("דמי השכירות ישולמו מדי חודש", "השבחת הדירה"), "TERM": ("משך השכירות שנה", "התקופה האחרונה"), "SECURITY": ("השוכר יפקיד פיקדון", "הצדדים ערבים זה לזה"), "GUARANTOR": ("שני ערבים יחתמו", "בשעות הערב"),
     "INDEXATION": ("הסכום יוצמד למדד", "הצימוד הלשוני"), "RENT_INCREASE": ("שכר הדירה יעלה", "מעלית הבניין"), "OPTION": ("לשוכר אופציה", "האופק פתוח"), "URGENT_REPAIR": ("תקלה דחופה תטופל", "דואר דחוף"), "REPAIRS": ("תחזוקת הדוד", "תקנון הבית"),
