@@ -31,7 +31,8 @@ SPAN = "array<struct<kind:string,start:int,end:int>>"
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
+#: Begins where a run begins and gives nothing back, so that a long run without full stops is read once.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}")
 BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY)-----")
 B64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 URL_B64 = re.compile(r"[A-Za-z0-9_-]{40,}={0,2}")
