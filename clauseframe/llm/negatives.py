@@ -18,6 +18,7 @@ from .common import partitions, written
 from .vectors import LONGEST, lengths, matrix, products, whole_numbers
 
 LEAF = 64
+CELLS = 2**21  # components of a block of rows or anchors
 HELD = 2**21  # hits held before they are cut to the k best of each query
 POSITIVES, NEGATIVES, LOW, HIGH, SCALE = 5, 10, 30, 90, 256.0
 FOUND = "anchor long, slot int, id long, key long, score long"
@@ -157,10 +158,10 @@ def searched(rows: DataFrame, anchors: DataFrame, k: int, same: bool, query_bloc
     """anchor (its key), slot, id, key, score of the ``k`` best for each anchor and slot. ``rows``: key, vec_id, label, v; ``anchors`` the same
     with ``low`` and ``high``, lists of equal length, a window for each slot. Blocks of anchors meet blocks of rows two by two; each gives
     at most k rows a window, of which the last step keeps k."""
-    n, m = (df.count() for df in (rows, anchors))
+    n, m = (df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("cells")).first() for df in (rows, anchors))
     # no fewer blocks than there are partitions to work on them, while they stay worth a tree
-    blocks = max(-(-n // block), min(partitions(rows.sparkSession), -(-n // 1024)), 1)
-    groups = max(-(-m // query_block), 1)
+    blocks = max(-(-n.rows // block), -(-n.cells // CELLS), min(partitions(rows.sparkSession), -(-n.rows // 1024)), 1)
+    groups = max(-(-m.rows // query_block), -(-m.cells // CELLS), 1)
     dealt = lambda df, count: df.withColumn("dim", F.size("v")).withColumn("own", F.pmod(F.xxhash64("key"), F.lit(count)).cast("int"))
     to_all = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("other")
     left = dealt(anchors, groups).select("dim", "key", "label", "v", "low", "high", "own", to_all(blocks)).withColumnsRenamed({"own": "a", "other": "b"})

@@ -77,6 +77,21 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(np.maximum(total, -LONGEST - 1), LONGEST).astype(np.int64)
 
 
+class Rows:
+    """Rows that many queries meet: what ``products`` would find out about them is found once."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.most, self.doubles = x, largest(x), x.astype(np.float64)
+
+    def products(self, q: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Of the given rows and each of ``q``, as ``products`` gives them."""
+        fits = self.most[rows] * largest(q).max(initial=0) * self.x.shape[1] < 2**53
+        found = (self.doubles[rows] @ q.astype(np.float64).T).astype(np.int64) if fits.any() else np.empty((len(fits), len(q)), np.int64)
+        if not fits.all():
+            found[~fits] = products(self.x[rows][~fits], q)
+        return found
+
+
 def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The exact squared distance of each row of ``x`` to the vector ``c``; those beyond a long stop at its end."""
     fits = (largest(x) + np.abs(c.astype(np.float64)).max(initial=0)) ** 2 * x.shape[1] < 2**62

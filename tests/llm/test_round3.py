@@ -3,13 +3,16 @@
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from clauseframe.llm import clusters, languages, negatives, vectors
+from clauseframe.llm import clusters, languages, negatives, secrets, topk, vectors
 from clauseframe.llm.queries import QUERIES
 
 VECTORS = "vec_id long, embedding array<double>, label int"
@@ -259,8 +262,6 @@ def test_languages_of_held_out_documents(spark, sf):
 def test_no_input_but_the_text(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     held = languages.learned_fold() == 2
-    from pyspark.sql import functions as F
-
     turned = docs.withColumn("lang", F.when(held, F.lit("zz")).otherwise(F.col("lang"))).withColumn("source", F.lit("?"))
     rows = lambda d: ordered(languages.language_predictions(d).collect())
     assert rows(turned) == rows(docs)
@@ -300,3 +301,51 @@ def test_a_model_over_its_bound_takes_a_lower_order(spark, monkeypatch):
     model = languages.fit(frame)
     assert model.order < languages.ORDER
     assert all(r.lang_pred == ("en" if r.doc_id < 100 else "fr") for r in languages.identify(frame, model).collect())
+
+
+# ---- earlier operators, mended ---------------------------------------------------------------------------------------
+
+
+def test_topk_of_wide_and_huge_vectors_and_repeated_ids(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=3072).tolist()) for i in range(0, 60, 2)]
+    rows += [(10, rng.normal(size=3072).tolist()), (0, rows[0][1]), (0, rows[0][1]), (7, [1e15] + [0.5] * 3071), (9, [-1e17] * 3072), (20, [1e17] * 3072)]
+    rows += [(100, [2.0**40, 1.0]), (101, [2.0**41, -1.0]), (102, [3.0, 4.0]), (110, []), (111, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    stop = lambda s: min(2**63 - 1, max(-(2**63), s))
+    known = [(i, [stop(math.floor(1024 * c)) for c in v]) for i, v in rows]
+    want = []
+    for a, (i, v) in enumerate(known):
+        if i % 10 == 0:
+            scored = sorted((-stop(sum(s * t for s, t in zip(v, w, strict=True))), j) for b, (j, w) in enumerate(known) if a != b and len(w) == len(v))
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(scored[:4], 1)]
+    assert ordered(topk.embedding_topk(frame, 4, 10).collect()) == ordered(want)
+    keyed = topk.whole(frame, 1024.0).withColumn("key", F.monotonically_increasing_id()).checkpoint()
+    assert ordered(topk.search(keyed, keyed.where("vec_id % 10 = 0"), 4, query_block=3, block=7, key="key").collect()) == ordered(want)
+
+
+def test_a_pair_of_blocks_of_wide_vectors_takes_seconds():
+    rng = np.random.default_rng(8)
+    q, x = rng.integers(-300, 300, (64, 3072)), rng.integers(-300, 300, (4096, 3072))
+    x[17, 5] = 2**50
+    begun = time.process_time()
+    found = [*topk.best(np.arange(64) + 10**6, q, np.arange(4096), x, 10)]
+    assert time.process_time() - begun < 60
+    plain = x.astype(object) @ q[3].astype(object)
+    assert found[3][0].tolist() == sorted(range(4096), key=lambda j: (-plain[j], j))[:10]
+
+
+@pytest.mark.parametrize("unit", ["a", "A", "-", "aB3_", "eyJhbGciOi.", "eyJ.", "ab/+\n", "token ", "AKIA", "secret=", "A" * 64 + "\n"])
+def test_a_full_stop_makes_no_search_slow(unit):
+    for text in ("x. " + unit * (5_000_000 // len(unit)), unit * (5_000_000 // len(unit)) + " x. y"):
+        begun = time.process_time()
+        secrets.find(text)
+        assert time.process_time() - begun < 8
+
+
+def test_dotted_runs_are_those_of_the_plain_pattern():
+    rng = random.Random(9)
+    plain = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
+    for _ in range(3000):
+        text = "".join(rng.choices("ab_-.. !", k=rng.randrange(40)))
+        assert [m.span() for m in secrets.DOTTED.finditer(text)] == [m.span() for m in plain.finditer(text)]
