@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -176,12 +176,8 @@ def matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return flat.to_numpy(zero_copy_only=False).reshape(shape), flat.is_null().to_numpy(zero_copy_only=False).reshape(shape).any(axis=1)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, rows: int = 2048) -> DataFrame:
-    """(query, rank, key, score): the ``k`` vectors of the highest cosine, ties to the smaller key (a long); a key is not its own neighbour.
-
-    Queries and vectors of one length meet block by block; each pair of blocks gives its best ``k`` a query before anything
-    is merged. A null vector takes no part; a score with a null component is null and comes last.
-    """
+def best_of(k: int, key: str, vector: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block of queries (query, q) and one of vectors (key, vector) -> query, key, score of the ``k`` best of each query in the block."""
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
@@ -201,10 +197,100 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
                     out[2].append(None if gone[j] else float(score[j]))
         return pa.table({"query": pa.array(out[0], pa.int64()), key: pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
+    return best
+
+
+#: Vectors that others are dealt by, at most.
+PIVOTS = 256
+
+
+def celled(df: DataFrame, key: str, vector: str, pivots: dict[int, tuple[list[int], np.ndarray]], rows: int) -> DataFrame:
+    """(key, vector, dim, pivot, sub, angle): each vector's nearest pivot of its length, how far off it is, and its block of about ``rows``
+    among the pivot's vectors. A vector without direction, or without a pivot, has the angle pi, so no bound concerns it."""
+    shared = df.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number, angle = np.full(b.num_rows, -1, np.int32), np.full(b.num_rows, np.pi)
+            sizes = b.column("dim").to_numpy()
+            for dim in np.unique(sizes):
+                own = np.flatnonzero(sizes == dim)
+                x, null = matrix(pa.chunked_array([b.column(vector).take(pa.array(own))]))
+                if dim in shared.value and x.shape[1]:
+                    numbers, p = shared.value[dim]
+                    turned = (~null) & (np.abs(np.einsum("ij,ij->i", x, x) - 1) < 1e-6)
+                    cos = x[turned] @ p.T
+                    number[own[turned]] = np.array(numbers)[cos.argmax(axis=1)]
+                    angle[own[turned]] = np.arccos(np.clip(cos.max(axis=1), -1, 1)) + 1e-6
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column(vector), b.column("dim"), pa.array(number), pa.array(angle)], [key, vector, "dim", "pivot", "angle"])
+
+    placed = df.select(key, vector, F.size(vector).alias("dim")).mapInArrow(run, f"`{key}` long, `{vector}` array<double>, dim int, pivot int, angle double")
+    blocks = placed.groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / rows).alias("blocks"))
+    return placed.join(blocks, ["dim", "pivot"]).withColumn("sub", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).drop("blocks")
+
+
+def near_blocks(q: DataFrame, v: DataFrame, pivots: dict[int, tuple[list[int], np.ndarray]], key: str, vector: str, k: int) -> DataFrame:
+    """(dim, qp, qs, vp, vs): the pairs of blocks of queries and vectors, both from ``celled``, that can hold one of a query's ``k`` best.
+
+    A block lies within its largest angle of its pivot, so no product of two blocks exceeds the cosine of the angle between their pivots
+    less both; that has to reach the least of the queries' k-th scores in one block of their own cell.
+    """
+    spark = q.sparkSession
+    own = q.select("dim", F.col("pivot").alias("qp"), F.col("sub").alias("qs")).distinct().withColumn("vp", F.col("qp")).withColumn("vs", F.lit(0))
+    tried = paired(q, v, own, key, vector, k).groupBy("query").agg(F.count("score").alias("n"), F.min("score").alias("kth"))
+    # a score that is not a number sorts above all, so it bounds nothing
+    floor = F.when((F.col("n") == k) & ~F.isnan("kth"), F.col("kth")).otherwise(-2.0)
+    floors = q.join(tried.select(F.col("query").alias(key), floor.alias("floor")), key, "left")
+    stats = floors.groupBy("dim", F.col("pivot").alias("qp"), F.col("sub").alias("qs")).agg(F.max("angle").alias("rq"), F.min(F.coalesce("floor", F.lit(-2.0))).alias("floor"))
+    angles = [(-1, -1, 0.0)]
+    for numbers, p in pivots.values():
+        apart = np.arccos(np.clip(p @ p.T, -1, 1))
+        angles += [(i, j, float(apart[a, b])) for a, i in enumerate(numbers) for b, j in enumerate(numbers)]
+        angles += [(i, -1, 0.0) for i in numbers] + [(-1, i, 0.0) for i in numbers]
+    between = spark.createDataFrame(angles, "qp int, vp int, apart double")  # PIVOTS squared at most
+    held = v.groupBy("dim", F.col("pivot").alias("vp"), F.col("sub").alias("vs")).agg(F.max("angle").alias("rv"))
+    most = F.cos(F.greatest(F.lit(0.0), F.least(F.lit(np.pi), F.col("apart") - F.col("rq") - F.col("rv"))))
+    return stats.join(between, "qp").join(held, ["dim", "vp"]).where(most + 1e-8 >= F.col("floor")).select("dim", "qp", "qs", "vp", "vs")
+
+
+def paired(q: DataFrame, v: DataFrame, pairs: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(query, key, score): the ``k`` best of each query in each block of vectors that ``pairs`` lets it meet."""
+    names = ["dim", "qp", "qs", "vp", "vs"]
+    left = q.select(F.col(key).alias("query"), F.col(vector).alias("q"), "dim", F.col("pivot").alias("qp"), F.col("sub").alias("qs")).join(pairs, names[:3])
+    right = v.select(key, vector, "dim", F.col("pivot").alias("vp"), F.col("sub").alias("vs")).join(pairs, ["dim", "vp", "vs"])
+    return left.groupBy(*names).cogroup(right.groupBy(*names)).applyInArrow(best_of(k, key, vector), f"query long, `{key}` long, score double")
+
+
+def pivots_of(vectors: DataFrame, key: str, vector: str, most: int = PIVOTS) -> dict[int, tuple[list[int], np.ndarray]]:
+    """length -> (numbers, vectors) of at most ``most`` vectors of length one, by a hash."""
+    square = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)
+    rows = vectors.where(F.abs(square - 1) < 1e-6).orderBy(F.xxhash64(key, vector), key).select(vector).limit(most).collect()
+    out: dict[int, tuple[list[int], list]] = {}
+    for n, r in enumerate(rows):
+        numbers, found = out.setdefault(len(r[vector]), ([], []))
+        numbers.append(n)
+        found.append(r[vector])
+    return {d: (numbers, np.array(found)) for d, (numbers, found) in out.items()}
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, rows: int = 2048) -> DataFrame:
+    """(query, rank, key, score): the ``k`` vectors of the highest cosine, ties to the smaller key (a long); a key is not its own neighbour.
+
+    Vectors of one length meet block by block; each pair of blocks gives its best ``k`` a query before anything is merged. Tables of
+    more than one block are dealt around pivots, and pairs of blocks that lie too far apart to matter do not meet, see
+    ``near_blocks``. A null vector takes no part; a score with a null component is null and comes last.
+    """
     usable = lambda df: unit(df.select(key, vector).where(F.col(key).isNotNull() & F.col(vector).isNotNull()), vector)
-    q, v = dealt_pairs(usable(queries), usable(vectors), key, vector, rows)
-    on = lambda df, x: df.withColumn("dim", F.size(x)).groupBy("dim", "qb", "vb")
-    found = on(q, "q").cogroup(on(v, vector)).applyInArrow(best, f"query long, `{key}` long, score double")
+    few = vectors.limit(rows + 1).count() <= rows
+    if few:
+        q, v = dealt_pairs(usable(queries), usable(vectors), key, vector, rows)
+        on = lambda df, x: df.withColumn("dim", F.size(x)).groupBy("dim", "qb", "vb")
+        found = on(q, "q").cogroup(on(v, vector)).applyInArrow(best_of(k, key, vector), f"query long, `{key}` long, score double")
+    else:
+        known = usable(vectors)
+        pivots = pivots_of(known, key, vector)
+        q, v = (settled(celled(df, key, vector, pivots, rows)) for df in (usable(queries), known))
+        found = paired(q, v, settled(near_blocks(q, v, pivots, key, vector, k)), key, vector, k)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col(key)))).where(F.col("rank") <= k)
     return ranked.select("query", "rank", key, "score")
 

@@ -95,3 +95,24 @@ def test_few_pairs_meet_in_the_threshold_join(spark):
     every = sum(len(p) * (len(p) - 1) // 2 for p in parts.values())
     assert S.threshold_candidates(scaled, "g", "p", "t", 0.3).count() < 0.5 * every
     assert S.threshold_candidates(scaled, "g", "p", "t", 0.9).count() < 0.1 * every
+
+
+def test_blocks_that_lie_far_apart_do_not_meet(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + rng.normal(size=16) * 0.05).tolist()) for i in range(960)]
+    awkward = [(2000, None), (2001, [0.0] * 16), (2002, [None] * 16), (2003, [1.0, 2.0]), (2004, [2.0, 1.0]), (2005, []), (None, [1.0] * 16), (2006, rows[5][1])]
+    for extra in ([], awkward):
+        df = spark.createDataFrame(rows + extra, "vec_id long, v array<double>")
+        queries = df.where("vec_id % 7 = 0 OR vec_id >= 2000")
+        ranked = lambda d: sorted((r.query, r.rank, r.vec_id, r.score) for r in d.collect())
+        got, want = ranked(S.nearest(queries, df, "vec_id", "v", 5, rows=40)), ranked(S.nearest(queries, df, "vec_id", "v", 5))
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert all(g[3] == w[3] or abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want, strict=True) if g[3] is not None)
+    known = S.unit(spark.createDataFrame(rows, "vec_id long, v array<double>"), "v")
+    pivots = S.pivots_of(known, "vec_id", "v", 48)
+    q, v = (S.celled(d, "vec_id", "v", pivots, 40).checkpoint() for d in (known.where("vec_id % 7 = 0"), known))
+    blocks = [d.select("dim", "pivot", "sub").distinct().count() for d in (q, v)]
+    assert S.near_blocks(q, v, pivots, "vec_id", "v", 5).count() < 0.5 * blocks[0] * blocks[1]
