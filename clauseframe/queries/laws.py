@@ -11,6 +11,7 @@ from ..operators import repository as P
 from ..plans import layout, statutes
 from ..registry import query, table
 from ..sources import feeds
+from ..streaming import laws as monitor
 
 REPEALED, SINCE = "(בוטל).", "החל מיום"
 HEBREW = "שלומעולם"
@@ -166,3 +167,21 @@ def fenced_json(spark, sf_dir):
     body = F.to_json(F.struct(F.col("o_orderpriority").alias("priority")))
     text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```\n"))).otherwise(body)
     return table(spark, sf_dir, "orders").select("o_orderkey", F.get_json_object(T.without_fence(text), "$.priority").alias("priority"))
+
+
+def law_events(spark, sf_dir):
+    """Orders as events: a customer's law is checked at each order, every fourth is an approval of what the order names."""
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    revision = (k % 3).cast("long")
+    error = F.when(F.col("o_orderpriority").startswith("5"), "unreachable")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("long").alias("law_id"), F.col("o_orderdate").cast("timestamp").alias("at"), k.cast("long").alias("seq"), F.when(F.floor(k / 4) % 4 == 0, "approve").otherwise("check").alias("kind"),
+        F.concat(F.lit("o"), (F.floor(k / 8) % 2).cast("string")).alias("official"), revision.alias("revision"), F.concat(F.lit("c"), revision.cast("string")).alias("content"), F.lit("s").alias("sections"),
+        F.array(F.lit("1"), F.lit("2")).alias("keys"), none.alias("approved_content"), none.alias("approved_sections"), error.alias("error"),
+    )
+
+
+@query()
+def law_monitor(spark, sf_dir):
+    """The log of every law; one state after another, which SQL over sets does not say. Tests hold it to the rules applied one by one."""
+    return monitor.replayed(law_events(spark, sf_dir))

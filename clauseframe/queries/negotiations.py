@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import lineage
 from ..operators import repository as P
 from ..plans import layout, negotiations, schedule
 from ..registry import query, table
@@ -137,3 +139,10 @@ def owner_projection(spark, sf_dir):
 def health_counts(spark, sf_dir):
     state = lambda name, column: table(spark, sf_dir, name).select(F.when(F.col(column) == "O", "ACTIVE").alias("status"))
     return P.health(state("orders", "o_orderstatus"), state("lineitem", "l_linestatus"))
+
+
+@query("""SELECT o_orderkey, first_value(o_orderkey) OVER w AS root, row_number() OVER w AS version FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def version_lineage(spark, sf_dir):
+    """Each order replaces the customer's order before; its root and number are found from those pointers alone."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return lineage.lineage(table(spark, sf_dir, "orders").select("o_orderkey", before.alias("parent")), "o_orderkey", "parent")
