@@ -9,6 +9,7 @@ from ..operators import lineage
 from ..operators import repository as P
 from ..plans import layout, negotiations, schedule
 from ..registry import query, table
+from ..streaming import negotiation
 
 TOPICS = {"1": ("status", "price"), "2": ("price",), "3": ("customer",)}
 WISHES = ("status", "price", "customer", "notes")
@@ -146,3 +147,21 @@ def version_lineage(spark, sf_dir):
     """Each order replaces the customer's order before; its root and number are found from those pointers alone."""
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     return lineage.lineage(table(spark, sf_dir, "orders").select("o_orderkey", before.alias("parent")), "o_orderkey", "parent")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+s(n, outcome, state) AS (VALUES (1, 'SAVED', 'PRIORITIZE'), (2, 'SAVED', 'PRIORITIZE'), (3, 'SAVED', 'STRATEGY'), (4, 'SAVED', 'STRATEGY'), (5, 'SAVED', 'DRAFT'), (6, 'SAVED', 'DRAFT'), (7, 'SAVED', 'COUNTER'), (8, 'SAVED', 'DONE'), (9, 'NOT_AVAILABLE', 'DONE'))
+SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 AND o.n > 1 THEN CASE o.n WHEN 2 THEN 'UNKNOWN_ISSUE' WHEN 3 THEN 'NO_ADDRESS_FORM' ELSE 'NOT_AVAILABLE' END ELSE outcome END AS outcome,
+  CASE WHEN o_custkey % 3 = 0 THEN 'PRIORITIZE' ELSE state END AS state, CAST(CASE WHEN o_custkey % 3 = 0 OR o.n < 4 THEN 0 WHEN o.n = 4 THEN 1 ELSE 2 END AS INTEGER) AS decided FROM o JOIN s ON s.n = least(o.n, 9)""")
+def negotiation_calls(spark, sf_dir):
+    """A customer's orders as the calls of one negotiation, from its opening to its end; every third customer is not asked how to be addressed."""
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    skips = F.col("o_custkey") % 3 == 0
+    some = lambda *named: F.array(*(F.lit(i) for i in named))
+    tool = F.element_at(some("open", "set_address_form", "set_priorities", "record_strategy", "record_strategy", "submit_draft", "finalize_draft", "complete_negotiation"), F.least("n", F.lit(8)))
+    calls = table(spark, sf_dir, "orders").withColumn("n", n).select(
+        F.col("o_custkey").cast("long").alias("negotiation_id"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").cast("long").alias("seq"), F.when(skips & (F.col("n") == 2), "get_issue_details").otherwise(tool).alias("tool"),
+        F.when(F.col("n") == 4, "a").when(F.col("n") == 5, "b").otherwise("z").alias("issue"), F.when(F.col("n") == 6, some("a")).otherwise(some("a", "b")).alias("issues"),
+        F.when(F.col("n") == 2, "PLURAL").when(F.col("n") == 4, "CITE_LAW").when(F.col("n") == 5, "CONCEDE").alias("kind"), F.lit("please").alias("text"), F.lit(True).alias("confirmed"), F.lit(True).alias("conceded"),
+    )
+    return negotiation.replayed(calls).select(F.col("seq").alias("o_orderkey"), "outcome", "state", "decided")
