@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..plans import analyses, links, metrics, rules, terms, verdicts
+from ..plans import analyses, comparison, links, metrics, rules, terms, verdicts
 from ..plans import clauses as C
 from ..registry import query, table
 
@@ -30,9 +30,9 @@ WISHES = {"max_rent": 5000.0}
 KEYS = f"k AS (SELECT CAST(c_custkey AS BIGINT) AS contract_id, {', '.join(f'{e} AS {n}' for n, e in FIGURES.items())} FROM customer)"
 
 
-def agreements(spark, sf_dir):
+def agreements(spark, sf_dir, figures=FIGURES, clauses=CLAUSES):
     """(contract_id, ord, clause_id, text, section_label, heading)."""
-    keyed = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("contract_id"), *(F.expr(e).alias(n) for n, e in FIGURES.items()))
+    keyed = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("contract_id"), *(F.expr(e).alias(n) for n, e in figures.items()))
 
     def filled(text):
         parts = []
@@ -41,7 +41,7 @@ def agreements(spark, sf_dir):
             parts += [F.col(name).cast("string"), F.lit(rest)] if name else [F.lit(rest)]
         return F.concat(*parts)
 
-    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(f"C{i + 1:03d}").alias("clause_id"), filled(t).alias("text"), F.lit(str(i + 1)).alias("section_label"), F.lit(None).cast("string").alias("heading")) for i, t in enumerate(CLAUSES)))
+    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(f"C{i + 1:03d}").alias("clause_id"), filled(t).alias("text"), F.lit(str(i + 1)).alias("section_label"), F.lit(None).cast("string").alias("heading")) for i, t in enumerate(clauses)))
     return keyed.select("contract_id", F.explode(rows).alias("x")).select("contract_id", "x.*")
 
 
@@ -148,3 +148,30 @@ def release_gate(spark, sf_dir):
     items = orders.select("case_id", F.col("clause_id").alias("item"))
     reported = items.select("case_id", "item", F.when(F.col("item") % 5 == 0, "COVERED").otherwise("MISSING").alias("status"))
     return metrics.release_gate(side(told("o_orderstatus", "P", "O")), side(told("p", "1", "2")), items.where("item % 3 = 0"), reported)
+
+
+#: The later version: the rent is raised, urgent repairs have three days, the way in is gone.
+RAISE = 1500
+LATER = FIGURES | {"rent": f"{FIGURES['rent']} + {RAISE}", "urgent": "3"}
+LATER_CLAUSES = tuple(c for i, c in enumerate(CLAUSES) if i != 4)
+
+
+@query(f"""WITH {KEYS}, v AS (SELECT *, rent + {RAISE} AS later, security > least(rent * months / 3.0, rent * 3) AS over_before, security > least((rent + {RAISE}) * months / 3.0, (rent + {RAISE}) * 3) AS over_after FROM k),
+c AS (SELECT contract_id, '0' AS before, '0' AS after, 'MODIFIED' AS change, CASE WHEN rent > 5000 THEN 1 ELSE 0 END AS x, CASE WHEN later > 5000 THEN 1 ELSE 0 END AS y FROM v
+UNION ALL SELECT contract_id, '1', '1', 'UNCHANGED', 0, 0 FROM v
+UNION ALL SELECT contract_id, '2', '2', 'UNCHANGED', CASE WHEN over_before THEN 2 WHEN days > 60 THEN 1 ELSE 0 END, CASE WHEN over_after THEN 2 WHEN days > 60 THEN 1 ELSE 0 END FROM v
+UNION ALL SELECT contract_id, '3', '3', CASE WHEN urgent = 3 THEN 'UNCHANGED' ELSE 'MODIFIED' END, CASE WHEN urgent > 3 THEN 2 ELSE 0 END, 0 FROM v
+UNION ALL SELECT contract_id, '4', '', 'REMOVED', 1, 0 FROM v
+UNION ALL SELECT contract_id, unnest(['5', '6']), unnest(['4', '5']), 'UNCHANGED', 0, 0 FROM v)
+SELECT c.contract_id AS pair_id, before, after, change, CASE WHEN x > 0 AND y = 0 THEN 'FIXED' WHEN y > 0 AND x = 0 THEN 'NEW_ISSUE' WHEN y > x THEN 'WORSENED' WHEN y < x THEN 'IMPROVED' WHEN x > 0 THEN 'STILL_OPEN' WHEN change = 'UNCHANGED' THEN 'UNCHANGED' ELSE 'UNREQUESTED_CHANGE' END AS status,
+  CAST(months * (rent + charge) AS DOUBLE) AS cost_before, CAST(months * (later + charge) AS DOUBLE) AS cost_after, CAST(1 + CASE WHEN urgent = 3 THEN 0 ELSE 1 END AS BIGINT) AS protections_changed FROM c JOIN v USING (contract_id)""")
+def agreement_comparison(spark, sf_dir):
+    """Two versions of each customer's agreement, analysed, aligned and compared in one plan, with what they cost and how many protections changed."""
+    numbered = lambda rows, n: rows.withColumn("contract_id", 2 * F.col("contract_id") + n)
+    both = numbered(agreements(spark, sf_dir), 0).unionByName(numbered(agreements(spark, sf_dir, LATER, LATER_CLAUSES), 1))
+    key = F.col("c_custkey").cast("long")
+    pairs = table(spark, sf_dir, "customer").select(key.alias("pair_id"), (2 * key).alias("before_id"), (2 * key + 1).alias("after_id"))
+    found = comparison.compare_agreements(both, pairs, WISHES)
+    changed = found.protections.groupBy("pair_id").agg(F.count_if(F.col("change") != "UNCHANGED").alias("protections_changed"))
+    at = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return found.clauses.join(found.costs, "pair_id").join(changed, "pair_id").select("pair_id", at("before"), at("after"), "change", "status", "cost_before", "cost_after", "protections_changed")
