@@ -7,7 +7,7 @@ length limits and hashes are DataFrame work on the rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -159,16 +159,31 @@ class Node:
         return tidy(" ".join(x for x in (self.number, self.title, self.content, *(c.rendered() for c in self.children)) if x))
 
 
-def sections_of(html: str | None, as_of: str) -> list[tuple[str, str]]:
-    """(number, text) of the sections in force."""
+def blocks_of(html: str | None) -> list[Block]:
     page = Page()
     page.feed(html or "")
     page.close()
+    return page.blocks
+
+
+def sections_of(html: str | None, as_of: str) -> list[tuple[str, str]]:
+    """(number, text) of the sections in force."""
+    return outline(in_force(blocks_of(html), as_of))
+
+
+def turns_of(blocks: list[Block]) -> list[str]:
+    """The dates (YYYY-MM-DD) that notes of a page name, in order: between two of them no wording changes."""
+    found = (EFFECTIVE.search(text) for block in blocks for text, note in block.parts if note)
+    return sorted({f"{f[3]}-{int(f[2]):02d}-{int(f[1]):02d}" for f in found if f})
+
+
+def outline(blocks: list[Block]) -> list[tuple[str, str]]:
+    """(number, text) of the sections that blocks in force make up."""
     root = Node("")
     stack: list[tuple[int, Node]] = [(0, root)]
     pending: tuple[int, Node] | None = None
     appendix: Node | None = None
-    for block in in_force(page.blocks, as_of):
+    for block in blocks:
         text = block.text()
         if block.kind == "h2":
             appendix, pending = (Node(text), None) if text.startswith(APPENDIX) else (None, pending)
@@ -215,20 +230,57 @@ def split_text(text: str, most: int = MOST) -> list[str]:
 def chunks(pages: DataFrame, as_of: str, key: str = "law_id", html: str = "html") -> DataFrame:
     """(key, ordinal, reference, section, text, hash): the chunks in force, in order. References repeat-proof by ``-INSTANCE-n``,
     parts by ``-Pn``; chunks under ``LEAST`` characters are left out before ordinals are given."""
+    return _numbered(_sections(pages, lambda h: [(None, sections_of(h, as_of))], key, html), key).drop("since")
+
+
+#: Before all dates that a page names.
+EARLIEST = "0001-01-01"
+
+
+def _history(html: str | None) -> list[tuple[str, list[tuple[str, str]]]]:
+    """(since, sections) of each time between dates that a page names; the page is read once."""
+    blocks = blocks_of(html)
+    copied = lambda: [Block(b.kind, b.level, list(b.parts), b.gone) for b in blocks]
+    return [(since, outline(in_force(copied(), since))) for since in (EARLIEST, *turns_of(blocks))]
+
+
+def chunk_intervals(pages: DataFrame, key: str = "law_id", html: str = "html") -> DataFrame:
+    """(key, since, until, ordinal, reference, section, text, hash): each chunk with the dates from which and before which it stands like
+    that; ``until`` is null for what still does. Times in which a chunk stays as it is are one row."""
+    rows = _numbered(_sections(pages, _history, key, html), key)
+    turns = rows.select(key, "since").distinct().withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("since"))).withColumn("next", F.lead("since").over(Window.partitionBy(key).orderBy("since")))
+    same = [key, "ordinal", "reference", "section", "text", "hash"]
+    run = F.col("n") - F.row_number().over(Window.partitionBy(*same).orderBy("n"))
+    runs = rows.join(turns, [key, "since"]).withColumn("run", run).groupBy(*same, "run").agg(F.min("since").alias("since"), F.max(F.struct("n", "next"))["next"].alias("until"))
+    return runs.select(key, "since", "until", *same[1:])
+
+
+def chunks_at(intervals: DataFrame, dates: DataFrame, key: str = "law_id", date: str = "as_of") -> DataFrame:
+    """The chunks of ``chunk_intervals`` that stand on each date (key, date as YYYY-MM-DD) of ``dates``."""
+    holds = (F.col("since") <= F.col(date)) & (F.col("until").isNull() | (F.col(date) < F.col("until")))
+    return dates.join(intervals, key).where(holds).drop("since", "until")
+
+
+def _sections(pages: DataFrame, read: Callable[[str | None], list[tuple[str | None, list[tuple[str, str]]]]], key: str, html: str) -> DataFrame:
+    """(key, since, ord, section, parts) of what ``read`` makes of each page."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, i, number, split_text(text)) for k, h in zip(*(c.to_pylist() for c in b.columns), strict=True) for i, (number, text) in enumerate(sections_of(h, as_of))]
-            kinds = (b.schema.field(0).type, pa.int32(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [key, "ord", "section", "parts"])
+            rows = [(k, since, i, number, split_text(text)) for k, h in zip(*(c.to_pylist() for c in b.columns), strict=True) for since, found in read(h) for i, (number, text) in enumerate(found)]
+            kinds = (b.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [key, "since", "ord", "section", "parts"])
+
+    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, since string, ord int, section string, parts array<string>")
+
 
-    rows = pages.select(key, html).mapInArrow(run, f"{key} {kind}, ord int, section string, parts array<string>")
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """(key, since, ordinal, reference, section, text, hash) of the sections of each page and time."""
     base = F.concat(F.lit("IL-"), F.col(key).cast("string"), F.lit("-"), T.section_key("section", F.col("ord") + 1))
     rows = rows.withColumn("base", base)
-    of = Window.partitionBy(key, "base")
+    of = Window.partitionBy(key, "since", "base")
     unique = F.when(F.count(F.lit(1)).over(of) > 1, F.concat("base", F.lit("-INSTANCE-"), F.row_number().over(of.orderBy("ord")).cast("string"))).otherwise(F.col("base"))
-    parts = rows.withColumn("unique", unique).select(key, "ord", "section", "unique", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "text")).where(F.length("text") >= LEAST)
+    parts = rows.withColumn("unique", unique).select(key, "since", "ord", "section", "unique", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "text")).where(F.length("text") >= LEAST)
     reference = F.when(F.col("n") == 1, F.col("unique")).otherwise(F.concat("unique", F.lit("-P"), (F.col("part") + 1).cast("string")))
-    ordinal = F.row_number().over(Window.partitionBy(key).orderBy("ord", "part")) - 1
-    return parts.select(key, ordinal.alias("ordinal"), reference.alias("reference"), F.nullif("section", F.lit("")).alias("section"), "text", F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"))
+    ordinal = F.row_number().over(Window.partitionBy(key, "since").orderBy("ord", "part")) - 1
+    return parts.select(key, "since", ordinal.alias("ordinal"), reference.alias("reference"), F.nullif("section", F.lit("")).alias("section"), "text", F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"))

@@ -27,6 +27,10 @@ SELECT k AS law_id, CAST(row_number() OVER (PARTITION BY k ORDER BY ord) - 1 AS
 def statute_chunks(spark, sf_dir):
     """A law for each customer: a wording that holds or does not yet, a section that is repealed in every third, one too short, and
     one whose number comes twice."""
+    return statutes.chunks(_pages(spark, sf_dir), "2024-06-01")
+
+
+def _pages(spark, sf_dir):
     k = F.col("c_custkey")
     number = lambda n, more="", level=1: F.lit(f'<div class="law-number{level}">{n}{more}</div>')
     content = lambda *parts, level=1: F.concat(F.lit(f'<div class="law-content{level}">'), *(p if not isinstance(p, str) else F.lit(p) for p in parts), F.lit("</div>"))
@@ -40,7 +44,22 @@ def statute_chunks(spark, sf_dir):
         number("4."), content("Short."),
         number("2."), content("Another section of the same number."), number("(a)", level=2), content("with a paragraph", level=2),
     )
-    return statutes.chunks(table(spark, sf_dir, "customer").select(k.alias("law_id"), html.alias("html")), "2024-06-01")
+    return table(spark, sf_dir, "customer").select(k.alias("law_id"), html.alias("html"))
+
+
+DATES = ("1999-12-31", "2023-12-31", "2024-01-01", "2024-06-01", "2029-12-31", "2030-01-01", "2031-07-01")
+
+
+@query(f"""WITH d AS (SELECT c_custkey AS k, unnest([{', '.join(f"'{d}'" for d in DATES)}]) AS as_of FROM customer),
+s AS (SELECT k, as_of, CASE WHEN as_of >= CASE WHEN k % 2 = 0 THEN '2024-01-01' ELSE '2030-01-01' END THEN '14' ELSE CAST(30 + k % 10 AS VARCHAR) END AS days FROM d)
+SELECT k AS law_id, as_of, 'IL-' || k || '-2-INSTANCE-1' AS reference, '2 A landlord shall repair within ' || days || ' days of notice.' AS text, CAST(CASE WHEN k % 3 = 0 THEN 3 ELSE 4 END AS BIGINT) AS standing FROM s""")
+def statute_history(spark, sf_dir):
+    """The laws of ``statute_chunks`` on many dates, from intervals that are found once: what section 2 says, and how many chunks stand."""
+    pages = _pages(spark, sf_dir)
+    dates = pages.select("law_id", F.explode(F.array(*map(F.lit, DATES))).alias("as_of"))
+    at = statutes.chunks_at(statutes.chunk_intervals(pages), dates)
+    of_two = F.max(F.when(F.col("reference").endswith("-2-INSTANCE-1"), F.struct("reference", "text")))
+    return at.groupBy("law_id", "as_of").agg(of_two.alias("x"), F.count(F.lit(1)).alias("standing")).select("law_id", "as_of", "x.reference", "x.text", "standing")
 
 
 _RANKED = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders"

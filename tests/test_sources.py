@@ -59,3 +59,24 @@ def test_feeds(spark):
     got = feeds.ocr_words(spark.createDataFrame([(1, 1, 100.0, [([([([word],)],)],)])], kind)).first()
     assert (got.text, got.x, got.y, got.width, got.height) == ("hi", 10.0, 79.5, 20.0, 1.0)
     assert feeds.progress_lines(spark.createDataFrame([(1, None)], "a int, b string"), "a", "b").first().value == '{"a":1}'
+
+
+def test_intervals_equal_the_plan_on_every_date(spark):
+    import itertools
+    from datetime import date, timedelta
+
+    second = PAGE.replace("2024", "2022") + PAGE
+    pages = spark.createDataFrame([(7, PAGE), (8, None), (9, second), (10, "<p>nothing</p>")], "law_id int, html string")
+    intervals = statutes.chunk_intervals(pages).checkpoint()
+    turns = sorted({t for html in (PAGE, second) for t in statutes.turns_of(statutes.blocks_of(html))})
+    assert turns
+    days = sorted({str(date.fromisoformat(t) + timedelta(days=d)) for t, d in itertools.product(turns, (-1, 0, 1))} | {"1980-01-01", "2099-01-01"})
+    dates = pages.select("law_id", F.explode(F.array(*map(F.lit, days))).alias("as_of"))
+    got = {}
+    for r in statutes.chunks_at(intervals, dates).collect():
+        got.setdefault(r.as_of, []).append((r.law_id, r.ordinal, r.reference, r.section, r.text, r.hash))
+    for day in days:
+        want = [(r.law_id, r.ordinal, r.reference, r.section, r.text, r.hash) for r in statutes.chunks(pages, day).collect()]
+        assert sorted(got.get(day, []), key=repr) == sorted(want, key=repr), day
+    still = intervals.where("law_id = 7").groupBy("reference", "text").count()
+    assert still.where("count > 1").count() == 0  # a wording that stays is one row
