@@ -52,8 +52,3 @@ def add_months(period: Column | str, months: Column) -> Column:
 def date_in_zone(instant: Column | str, zone: str = "Asia/Jerusalem") -> Column:
     """The calendar date in ``zone`` of an instant, in a session that keeps UTC."""
     return F.to_date(F.from_utc_timestamp(_col(instant), zone))
-
-
-def local_date(at: Column | str, zone: str = "Asia/Jerusalem") -> Column:
-    """The calendar date at a place of a time that is in UTC."""
-    return F.to_date(F.from_utc_timestamp(at, zone))

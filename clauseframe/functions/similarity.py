@@ -73,15 +73,16 @@ def word_bag(least: int = 2) -> Bag:
     return bag
 
 
-def bag_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, make: Callable[[], Bag], chars: int = 4_000_000, right_chars: int = 200_000, right_rows: int = 128) -> DataFrame:
+def bag_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, make: Callable[[], Bag], chars: int = 4_000_000, right_chars: int = 200_000, right_rows: int = 128, left_rows: int = 4096) -> DataFrame:
     """What ``multiset_overlap`` gives, for a long ``left`` and a short ``right`` side, from their texts.
 
     Each text of ``left`` is read and counted once a block of ``right``, and meets that block as a table of counts; no row is
-    made for a member, so one that all texts share costs what a rare one does. The number of blocks of either side follows its size.
+    made for a member, so one that all texts share costs what a rare one does. The number of blocks of either side follows its
+    texts' length and their number, so a block's results are bounded too.
     """
     size = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars")).first()
     n, m = size(left), size(right)
-    rows, cols = max(1, -(-n.chars // chars)), max(1, -(-m.chars // right_chars), -(-m.n // right_rows))
+    rows, cols = max(1, -(-n.chars // chars), -(-n.n // left_rows)), max(1, -(-m.chars // right_chars), -(-m.n // right_rows))
     kinds = {f.name: f.dataType.simpleString() for f in (left.schema[left_key], right.schema[right_key])}
 
     def dealt(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
@@ -89,7 +90,7 @@ def bag_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str
         return df.select(key, F.coalesce(text, F.lit("")).alias("text"), block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)).groupBy("lb", "rb")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        made: tuple[list, ...] = ([], [], [], [], [])
+        own, other, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((3, 0), np.int64)]
         if a.num_rows and b.num_rows:
             bag = make()
             bags = [bag(t) for t in b.column("text").to_pylist()]
@@ -97,20 +98,20 @@ def bag_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str
             counts = np.zeros((len(known), len(bags)), np.int32)
             for j, (members, c) in enumerate(bags):
                 counts[np.searchsorted(known, members), j] = c
-            sizes, ids = [int(c.sum()) for _, c in bags], b.column(right_key).to_pylist()
-            for own, t in zip(a.column(left_key), a.column("text"), strict=True):
+            sizes = np.array([int(c.sum()) for _, c in bags], np.int64)
+            for i, t in enumerate(a.column("text")):
                 members, c = bag(t.as_py())
                 at = np.searchsorted(known, members)
                 hit = np.flatnonzero(at < len(known))
                 hit = hit[known[at[hit]] == members[hit]]
                 shared = np.minimum(counts[at[hit]], c[hit, None]).sum(axis=0)
-                n_own, own = int(c.sum()), own.as_py()
-                for j in np.flatnonzero(shared).tolist():
-                    for column, x in zip(made, (own, ids[j], int(shared[j]), n_own, sizes[j]), strict=True):
-                        column.append(x)
-        names = (left_key, right_key, "shared", "n_left", "n_right")
-        types = (a.schema.field(left_key).type, b.schema.field(right_key).type, pa.int64(), pa.int64(), pa.int64())
-        return pa.table({x: pa.array(c, t) for x, c, t in zip(names, made, types, strict=True)})
+                j = np.flatnonzero(shared)
+                own.append(np.full(len(j), i))
+                other.append(j)
+                numbers.append(np.stack([shared[j], np.full(len(j), c.sum()), sizes[j]]).astype(np.int64))
+        shared, n_left, n_right = np.concatenate(numbers, axis=1)
+        keys = [side.column(key).take(pa.array(np.concatenate(at))) for side, key, at in ((a, left_key, own), (b, right_key, other))]
+        return pa.table([*keys, pa.array(shared), pa.array(n_left), pa.array(n_right)], names=[left_key, right_key, "shared", "n_left", "n_right"])
 
     schema = f"`{left_key}` {kinds[left_key]}, `{right_key}` {kinds[right_key]}, shared long, n_left long, n_right long"
     return dealt(left, left_key, "lb", rows, "rb", cols).cogroup(dealt(right, right_key, "rb", cols, "lb", rows)).applyInArrow(meet, schema)

@@ -91,7 +91,7 @@ def coverage_percent(spark, sf_dir):
 
 @query("SELECT event_id, CAST(timezone('Asia/Jerusalem', timezone('UTC', ts)) AS DATE) AS local_date FROM events")
 def local_dates(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", N.local_date("ts").alias("local_date"))
+    return table(spark, sf_dir, "events").select("event_id", N.date_in_zone("ts").alias("local_date"))
 
 
 @query("""SELECT conv_id, CAST(row_number() OVER w - 1 AS INTEGER) AS ord, turn, role, lead(turn) OVER w IS NOT NULL AS complete FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")

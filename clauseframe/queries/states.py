@@ -83,11 +83,6 @@ def assignment_optimal(spark, sf_dir):
     return found.where("change = 'MODIFIED'").groupBy("pair_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("similarity"), 3).alias("similarity"))
 
 
-@query()
-def lis_moved(spark, sf_dir):
-    return align.align(_versions(spark, sf_dir)).where("moved").select("pair_id", "before", "after")
-
-
 @query()
 def word_diff(spark, sf_dir):
     return align.diffs(align.align(_versions(spark, sf_dir)).where("change = 'MODIFIED'"))

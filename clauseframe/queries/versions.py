@@ -45,6 +45,13 @@ def agreement_alignment(spark, sf_dir):
     return align.align(_agreements(spark, sf_dir)).select("pair_id", at("before"), at("after"), "change", "moved", "renumbered")
 
 
+@query("SELECT c_custkey AS pair_id, '4' AS before, '1' AS after FROM customer WHERE c_custkey % 2 = 0")
+def lis_moved(spark, sf_dir):
+    """The clauses off the longest run that keeps its order: the notice, where it stands earlier than before."""
+    at = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return align.align(_agreements(spark, sf_dir)).where("moved").select("pair_id", at("before"), at("after"))
+
+
 @query("""WITH k AS (SELECT c_custkey AS pair_id, 1000 + c_custkey AS a, 1200 + c_custkey AS b FROM customer)
 SELECT pair_id, 'equal:1. The tenant pays |delete:' || a || '|insert:' || b || '|equal: shekels of rent on the first of every month.' AS runs, a || '>' || b AS numbers FROM k""")
 def agreement_diffs(spark, sf_dir):

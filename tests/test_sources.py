@@ -80,3 +80,12 @@ def test_intervals_equal_the_plan_on_every_date(spark):
         assert sorted(got.get(day, []), key=repr) == sorted(want, key=repr), day
     still = intervals.where("law_id = 7").groupBy("reference", "text").count()
     assert still.where("count > 1").count() == 0  # a wording that stays is one row
+
+
+def test_the_catalog_of_laws(spark):
+    from clauseframe.sources import catalog
+
+    assert len(catalog.LAWS) == len({i for i, _ in catalog.LAWS}) == len({t for _, t in catalog.LAWS}) == 13
+    rows = spark.createDataFrame([(2000596, 1), (2000596, 2), (5, 3), (None, 4)], "law_id long, n int")
+    assert sorted((r.n, r.title) for r in catalog.monitored(rows).collect()) == [(1, "חוק השכירות והשאילה"), (2, "חוק השכירות והשאילה")]
+    assert catalog.unseen(rows).count() == 12 and catalog.unseen(rows.limit(0)).count() == 13
