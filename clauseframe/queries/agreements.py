@@ -175,3 +175,45 @@ def agreement_comparison(spark, sf_dir):
     changed = found.protections.groupBy("pair_id").agg(F.count_if(F.col("change") != "UNCHANGED").alias("protections_changed"))
     at = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return found.clauses.join(found.costs, "pair_id").join(changed, "pair_id").select("pair_id", at("before"), at("after"), "change", "status", "cost_before", "cost_after", "protections_changed")
+
+
+#: A clause, and what a tenant with ``PARTICULAR`` wishes is told of it: severity and rule, or that it is fine.
+RULED = (
+    ("השוכר ימסור ערבות בנקאית בסך 40,000 ש״ח.", "RED", "SECURITY_CAP"), ("השוכר ימסור ערבות בנקאית בסך 12,000 ש״ח.", "OK", None),
+    ("ליקוי דחוף יתוקן בתוך שבעה ימים.", "RED", "URGENT_REPAIR"), ("תקלה דחופה תתוקן בתוך 48 שעות.", "ORANGE", "REPAIR_TIME"), ("ליקוי דחוף יתוקן בתוך 24 שעות.", "OK", None),
+    ("אסור להחזיק בדירה כלב או חתול.", "ORANGE", "PETS"), ("מותר להחזיק בדירה כלב או חתול.", "OK", None),
+    ("דמי השכירות החודשיים יהיו 6,000 ש״ח לחודש.", "ORANGE", "BUDGET"), ("דמי השכירות החודשיים יהיו 4,500 ש״ח לחודש.", "OK", None),
+    ("הדירה נמסרת כשהיא לא מרוהטת.", "ORANGE", "FURNITURE"), ("הדירה נמסרת כשהיא מרוהטת.", "OK", None),
+    ("השוכר יפקיד פיקדון אצל המשכיר.", "ORANGE", "SECURITY_KIND"), ("השוכר יפקיד פיקדון או ימסור ערבות בנקאית.", "OK", None),
+    ("דמי השכירות יעלו ב-5% בכל שנה.", "ORANGE", "INCREASE"), ("דמי השכירות יעלו ב-2% בכל שנה.", "OK", None),
+    ("תקופת השכירות היא 18 חודשים.", "ORANGE", "LENGTH"), ("משך השכירות הוא שנה אחת.", "OK", None),
+    ("דמי השכירות יהיו צמודים למדד.", "ORANGE", "INDEXATION"), ("דמי השכירות אינם צמודים למדד.", "OK", None),
+    ("השוכר ישלם דמי תיווך.", "ORANGE", "BROKER_FEE"), ("המשכיר ישלם דמי תיווך.", "OK", None),
+    ("אין לשוכר כל זכות לסיום מוקדם.", "ORANGE", "EARLY_EXIT"), ("השוכר רשאי לסיים בסיום מוקדם בהודעה של 60 ימים.", "OK", None),
+    ("לא תינתן לשוכר אופציה.", "ORANGE", "RENEWAL"), ("תינתן לשוכר אופציה.", "OK", None),
+    ("השוכר אינו רשאי להכניס שותפים לדירה.", "ORANGE", "ROOMMATES"), ("השוכר רשאי להכניס שותפים לדירה.", "OK", None),
+    ("המשכיר רשאי להיכנס לדירה בהודעה מראש של 24 שעות.", "ORANGE", "ENTRY_NOTICE"), ("המשכיר רשאי להיכנס לדירה בהודעה מראש של 72 שעות.", "OK", None),
+    ("השוכר מוותר על כל טענה.", "ORANGE", "WAIVER"), ("השוכר מוותר על החניה.", "OK", None),
+    ("המשכיר רשאי לחלט את הערבות ללא הודעה.", "ORANGE", "REALIZATION"), ("המשכיר רשאי לחלט את הערבות לאחר הודעה.", "OK", None),
+    ("המשכיר רשאי להיכנס לדירה בכל עת ללא תיאום.", "ORANGE", "ENTRY"), ("המשכיר רשאי להיכנס לדירה לאחר תיאום.", "OK", None),
+    ("ביטוח המבנה יחול על השוכר.", "ORANGE", "OWNER_CHARGES"), ("ביטוח המבנה יחול על המשכיר.", "OK", None),
+    ("הערבות תוחזר לשוכר בתוך 90 ימים.", "ORANGE", "SECURITY_RETURN"), ("הערבות תוחזר לשוכר בתוך 45 ימים.", "OK", None),
+    ("השוכר לא יהיה זכאי להחזר בגין תיקון שביצע.", "ORANGE", "NO_REFUND"), ("השוכר יהיה זכאי להחזר בגין תיקון שביצע.", "OK", None),
+    ("על אף האמור בסעיף 2, השוכר יישא בכל הוצאות המשכיר.", "ORANGE", "OVERRIDES"), ("בכפוף לסעיף 2, השוכר יישא בכל הוצאות המשכיר.", "OK", None),
+)
+PARTICULAR = {
+    "pets": True, "max_rent": 5000.0, "furnished": True, "accepted_securities": ("BANK_GUARANTEE",), "max_increase": 3.0, "term": 12, "accepts_indexation": False, "accepts_broker_fee": False, "early_exit": True, "renewal": True,
+    "roommates": True, "min_notice_hours": 48, "repair_hours": 24.0,
+}
+_RULED_SQL = ", ".join(f"({i}, '{severity}', {'NULL' if rule is None else repr(rule)})" for i, (_, severity, rule) in enumerate(RULED))
+
+
+@query(f"""WITH s(n, severity, rule) AS (VALUES {_RULED_SQL}), k AS (SELECT CAST(c_custkey AS BIGINT) AS contract_id, severity, rule FROM customer JOIN s ON n = c_custkey % {len(RULED)})
+SELECT contract_id, 'C1' AS clause_id, severity, rule FROM k UNION ALL SELECT contract_id, 'C2', CASE WHEN rule = 'OVERRIDES' THEN 'ORANGE' ELSE 'OK' END, CASE WHEN rule = 'OVERRIDES' THEN 'OVERRIDDEN' END FROM k UNION ALL SELECT contract_id, 'C3', 'OK', NULL FROM k""")
+def agreement_rules(spark, sf_dir):
+    """Every rule of the verdict chain on a clause that it concerns, and on one that nearly says the same, before the rent and the term."""
+    texts = F.array(*(F.lit(t) for t, *_ in RULED))
+    first = F.element_at(texts, (F.col("c_custkey") % len(RULED) + 1).cast("int"))
+    parts = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(f"C{i + 1}").alias("clause_id"), t.alias("text"), F.lit(str(i + 1)).alias("section_label"), F.lit(None).cast("string").alias("heading")) for i, t in enumerate((first, F.lit("דמי השכירות החודשיים יהיו 4,000 ש״ח לחודש."), F.lit("תקופת השכירות היא 12 חודשים.")))))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("contract_id"), F.explode(parts).alias("x")).select("contract_id", "x.*")
+    return verdicts.verdicts(rows, links.link_clauses(rows), PARTICULAR).select("contract_id", "clause_id", "severity", "rule")
