@@ -59,3 +59,30 @@ def security_cap_check(spark, sf_dir):
     months = F.when(F.col("o_orderstatus") != "P", F.substring("o_orderpriority", 1, 1).cast("int") * 3 + 3)
     found = rules.security_cap(F.col("o_totalprice") / 12, months, F.col("o_totalprice") / 3)
     return orders.select("o_orderkey", money(found["cap"]).alias("cap"), money(found["difference"]).alias("difference"), found["passed"].alias("passed"))
+
+
+EXITS = ("UNTIL_END", "UNTIL_REPLACEMENT", "ALLOWED_WITH_NOTICE", "FIXED_MONTHS", "FIXED_AMOUNT")
+FREQUENCIES = ("NONE", "MONTHLY", "ANNUAL", "AT_RENEWAL")
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, 1000 + c_custkey % 500 AS rent, c_custkey % 6 AS v, c_custkey % 2 AS late, floor(c_custkey / 6) % 4 AS f, CASE WHEN c_custkey % 6 = 5 THEN 18 ELSE 5 END AS occupied,
+  CASE c_custkey % 6 WHEN 0 THEN 7 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 0 END AS owed FROM customer),
+m AS (SELECT *, unnest(range(1, occupied + owed + late + 1)) AS seq FROM a),
+p AS (SELECT *, CASE WHEN seq <= occupied AND seq <= 12 THEN 'TERM' WHEN seq <= occupied THEN 'OPTION' WHEN seq <= occupied + owed THEN 'EXIT' ELSE 'LATE' END AS phase FROM m),
+r AS (SELECT *, CASE WHEN phase = 'LATE' THEN occupied ELSE seq END AS month FROM p),
+b AS (SELECT *, rent * CASE WHEN month > 12 THEN 1 + 10.0::DOUBLE / 100 ELSE 1.0::DOUBLE END AS base, 1 + 6.0::DOUBLE / 100 AS one FROM r),
+i AS (SELECT *, base + base * (CASE f WHEN 1 THEN pow(one, (month - 1) / 12.0::DOUBLE) WHEN 2 THEN pow(one, floor((month - 1) / 12.0::DOUBLE)) WHEN 3 THEN CASE WHEN month > 12 THEN one ELSE 1 END ELSE 1 END - 1) AS due FROM b),
+t AS (SELECT k, phase, floor(CASE WHEN phase = 'LATE' THEN 1.5::DOUBLE * due / 30 * 10 ELSE due + CASE WHEN v = 4 AND seq = 5 THEN 2000 ELSE 0 END END * 100 + 0.5) / 100 AS total FROM i)
+SELECT k AS c_custkey, phase, count(*) AS months, round(sum(total), 2) AS total FROM t GROUP BY ALL""")
+def cost_exits(spark, sf_dir):
+    """Each way of leaving early, or an option taken up, under each frequency of the index, with and without handing over late."""
+    k = F.col("c_custkey")
+    of = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    leaves = k % 6 != 5
+    inputs = table(spark, sf_dir, "customer").select(
+        k, (F.lit(1000.0) + k % 500).alias("rent"), F.lit(12).alias("term"), F.when(leaves, 5).alias("exit_after"), F.when(leaves, of((*EXITS, "none"), k % 6)).alias("exit_kind"), F.lit(60).alias("exit_notice_days"), F.lit(4).alias("exit_months"),
+        F.lit(2000.0).alias("exit_amount"), F.lit(3).alias("replacement_after"), F.when(~leaves, 6).alias("option_months"), F.lit(10.0).alias("option_percent"), of(FREQUENCIES, F.floor(k / 6) % 4).alias("indexation"), F.lit(6.0).alias("inflation"),
+        F.when(k % 2 == 1, 10).alias("late_vacating_days"), F.lit(1.5).alias("vacating_multiple"),
+    )
+    months = schedule.schedule(inputs, "c_custkey")
+    return months.groupBy("c_custkey", "phase").agg(F.count(F.lit(1)).alias("months"), F.round(F.sum("total"), 2).alias("total"))
