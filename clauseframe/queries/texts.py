@@ -186,7 +186,8 @@ d AS (SELECT doc_id, unnest({GRAMS_SQL}) AS gram FROM (SELECT doc_id, {WORDS_SQL
 i AS (SELECT item_id, len(g) AS n, unnest(g) AS gram FROM b)
 SELECT doc_id, item_id, round(count(*) / CAST(n AS DOUBLE), 6) AS containment FROM d JOIN i USING (gram) GROUP BY doc_id, item_id, n HAVING count(*) / CAST(n AS DOUBLE) >= 0.7""")
 def containment_pairs(spark, sf_dir):
-    grams = T.shingles(F.lower("text"), 8)
+    # runs of words are told apart by 96 bits of two unlike hashes, so that no text is shuffled
+    grams = F.transform(T.shingles(F.lower("text"), 8), lambda g: F.struct(F.xxhash64(g).alias("x"), F.hash(g).alias("y")))
     items = table(spark, sf_dir, "benchmark").select("item_id", grams.alias("g")).select("item_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(grams).alias("gram"))
     shared = docs.join(items, "gram").groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared"))
