@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-PREFIX = "[ושהבלמכ]{0,2}"
+PREFIX_LETTERS, MOST_PREFIXES = "ושהבלמכ", 2
+PREFIX = f"[{PREFIX_LETTERS}]{{0,{MOST_PREFIXES}}}"
 QUOTES = str.maketrans({'"': '["״”]', "'": "['׳’]"})
 
 

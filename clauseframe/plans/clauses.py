@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..lexicon import hebrew as H
+from ..session import settled
 from . import facts as X
+from . import mentions
 
 KEY = ["contract_id", "clause_id"]
 SENTENCE = [*KEY, "ord", "s_ord"]
@@ -28,14 +30,11 @@ def with_sentences(clauses: DataFrame) -> DataFrame:
     return clauses.select(*KEY, "ord", F.posexplode(parts).alias("s_ord", "sentence"))
 
 
-def profile_concepts(clauses: DataFrame, concepts: dict[str, str] = H.CONCEPTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(counts, heading, primary): how often each concept occurs in a clause, those its heading names, and what it is about."""
-
-    def counts(text: str) -> DataFrame:
-        found = F.array(*(F.struct(F.lit(c).alias("concept"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p)).alias("n")) for c, p in concepts.items()))
-        return clauses.select(*KEY, "ord", F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("x")).select(*KEY, "ord", "x.concept", "x.n")
-
-    in_text, in_heading = counts("text"), counts("heading").select(*KEY, "concept")
+def profile_concepts(clauses: DataFrame, concepts: dict[str, tuple[str, ...]] = H.NAMES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(counts, heading, primary): how often each concept occurs in a clause, those its heading names, and what it is about. Texts and
+    headings are scanned once for all phrases, and the counts are kept."""
+    found = settled(mentions.counts(clauses, [*KEY, "ord"], ("text", "heading"), list(concepts.items())).withColumnRenamed("name", "concept"))
+    in_text, in_heading = found.where("field = 'text'").drop("field"), found.where("field = 'heading'").select(*KEY, "concept")
     keyed = lambda df: df.withColumn("part", F.struct(*KEY))
     primary = X.primary_concepts(keyed(in_text).select("part", "concept", "n"), keyed(in_heading).select("part", "concept"), "part").select("part.*", "concept")
     urgent = primary.where("concept = 'URGENT_REPAIR'").select(*KEY, F.lit("REPAIRS").alias("concept"))
@@ -75,16 +74,14 @@ def sentence_numbers(sentences: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).where(F.col("value") > 0)
 
 
-def sentence_facts(sentences: DataFrame, owners: tuple[tuple[str, dict[str, str]], ...] = H.SUBJECTS) -> DataFrame:
-    """(…, scan, at, fact, value, unit, sentence): each number under the subject named closest before it, or else after it."""
+def sentence_facts(sentences: DataFrame, owners: tuple[tuple[tuple[str, ...], dict[str, str]], ...] = H.OWNERS) -> DataFrame:
+    """(…, scan, at, fact, value, unit, sentence): each number under the subject named closest before it, or else after it. All subjects
+    are found in one scan."""
     numbers = sentence_numbers(sentences)
-
-    def subject(i: int, pattern: str, targets: dict[str, str]) -> DataFrame:
-        meant = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(t).alias("target")) for k, t in targets.items()))).alias("m")
-        hits = sentences.select(*SENTENCE, F.explode(X.occurrences(F.col("sentence"), pattern)).alias("x"))
-        return hits.select(*SENTENCE, (F.col("x.at")).alias("s_at"), (F.col("x.at") + F.length("x.hit")).alias("s_end"), F.lit(i).alias("s"), meant).select(*SENTENCE, "s_at", "s_end", "s", "m.kind", "m.target")
-
-    subjects = reduce(DataFrame.unionByName, (subject(i, p, t) for i, (p, t) in enumerate(owners)))
+    stated = F.array(*(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(t).alias("target")) for k, t in targets.items())) for _, targets in owners))
+    hits = mentions.mentions(sentences, SENTENCE, "sentence", [(i, phrases) for i, (phrases, _) in enumerate(owners)])
+    meant = F.explode(F.get(stated, F.col("name"))).alias("m")
+    subjects = hits.select(*SENTENCE, F.col("at").alias("s_at"), (F.col("at") + F.length("hit")).alias("s_end"), F.col("name").alias("s"), meant).select(*SENTENCE, "s_at", "s_end", "s", "m.kind", "m.target")
     order = F.struct((F.col("s_at") > F.col("at")).alias("after"), F.abs(F.col("at") - F.col("s_at")).alias("d"), (-F.col("s_end")).alias("e"), "s", "target", "s_at")
     keys = [*SENTENCE, "scan", "at", "kind", "value", "unit", "sentence"]
     owned = numbers.join(subjects, [*SENTENCE, "kind"]).where("s_at <> at").groupBy(*keys).agg(F.min(order).alias("o")).select(*keys, "o.target", "o.s_at")

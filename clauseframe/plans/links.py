@@ -56,7 +56,8 @@ def similar(clauses: DataFrame, vectors: DataFrame | None) -> DataFrame:
 def candidates(clauses: DataFrame, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates in emission order, similarities) of every clause."""
     sentences = settled(C.with_sentences(clauses))
-    counts, headings, primary = map(settled, C.profile_concepts(clauses))
+    counts, headings, primary = C.profile_concepts(clauses)
+    primary = settled(primary)
     facts = settled(C.contract_facts(C.sentence_facts(sentences)))
     pointed = settled(C.resolved(C.references(sentences, clauses), clauses))
     texts = clauses.select("contract_id", F.col("clause_id").alias("target"), F.col("text").alias("target_text"), F.col("ord").alias("target_ord"))
