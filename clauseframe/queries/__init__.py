@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..registry import ORACLE_SQL, QUERIES
-from . import agreements, laws, negotiations, relational, schedules, snapshots, states, texts, versions  # noqa: F401  (they register their queries)
+from . import agreements, laws, negotiations, relational, schedules, snapshots, states, texts, versions, wordings  # noqa: F401  (they register their queries)
 
 FLAGSHIP = "severity_summary"
 

@@ -47,6 +47,21 @@ def acceptable_pdf(content: Column, most_bytes: int = 10 * 2**20) -> Column:
     return (F.decode(F.substring(content, 1, 5), "ISO-8859-1") == "%PDF-") & (F.length(content) <= most_bytes)
 
 
+def file_name(path: Column) -> Column:
+    """The last part of a path, without control characters."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)/*$", 1), r"[\x00-\x1f\x7f]", "")
+
+
+def continued(uploads: DataFrame, known: DataFrame, owner: str = "user_id") -> DataFrame:
+    """``uploads`` (contract_id, owner, previous_contract_id) with ``lineage``: NEW without a predecessor, CONTINUES where the owner has the one
+    that is named, else PREVIOUS_NOT_FOUND, also where somebody else has it. ``known`` has contract_id, once each, and owner; blank names none."""
+    before = F.nullif(F.trim(F.col("previous_contract_id").cast("string")), F.lit(""))
+    own = known.select(F.col("contract_id").cast("string").alias("_before"), F.col(owner).alias("_owner"), F.lit(True).alias("_found"))
+    named = uploads.withColumn("_named", before)
+    rows = named.join(own, (F.col("_named") == F.col("_before")) & (F.col(owner) == F.col("_owner")), "left")
+    return rows.select(*uploads.columns, F.when(F.col("_named").isNull(), "NEW").when(F.col("_found"), "CONTINUES").otherwise("PREVIOUS_NOT_FOUND").alias("lineage"))
+
+
 def progress_lines(events: DataFrame, *columns: str) -> DataFrame:
     """(value): one JSON object a row, nulls left out; for the text sink."""
     return events.select(F.to_json(F.struct(*columns)).alias("value"))
