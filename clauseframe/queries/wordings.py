@@ -10,6 +10,7 @@ from ..plans import clauses as C
 from ..plans import mentions, redact, segment
 from ..registry import query, table
 from ..sources import feeds
+from ..streaming import indices
 from .texts import _LAST, LINES_SQL, _steps
 
 #: One-word phrases of the driver's documents; a star stands for any ending.
@@ -106,3 +107,16 @@ SELECT u.o_orderkey, CASE WHEN u.before IS NULL THEN 'NEW' WHEN p.own = u.own TH
 def upload_lineage(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("contract_id"), (F.col("o_custkey") % 5).alias("user_id"), F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise((F.col("o_orderkey") - 1).cast("string")).alias("previous_contract_id"))
     return feeds.continued(rows, rows).select(F.col("contract_id").alias("o_orderkey"), "lineage")
+
+
+@query("""WITH RECURSIVE c AS (SELECT user_id, event_id, epoch_us(ts) AS t, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 100 AS DOUBLE) / 8 END AS offered, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT user_id, event_id, n, true AS fetched, CASE WHEN offered IS NULL THEN 'ASSUMPTION' ELSE 'FETCHED' END AS source, coalesce(offered, 2.5) AS percent, offered AS good, t + CASE WHEN offered IS NULL THEN 3600000000 ELSE 86400000000 END AS expires FROM c WHERE n = 1
+UNION ALL SELECT c.user_id, c.event_id, c.n, s.expires <= c.t, CASE WHEN s.expires > c.t THEN s.source WHEN c.offered IS NOT NULL THEN 'FETCHED' WHEN s.good IS NOT NULL THEN 'LAST_GOOD' ELSE 'ASSUMPTION' END,
+  CASE WHEN s.expires > c.t THEN s.percent ELSE coalesce(c.offered, s.good, 2.5) END, CASE WHEN s.expires > c.t THEN s.good ELSE coalesce(c.offered, s.good) END,
+  CASE WHEN s.expires > c.t THEN s.expires WHEN c.offered IS NULL THEN c.t + 3600000000 ELSE c.t + 86400000000 END FROM s JOIN c ON c.user_id = s.user_id AND c.n = s.n + 1)
+SELECT event_id, fetched, source, percent FROM s""")
+def index_lookups(spark, sf_dir):
+    """Each event as a reader's call for the index; every third would find the publisher at work."""
+    offered = F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 100).cast("double") / 8)
+    calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), offered.alias("percent"))
+    return indices.served(calls).select(F.col("seq").alias("event_id"), "fetched", "source", "percent")
