@@ -122,7 +122,7 @@ def weighted_terms(terms: DataFrame, group: str, part: str, term: str) -> DataFr
     length one. ``terms`` has a row for each occurrence; N parts make up a group, df of them hold the term."""
     tf = terms.groupBy(group, part, term).agg(F.count(F.lit(1)).alias("tf"))
     parts = terms.groupBy(group).agg(F.countDistinct(part).alias("parts"))
-    weighted = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(group, term))).join(parts, group)
+    weighted = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(group, term))).join(parts.hint("merge"), group)
     weighted = weighted.withColumn("w", F.col("tf") * F.log((1 + F.col("parts")) / (1 + F.col("df")))).where("w > 0")
     return weighted.select(group, part, term, "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(group, part)))).alias("w"))
 
@@ -139,7 +139,7 @@ def threshold_candidates(scaled: DataFrame, group: str, part: str, term: str, le
     left = F.coalesce(F.sqrt(F.sum(F.when(F.col("rest") < least - 1e-9, square)).over(whole)), F.lit(0.0))
     first = scaled.withColumn("rest", rest).withColumn("left", left).where(F.col("rest") >= least - 1e-9)
     side = lambda x: first.select(group, term, F.col(part).alias(f"part_{x}"), F.col("w").alias(f"w_{x}"), F.col("left").alias(f"left_{x}"))
-    met = side("a").join(side("b"), [group, term]).where("part_a < part_b").groupBy(group, "part_a", "part_b")
+    met = side("a").join(side("b").hint("merge"), [group, term]).where("part_a < part_b").groupBy(group, "part_a", "part_b")
     sums = met.agg(F.sum(F.col("w_a") * F.col("w_b")).alias("so_far"), F.max(F.greatest("left_a", "left_b")).alias("left"))
     return sums.where(F.col("so_far") + F.col("left") >= least - 1e-9).select(group, "part_a", "part_b")
 
@@ -153,7 +153,7 @@ def tfidf_pairs(terms: DataFrame, group: str, part: str, term: str, least: float
     scaled = settled(weighted_terms(terms, group, part, term))
     near = threshold_candidates(scaled, group, part, term, least)
     side = lambda x: scaled.select(group, term, F.col(part).alias(f"part_{x}"), F.col("w").alias(f"w_{x}"))
-    met = near.join(side("a"), [group, "part_a"]).join(side("b"), [group, "part_b", term])
+    met = near.join(side("a").hint("merge"), [group, "part_a"]).join(side("b").hint("merge"), [group, "part_b", term])
     return met.groupBy(group, "part_a", "part_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("score")).where(F.col("score") >= least)
 
 

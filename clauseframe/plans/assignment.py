@@ -160,7 +160,7 @@ def all_edges(clauses: DataFrame) -> DataFrame:
     early = F.col("side") == "before"
     own = F.floor(F.col("i") / BLOCK).cast("int")
     others = F.sequence(F.lit(0), F.when(early, F.col("most_y")).otherwise(F.col("most_x")))
-    met = clauses.join(sizes.where("most_x IS NOT NULL AND most_y IS NOT NULL"), "pair_id").withColumn("own", own).withColumn("other", F.explode(others))
+    met = clauses.join(sizes.where("most_x IS NOT NULL AND most_y IS NOT NULL").hint("merge"), "pair_id").withColumn("own", own).withColumn("other", F.explode(others))
     block = lambda mine: F.when(early == mine, F.col("own")).otherwise(F.col("other"))
     met = met.select("pair_id", block(True).alias("x"), block(False).alias("y"), "side", "i", "at", "text")
 

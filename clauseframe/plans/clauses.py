@@ -84,7 +84,7 @@ def sentence_facts(sentences: DataFrame, owners: tuple[tuple[tuple[str, ...], di
     subjects = hits.select(*SENTENCE, F.col("at").alias("s_at"), (F.col("at") + F.length("hit")).alias("s_end"), F.col("name").alias("s"), meant).select(*SENTENCE, "s_at", "s_end", "s", "m.kind", "m.target")
     order = F.struct((F.col("s_at") > F.col("at")).alias("after"), F.abs(F.col("at") - F.col("s_at")).alias("d"), (-F.col("s_end")).alias("e"), "s", "target", "s_at")
     keys = [*SENTENCE, "scan", "at", "kind", "value", "unit", "sentence"]
-    owned = numbers.join(subjects, [*SENTENCE, "kind"]).where("s_at <> at").groupBy(*keys).agg(F.min(order).alias("o")).select(*keys, "o.target", "o.s_at")
+    owned = numbers.join(subjects.hint("merge"), [*SENTENCE, "kind"]).where("s_at <> at").groupBy(*keys).agg(F.min(order).alias("o")).select(*keys, "o.target", "o.s_at")
     before = F.substring(F.col("sentence"), F.lit(1), F.col("at") - 1)
     between = F.when(F.col("s_at") < F.col("at"), F.substring(F.col("sentence"), F.col("s_at"), F.col("at") - F.col("s_at"))).otherwise("")
     says = lambda c, p: F.rlike(c, F.lit(p))
@@ -113,13 +113,13 @@ def references(sentences: DataFrame, clauses: DataFrame) -> DataFrame:
     labels = F.regexp_extract_all(F.col("x.hit"), F.lit(r"(\d+(?:\.\d+)*)"), F.lit(1))
     rows = hits.select(*SENTENCE, "sentence", F.col("x.at").alias("at"), kind.alias("kind"), F.posexplode(labels).alias("l_ord", "label"))
     own = clauses.select(*KEY, "section_label")
-    return rows.join(own, KEY).where(~F.col("label").eqNullSafe(F.col("section_label"))).drop("section_label")
+    return rows.join(own.hint("merge"), KEY).where(~F.col("label").eqNullSafe(F.col("section_label"))).drop("section_label")
 
 
 def resolved(references_: DataFrame, clauses: DataFrame) -> DataFrame:
     """References with ``target``: every clause of that label, or of its parent label where no clause has it."""
     targets = clauses.select("contract_id", F.col("section_label").alias("label"), F.col("clause_id").alias("target"), F.col("ord").alias("target_ord"))
-    exact = references_.join(targets, ["contract_id", "label"])
-    rest = references_.join(targets, ["contract_id", "label"], "left_anti").withColumn("parent", F.substring_index("label", ".", 1)).where("parent <> label")
-    general = rest.join(targets.withColumnRenamed("label", "parent"), ["contract_id", "parent"]).drop("parent")
+    exact = references_.join(targets.hint("merge"), ["contract_id", "label"])
+    rest = references_.join(targets.hint("merge"), ["contract_id", "label"], "left_anti").withColumn("parent", F.substring_index("label", ".", 1)).where("parent <> label")
+    general = rest.join(targets.withColumnRenamed("label", "parent").hint("merge"), ["contract_id", "parent"]).drop("parent")
     return exact.unionByName(general).where("target <> clause_id")

@@ -32,7 +32,7 @@ class Comparison:
 def versions_of_one(pairs: DataFrame, lineage: DataFrame) -> DataFrame:
     """The rows of ``pairs`` (pair_id, before_id, after_id) whose agreements differ but have one root in ``lineage`` (contract_id, root)."""
     root = lambda name: lineage.select(F.col("contract_id").alias(f"{name}_id"), F.col("root").alias(f"_{name}"))
-    joined = pairs.join(root("before"), "before_id").join(root("after"), "after_id")
+    joined = pairs.join(root("before").hint("merge"), "before_id").join(root("after").hint("merge"), "after_id")
     return joined.where((F.col("before_id") != F.col("after_id")) & (F.col("_before") == F.col("_after"))).select(pairs.columns)
 
 
@@ -43,17 +43,17 @@ def compare_agreements(clauses: DataFrame, pairs: DataFrame, preferences: dict |
     its counterpart count as added or removed. Every step is keyed by contract_id or pair_id; pairs are independent.
     """
     named = settled(pairs.select("pair_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("contract_id")) for s in ("before", "after")))).alias("x")).select("pair_id", "x.*"))
-    done = analyses.analyze(clauses.join(named.select("contract_id").distinct(), "contract_id", "left_semi"), preferences)
+    done = analyses.analyze(clauses.join(named.select("contract_id").distinct().hint("merge"), "contract_id", "left_semi"), preferences)
     # ``at``: a clause's place in its version, as the alignment counts
     place = F.row_number().over(Window.partitionBy("contract_id").orderBy("ord")) - 1
     placed = settled(done.clauses.select("contract_id", "clause_id", "text", place.alias("at")))
-    rows = settled(align.align(named.join(placed, "contract_id").select("pair_id", "side", F.col("at").alias("ord"), "text")))
-    found = done.findings.select("contract_id", "clause_id", "severity").join(placed.drop("text"), ["contract_id", "clause_id"])
-    of = lambda side: named.where(F.col("side") == side).join(found, "contract_id").select("pair_id", F.col("at").alias("ord"), "severity")
+    rows = settled(align.align(named.join(placed.hint("merge"), "contract_id").select("pair_id", "side", F.col("at").alias("ord"), "text")))
+    found = done.findings.select("contract_id", "clause_id", "severity").join(placed.drop("text").hint("merge"), ["contract_id", "clause_id"])
+    of = lambda side: named.where(F.col("side") == side).join(found.hint("merge"), "contract_id").select("pair_id", F.col("at").alias("ord"), "severity")
     statuses = analyses.compare(rows, of("before"), of("after"))
-    protections = settled(named.join(done.protections.select("contract_id", "item", "status"), "contract_id").withColumn("key", F.struct("pair_id", "item")))
+    protections = settled(named.join(done.protections.select("contract_id", "item", "status").hint("merge"), "contract_id").withColumn("key", F.struct("pair_id", "item")))
     both = full_outer_status(*(protections.where(F.col("side") == s).select("key", "status") for s in ("before", "after")), "key", "status")
     inputs = terms.schedule_inputs(done.terms()).withColumn("inflation", F.lit(inflation))
     total = schedule.totals(schedule.schedule(inputs, "contract_id"), "contract_id").select("contract_id", "total")
-    costs = named.join(total, "contract_id", "left").groupBy("pair_id").agg(*(F.max(F.when(F.col("side") == s, F.col("total"))).alias(f"cost_{s}") for s in ("before", "after")))
+    costs = named.join(total.hint("merge"), "contract_id", "left").groupBy("pair_id").agg(*(F.max(F.when(F.col("side") == s, F.col("total"))).alias(f"cost_{s}") for s in ("before", "after")))
     return Comparison(statuses, both.select("key.*", "before", "after", "change"), costs)

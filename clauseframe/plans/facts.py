@@ -17,7 +17,7 @@ def primary_concepts(counts: DataFrame, in_heading: DataFrame | None = None, key
     """(key, concept, n): what a part is mainly about: named in its heading, met twice, or met most often, if it alone is or
     the heading names none."""
     heading = in_heading.select(key, "concept", F.lit(True).alias("named")) if in_heading is not None else None
-    rows = counts.join(heading, [key, "concept"], "left") if heading is not None else counts.withColumn("named", F.lit(False))
+    rows = counts.join(heading.hint("merge"), [key, "concept"], "left") if heading is not None else counts.withColumn("named", F.lit(False))
     rows = rows.withColumn("named", F.coalesce("named", F.lit(False)))
     part = Window.partitionBy(key)
     most = F.max("n").over(part)
@@ -44,4 +44,4 @@ def nearest_subject(numbers: DataFrame, subjects: DataFrame, keys: list[str]) ->
     n = numbers.select(*keys, F.col("at").alias("number_at"), F.col("hit").alias("number"))
     s = subjects.select(*keys, F.col("at").alias("subject_at"), F.length("hit").alias("size"), "subject")
     order = F.struct((F.col("subject_at") > F.col("number_at")).alias("after"), F.abs(F.col("number_at") - F.col("subject_at")).alias("distance"), (-F.col("size")).alias("shorter"), "subject")
-    return n.join(s, keys).where("subject_at <> number_at").groupBy(*keys, "number_at", "number").agg(F.min(order)["subject"].alias("subject"))
+    return n.join(s.hint("merge"), keys).where("subject_at <> number_at").groupBy(*keys, "number_at", "number").agg(F.min(order)["subject"].alias("subject"))

@@ -78,7 +78,7 @@ def residual(text: Column | str, rules: tuple[Rule, ...], names: tuple[str, ...]
 def gate(df: DataFrame, rules: tuple[Rule, ...] = HEBREW, names: tuple[str, ...] = RESIDUAL, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(clean, quarantined): a document goes to the second as a whole if an identifier remains in any of its parts."""
     bad = df.where(residual(text, rules, names)).select(key).distinct()
-    return df.join(bad, key, "left_anti"), df.join(bad, key, "left_semi")
+    return df.join(bad.hint("merge"), key, "left_anti"), df.join(bad.hint("merge"), key, "left_semi")
 
 
 def resolved_spans(spans: Column, text: Column, least: float) -> Column:

@@ -251,14 +251,14 @@ def chunk_intervals(pages: DataFrame, key: str = "law_id", html: str = "html") -
     turns = rows.select(key, "since").distinct().withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("since"))).withColumn("next", F.lead("since").over(Window.partitionBy(key).orderBy("since")))
     same = [key, "ordinal", "reference", "section", "text", "hash"]
     run = F.col("n") - F.row_number().over(Window.partitionBy(*same).orderBy("n"))
-    runs = rows.join(turns, [key, "since"]).withColumn("run", run).groupBy(*same, "run").agg(F.min("since").alias("since"), F.max(F.struct("n", "next"))["next"].alias("until"))
+    runs = rows.join(turns.hint("merge"), [key, "since"]).withColumn("run", run).groupBy(*same, "run").agg(F.min("since").alias("since"), F.max(F.struct("n", "next"))["next"].alias("until"))
     return runs.select(key, "since", "until", *same[1:])
 
 
 def chunks_at(intervals: DataFrame, dates: DataFrame, key: str = "law_id", date: str = "as_of") -> DataFrame:
     """The chunks of ``chunk_intervals`` that stand on each date (key, date as YYYY-MM-DD) of ``dates``."""
     holds = (F.col("since") <= F.col(date)) & (F.col("until").isNull() | (F.col(date) < F.col("until")))
-    return dates.join(intervals, key).where(holds).drop("since", "until")
+    return dates.join(intervals.hint("merge"), key).where(holds).drop("since", "until")
 
 
 def _sections(pages: DataFrame, read: Callable[[str | None], list[tuple[str | None, list[tuple[str, str]]]]], key: str, html: str) -> DataFrame:

@@ -47,7 +47,7 @@ def extract(clauses: DataFrame) -> DataFrame:
     )
     _, _, primary = C.profile_concepts(clauses)
     option = primary.where("concept = 'OPTION'").select(*C.KEY, F.lit(True).alias("of_option"))
-    df = sentences.join(read, C.SENTENCE, "left").join(option, C.KEY, "left")
+    df = sentences.join(read.hint("merge"), C.SENTENCE, "left").join(option.hint("merge"), C.KEY, "left")
     s = F.col("sentence")
     about = lambda c: says(s, H.CONCEPTS[c])
     null = F.lit(None)
@@ -90,7 +90,7 @@ def extract(clauses: DataFrame) -> DataFrame:
 
 def verified(terms: DataFrame, clauses: DataFrame) -> DataFrame:
     """``terms`` with ``verified``: the quote stands in its clause but for white space, and holds the value if there is one."""
-    joined = terms.join(clauses.select("contract_id", "clause_id", "text"), ["contract_id", "clause_id"], "left")
+    joined = terms.join(clauses.select("contract_id", "clause_id", "text").hint("merge"), ["contract_id", "clause_id"], "left")
     span = T.verbatim("text", "quote")
     plain = F.transform(F.regexp_extract_all(span, F.lit(f"({H.NUMBER})"), F.lit(1)), lambda n: F.regexp_replace(n, ",", "").cast("double"))
     holds = F.col("value").isNull() | F.exists(plain, lambda n: F.abs(n - F.col("value")) < 0.005)
@@ -104,7 +104,7 @@ def merged(rule: DataFrame, model: DataFrame) -> DataFrame:
     rest = [c for c in COLUMNS if c not in keys]
     r = rule.select(*keys, F.struct(*rest).alias("r"))
     m = model.select(*keys, "verified", F.struct(*rest).alias("m"))
-    both = r.join(m, keys, "full_outer")
+    both = r.join(m.hint("merge"), keys, "full_outer")
     wins = F.coalesce("verified", F.lit(False)) | F.col("r").isNull()
     conflict = F.coalesce(F.col("verified") & (F.abs(F.col("r.value") - F.col("m.value")) > 0.005), F.lit(False))
     return both.withColumn("x", F.when(wins, F.col("m")).otherwise(F.col("r"))).select(*keys, "x.*", conflict.alias("conflict"), F.when(wins & F.col("m").isNotNull(), "MODEL").otherwise("RULE").alias("origin"))
@@ -114,7 +114,7 @@ def unknowns(terms: DataFrame, agreements: DataFrame) -> DataFrame:
     """(contract_id, notes): what an agreement does not say."""
     has = lambda t: F.bool_or(F.col("term") == t)
     told = terms.groupBy("contract_id").agg(has("rent").alias("rent"), has("term").alias("length"), has("exit").alias("exit"), F.bool_or((F.col("term") == "indexation") & (F.col("note") == "UNKNOWN")).alias("how_often"), F.sort_array(F.collect_set(F.when((F.col("term") == "charge") & (F.col("note") == "TENANT") & F.col("value").isNull(), F.concat(F.lit("UNPRICED_"), "kind")))).alias("unpriced"))
-    rows = agreements.select("contract_id").distinct().join(told, "contract_id", "left")
+    rows = agreements.select("contract_id").distinct().join(told.hint("merge"), "contract_id", "left")
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     notes = F.array_compact(F.array(F.when(no("rent"), "NO_RENT"), F.when(no("length"), "NO_TERM"), F.when(~no("how_often"), "INDEXATION_UNCLEAR"), F.when(no("exit"), "NO_EXIT_TERMS")))
     return rows.select("contract_id", F.concat(notes, F.coalesce("unpriced", F.array().cast("array<string>"))).alias("notes"))

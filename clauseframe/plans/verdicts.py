@@ -46,7 +46,7 @@ def exit_terms(sentences: DataFrame) -> DataFrame:
     days = numbers.where("kind = 'days'").groupBy(*C.SENTENCE).agg(F.min(F.struct((~((tenant > 0) & (F.col("at") > tenant))).alias("late"), "at", "value"))["value"].alias("days"))
     money = numbers.where("kind = 'money'").groupBy(*C.SENTENCE).agg(F.min(F.struct("at", "value"))["value"].alias("money"))
     s = F.col("sentence")
-    df = sentences.join(days, C.SENTENCE, "left").join(money, C.SENTENCE, "left").withColumn("notice", F.when(says(s, "הודעה|התראה"), F.col("days")))
+    df = sentences.join(days.hint("merge"), C.SENTENCE, "left").join(money.hint("merge"), C.SENTENCE, "left").withColumn("notice", F.when(says(s, "הודעה|התראה"), F.col("days")))
     replacement = says(s, V.REPLACEMENT) & ~says(s, V.NO_REPLACEMENT)
     raw = F.concat(F.regexp_extract(s, V.FIXED_MONTHS, 1), F.regexp_extract(s, V.FIXED_MONTHS, 2))
     months = F.when(raw.rlike(r"^\d"), F.try_to_number(raw, F.lit("999")).cast("int")).otherwise(C.number_word_value(raw))
@@ -93,7 +93,7 @@ def verdicts(clauses: DataFrame, links: DataFrame, preferences: dict) -> DataFra
     entry = sentences.where(says(F.col("sentence"), H.CONCEPTS["ENTRY"]) & says(F.col("sentence"), V.NOTICE))
     notice = C.sentence_numbers(entry).where("kind = 'days'").groupBy(*C.KEY).agg(F.min_by("value", F.struct("s_ord", "at")).alias("entry_days"))
     pointed = links.groupBy(*C.KEY).agg(F.bool_or(F.col("relation") == "OVERRIDES").alias("overrides"), F.bool_or((F.col("relation") == "OVERRIDDEN_BY") & says(F.col("excerpt"), V.SHIFTS_BURDEN)).alias("overridden"))
-    df = settled(clauses.select(*C.KEY, "ord", "text").join(own, C.KEY, "left").join(whole, "contract_id", "left").join(said, C.KEY, "left").join(leaving, C.KEY, "left").join(notice, C.KEY, "left").join(pointed, C.KEY, "left"))
+    df = settled(clauses.select(*C.KEY, "ord", "text").join(own.hint("merge"), C.KEY, "left").join(whole.hint("merge"), "contract_id", "left").join(said.hint("merge"), C.KEY, "left").join(leaving.hint("merge"), C.KEY, "left").join(notice.hint("merge"), C.KEY, "left").join(pointed.hint("merge"), C.KEY, "left"))
 
     text = F.col("text")
     fact = lambda k: F.try_element_at("own", F.lit(k))
@@ -136,7 +136,7 @@ def verdicts(clauses: DataFrame, links: DataFrame, preferences: dict) -> DataFra
     done = rules.evaluate(df, table, ("violates", "risk", "preference"), reason="rule")
     # the topic of an overridden clause is that of the rule before it
     before = rules.evaluate(df, [r for r in table if r.reason != "OVERRIDDEN"], ("violates",), reason="rule_before").select(*C.KEY, "rule_before")
-    done = done.join(before, C.KEY)
+    done = done.join(before.hint("merge"), C.KEY)
     topics = F.create_map(*(F.lit(x) for name, (_, topic, _) in RULES.items() if topic for x in (name, topic)))
     sure = F.create_map(*(F.lit(x) for name, (_, _, confidence) in RULES.items() for x in (name, confidence)))
     topic = F.coalesce(topics[F.when(F.col("rule") == "OVERRIDDEN", F.col("rule_before")).otherwise(F.col("rule"))], F.lit("other"))

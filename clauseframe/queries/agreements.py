@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..plans import analyses, comparison, links, metrics, rules, terms, verdicts
 from ..plans import clauses as C
 from ..registry import query, table
+from ..session import dealt, settled
 
 #: Figure -> expression over the key, in SQL that both engines read.
 FIGURES = {
@@ -32,7 +33,7 @@ KEYS = f"k AS (SELECT CAST(c_custkey AS BIGINT) AS contract_id, {', '.join(f'{e}
 
 def agreements(spark, sf_dir, figures=FIGURES, clauses=CLAUSES):
     """(contract_id, ord, clause_id, text, section_label, heading)."""
-    keyed = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("contract_id"), *(F.expr(e).alias(n) for n, e in figures.items()))
+    keyed = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").cast("long").alias("contract_id"), *(F.expr(e).alias(n) for n, e in figures.items()))
 
     def filled(text):
         parts = []
@@ -48,7 +49,7 @@ def agreements(spark, sf_dir, figures=FIGURES, clauses=CLAUSES):
 @query(f"""WITH {KEYS} SELECT contract_id, unnest(['C001', 'C002', 'C003', 'C003', 'C004']) AS clause_id, unnest(['MONTHLY_RENT', 'LEASE_TERM_MONTHS', 'SECURITY_AMOUNT', 'SECURITY_RETURN_DAYS', 'URGENT_REPAIR_DAYS']) AS fact,
   unnest([CAST(rent AS DOUBLE), CAST(months AS DOUBLE), CAST(security AS DOUBLE), CAST(days AS DOUBLE), CAST(urgent AS DOUBLE)]) AS value FROM k""")
 def agreement_facts(spark, sf_dir):
-    facts = C.contract_facts(C.sentence_facts(C.with_sentences(agreements(spark, sf_dir))))
+    facts = C.contract_facts(C.sentence_facts(settled(C.with_sentences(agreements(spark, sf_dir)))))
     return facts.select("contract_id", "clause_id", "fact", "value")
 
 
@@ -174,7 +175,7 @@ def agreement_comparison(spark, sf_dir):
     found = comparison.compare_agreements(both, pairs, WISHES)
     changed = found.protections.groupBy("pair_id").agg(F.count_if(F.col("change") != "UNCHANGED").alias("protections_changed"))
     at = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return found.clauses.join(found.costs, "pair_id").join(changed, "pair_id").select("pair_id", at("before"), at("after"), "change", "status", "cost_before", "cost_after", "protections_changed")
+    return found.clauses.join(found.costs.hint("merge"), "pair_id").join(changed.hint("merge"), "pair_id").select("pair_id", at("before"), at("after"), "change", "status", "cost_before", "cost_after", "protections_changed")
 
 
 #: A clause, and what a tenant with ``PARTICULAR`` wishes is told of it: severity and rule, or that it is fine.
@@ -215,5 +216,5 @@ def agreement_rules(spark, sf_dir):
     texts = F.array(*(F.lit(t) for t, *_ in RULED))
     first = F.element_at(texts, (F.col("c_custkey") % len(RULED) + 1).cast("int"))
     parts = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(f"C{i + 1}").alias("clause_id"), t.alias("text"), F.lit(str(i + 1)).alias("section_label"), F.lit(None).cast("string").alias("heading")) for i, t in enumerate((first, F.lit("דמי השכירות החודשיים יהיו 4,000 ש״ח לחודש."), F.lit("תקופת השכירות היא 12 חודשים.")))))
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("contract_id"), F.explode(parts).alias("x")).select("contract_id", "x.*")
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").cast("long").alias("contract_id"), F.explode(parts).alias("x")).select("contract_id", "x.*")
     return verdicts.verdicts(rows, links.link_clauses(rows), PARTICULAR).select("contract_id", "clause_id", "severity", "rule")

@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import repository as P
 from ..plans import layout, statutes
 from ..registry import query, table
+from ..session import dealt
 from ..sources import feeds
 from ..streaming import laws as monitor
 
@@ -44,7 +45,7 @@ def _pages(spark, sf_dir):
         number("4."), content("Short."),
         number("2."), content("Another section of the same number."), number("(a)", level=2), content("with a paragraph", level=2),
     )
-    return table(spark, sf_dir, "customer").select(k.alias("law_id"), html.alias("html"))
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(k.alias("law_id"), html.alias("html"))
 
 
 DATES = ("1999-12-31", "2023-12-31", "2024-01-01", "2024-06-01", "2029-12-31", "2030-01-01", "2031-07-01")

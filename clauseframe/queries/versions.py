@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans import align, segment
 from ..registry import query, table
+from ..session import dealt
 
 RENT = "The tenant pays %s shekels of rent on the first of every month."
 CLEAN = "The tenant keeps the flat clean and in good repair during the lease."
@@ -27,7 +28,7 @@ def _agreements(spark, sf_dir):
     keys = F.when(k % 3 == 0, F.array(*plain(KEYS, EMPTY))).otherwise(F.array(F.lit(f"{KEYS} {EMPTY}")))
     after = F.concat(F.array(said(RENT, 1200 + k)), middle, keys, F.array(F.lit(COURT)))
     sides = F.array(F.struct(F.lit("before").alias("side"), before.alias("texts")), F.struct(F.lit("after").alias("side"), after.alias("texts")))
-    rows = table(spark, sf_dir, "customer").select(k.alias("pair_id"), F.explode(sides).alias("s"))
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(k.alias("pair_id"), F.explode(sides).alias("s"))
     rows = rows.select("pair_id", "s.side", F.posexplode("s.texts").alias("ord", "text"))
     return rows.withColumn("text", F.concat((F.col("ord") + 1).cast("string"), F.lit(". "), "text"))
 
@@ -70,5 +71,5 @@ def clause_chunks(spark, sf_dir):
     line = lambda n: F.array_join(F.array_repeat(F.lit("word"), n), " ")
     several = lambda n, of: F.array_join(F.array_repeat(line(of), n), "\n")
     text = F.when(k % 3 == 0, line(2 * segment.TARGET + 50)).when(k % 3 == 1, several(5, segment.TARGET - 10)).otherwise(several(2, 20))
-    chunks = segment.pack_chunks(table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text")))
+    chunks = segment.pack_chunks(dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(k.alias("doc_id"), text.alias("text")))
     return chunks.select("doc_id", "part", F.size(F.split("chunk", r"\s+")).alias("n_words"))

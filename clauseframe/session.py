@@ -20,6 +20,15 @@ def session(name: str, master: str | None = None, **conf: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over four tasks for each core, before a small row becomes much work.
+
+    A file of keys alone is a few MB, so it would be read by one or two tasks whatever is made of each key. What is made of it is not told
+    by the file's size either, so joins above it carry a ``merge`` hint; else Spark may send millions of rows through the driver.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 #: Where frames are settled on a local master whose session names no folder.
 OWN_FOLDER = "/tmp/clauseframe-checkpoints"
 
