@@ -9,12 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
+from itertools import groupby
+from operator import attrgetter
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from .replay import in_order
+
 EVENT = (
     "law_id long, at timestamp, seq long, kind string, official string, revision long, content string, sections string, keys array<string>, "
     "approved_content string, approved_sections string, error string"
@@ -123,16 +127,23 @@ def steps(law: Law, events: pd.DataFrame) -> Iterator[tuple[Law, list[tuple[date
 
 def replayed(events: DataFrame, until: datetime | None = None) -> DataFrame:
     """The log of every law of a batch of ``events``: law_id, at, seq, outcome, and the law after it. What settles by ``until`` without a
-    further event is added, with a seq of -1. A law's events are one group: it has one state after another."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        made = [*steps(Law(), ordered(iter([frame])))]
-        if until is not None and made:
-            law, log = settled_by(made[-1][0], until)
-            made.append((law, log))
-        return told(key[0], made)
-
-    return events.groupBy("law_id").applyInPandas(run, RESULT)
+    further event is added, with a seq of -1. A law's events stand together and in order, and one is folded after another, so a task
+    holds one law and one batch however many laws there are and however long they are."""
+
+    def fold(rows: Iterator[Any]) -> Iterator[tuple]:
+        told = lambda key, law, log: [(key, at, seq, outcome, law.status, law.active and law.active.revision, law.candidate and law.candidate.revision) for at, seq, outcome in log]
+        for key, own in groupby(rows, attrgetter("law_id")):
+            law = Law()
+            for event in own:
+                law, log = settled_by(law, event.at)
+                yield from told(key, law, log)
+                law, log = folded(law, event)
+                yield from told(key, law, log)
+            if until is not None:
+                law, log = settled_by(law, until)
+                yield from told(key, law, log)
+
+    return in_order(events, "law_id", fold, RESULT)
 
 
 class Monitor(StatefulProcessor):
