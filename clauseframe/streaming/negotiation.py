@@ -6,12 +6,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
+from itertools import groupby
+from operator import attrgetter
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from .replay import in_order
+
 CALL = "negotiation_id long, at timestamp, seq long, tool string, issue string, issues array<string>, kind string, text string, confirmed boolean, conceded boolean"
 RESULT = "negotiation_id long, at timestamp, seq long, tool string, outcome string, state string, priorities array<string>, decided int, draft string"
 #: States, and the tools of each. Fixed values.
@@ -130,8 +134,17 @@ COLUMNS = ["negotiation_id", "at", "seq", "tool", "outcome", "state", "prioritie
 
 
 def replayed(calls: DataFrame) -> DataFrame:
-    """What came of every call of a batch, in order. A negotiation's calls are one group: it has one state after another."""
-    return calls.groupBy("negotiation_id").applyInPandas(lambda frame: pd.DataFrame(run(Negotiation(), frame)[1], columns=COLUMNS), RESULT)
+    """What came of every call of a batch, in order. A negotiation's calls stand together, and one is followed by another: it has one state
+    after another."""
+
+    def follow(rows: Iterator[Any]) -> Iterator[tuple]:
+        for _, own in groupby(rows, attrgetter("negotiation_id")):
+            n = Negotiation()
+            for call in own:
+                n, outcome = called(n, call)
+                yield call.negotiation_id, call.at, call.seq, call.tool, outcome, n.state, list(n.priorities), len(n.plan), n.draft
+
+    return in_order(calls, "negotiation_id", follow, RESULT)
 
 
 class Talks(StatefulProcessor):
