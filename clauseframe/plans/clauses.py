@@ -23,7 +23,7 @@ SENTENCE = [*KEY, "ord", "s_ord"]
 
 def with_sentences(clauses: DataFrame) -> DataFrame:
     """(contract_id, clause_id, ord, s_ord, sentence). A clause's heading line is a sentence of its own."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), T.trimmed), lambda x: x != "")
     headed = F.col("heading").isNotNull() & (F.size(lines) > 1)
     body = F.when(headed, F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(1))), "\n")).otherwise(F.col("text"))
     parts = F.concat(F.when(headed, F.slice(lines, 1, 1)).otherwise(F.array().cast("array<string>")), T.sentences(body))
