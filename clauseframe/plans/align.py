@@ -12,12 +12,11 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..operators.streams import in_groups
 from .assignment import Clause, all_edges, assigned, containment, edges, matching
 
 PART = 0.7
@@ -146,34 +145,39 @@ def aligned(before: list[str], after: list[str], matched: list[tuple[int, int, f
     return [r for _, r in sorted(rows, key=lambda r: (r[0], r[1][0]))]
 
 
+def sides(rows: list[tuple]) -> tuple[list[str], list[str]]:
+    """The texts of the earlier and the later version among rows (side, text, …)."""
+    return [r[1] for r in rows if r[0] == "before"], [r[1] for r in rows if r[0] == "after"]
+
+
 def left_over(clauses: DataFrame) -> DataFrame:
     """pair_id, side, i, at, text of the clauses that have no equal in the other version. ``i`` counts a version's clauses, ``at`` is the
     place from 0 to 1."""
 
-    def run(pair: pd.DataFrame) -> pd.DataFrame:
-        pair = pair.sort_values("ord")
-        texts = {s: pair.text[pair.side == s].tolist() for s in ("before", "after")}
-        pairs = exact_pairs(texts["before"], texts["after"])
-        done = {"before": set(pairs), "after": set(pairs.values())}
-        rows = [(pair.pair_id.iloc[0], s, i, place(i, len(own)), t) for s, own in texts.items() for i, t in enumerate(own) if i not in done[s]]
-        return pd.DataFrame(rows, columns=["pair_id", "side", "i", "at", "text"])
+    def each(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        before, after = sides(rows)
+        pairs = exact_pairs(before, after)
+        for side, own, done in (("before", before, set(pairs)), ("after", after, set(pairs.values()))):
+            yield from ((*key, side, i, place(i, len(own)), t) for i, t in enumerate(own) if i not in done)
 
-    return clauses.groupBy("pair_id").applyInPandas(run, "pair_id long, side string, i int, at double, text string")
+    return in_groups(clauses.select("pair_id", "side", "text", "ord"), ["pair_id"], ["ord"], each, "pair_id long, side string, i int, at double, text string")
 
 
 def align(clauses: DataFrame) -> DataFrame:
     """Alignments of each pair_id in ``clauses`` (pair_id, side 'before' or 'after', ord, text). A null text counts as empty."""
-    clauses = clauses.select("pair_id", "side", "ord", F.coalesce("text", F.lit("")).alias("text"))
-    matches = assigned(settled(all_edges(settled(left_over(clauses)))))
+    clauses = clauses.select("pair_id", "side", F.coalesce("text", F.lit("")).alias("text"), "ord")
+    matches = assigned(all_edges(left_over(clauses)))
 
-    def run(pair: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        pair = pair.sort_values("ord")
-        texts = {s: pair.text[pair.side == s].tolist() for s in ("before", "after")}
-        rows = aligned(texts["before"], texts["after"], list(zip(found.i.tolist(), found.j.tolist(), found.score.tolist(), strict=True)))
-        told = lambda side, at: "\n".join(texts[side][i] for i in at)
-        return pd.DataFrame([(pair.pair_id.iloc[0], x, y, c, s, m, told("before", x), told("after", y), r) for x, y, c, s, m, r in rows], columns=["pair_id", "before", "after", "change", "similarity", "moved", "before_text", "after_text", "renumbered"])
+    def each(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        before, after = sides(rows)
+        if not before and not after:
+            return
+        for x, y, change, score, moved, renumbered_ in aligned(before, after, [r[3:] for r in rows if r[0] is None]):
+            yield *key, x, y, change, score, moved, "\n".join(before[i] for i in x), "\n".join(after[j] for j in y), renumbered_
 
-    return clauses.groupBy("pair_id").cogroup(matches.groupBy("pair_id")).applyInPandas(run, RESULT)
+    # a match is a row without a side, among the clauses of its pair
+    both = clauses.unionByName(matches, allowMissingColumns=True).select("pair_id", "side", "text", "ord", "i", "j", "score")
+    return in_groups(both, ["pair_id"], ["ord"], each, RESULT)
 
 
 TOKEN = re.compile(r"\s+|\w+(?:[.,:/]\w+)*|.", re.DOTALL)

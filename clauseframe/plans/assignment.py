@@ -11,13 +11,14 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.streams import in_groups
+
 MATCH, CONTAINED = 0.45, 0.85
 BLOCK = 256
 EDGE = "pair_id long, i int, j int, score double"
@@ -156,35 +157,35 @@ def matching(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> dict[int, int]:
 def all_edges(clauses: DataFrame) -> DataFrame:
     """pair_id, i, j, score of the acceptable pairs among ``clauses`` (pair_id, side, i, at, text): blocks of the earlier side meet blocks of
     the later one, as many groups as the lengths ask for."""
-    sizes = clauses.groupBy("pair_id").agg(*(F.max(F.when(F.col("side") == s, F.floor(F.col("i") / BLOCK))).cast("int").alias(n) for s, n in (("before", "most_x"), ("after", "most_y"))))
+    of = Window.partitionBy("pair_id")
     early = F.col("side") == "before"
     own = F.floor(F.col("i") / BLOCK).cast("int")
-    others = F.sequence(F.lit(0), F.when(early, F.col("most_y")).otherwise(F.col("most_x")))
-    met = clauses.join(sizes.where("most_x IS NOT NULL AND most_y IS NOT NULL").hint("merge"), "pair_id").withColumn("own", own).withColumn("other", F.explode(others))
+    most = lambda side: F.max(F.when(F.col("side") == side, own)).over(of)
+    met = clauses.withColumns({"own": own, "most_x": most("before"), "most_y": most("after")}).where("most_x IS NOT NULL AND most_y IS NOT NULL")
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(early, F.col("most_y")).otherwise(F.col("most_x")))))
     block = lambda mine: F.when(early == mine, F.col("own")).otherwise(F.col("other"))
     met = met.select("pair_id", block(True).alias("x"), block(False).alias("y"), "side", "i", "at", "text")
 
-    def meet(key: tuple, both: pa.Table) -> pa.Table:
-        sides = [both.filter(pc.equal(both.column("side"), s)).sort_by("i") for s in ("before", "after")]
-        made = [[Clause(t or "", p) for t, p in zip(x.column("text").to_pylist(), x.column("at").to_pylist(), strict=True)] for x in sides]
-        i, j, score = edges(*made)
-        own, other = (x.column("i").to_numpy() for x in sides)
-        return pa.table({"pair_id": np.full(len(i), key[0].as_py()), "i": own[i].astype(np.int32), "j": other[j].astype(np.int32), "score": score})
+    def meet(key: tuple, both: list[tuple]) -> Iterator[tuple]:
+        before, after = ([(i, Clause(t or "", at)) for side, i, at, t in both if side == s] for s in ("before", "after"))
+        found = edges([c for _, c in before], [c for _, c in after])
+        for i, j, score in zip(*(x.tolist() for x in found), strict=True):
+            yield key[0], before[i][0], after[j][0], score
 
-    return met.groupBy("pair_id", "x", "y").applyInArrow(meet, EDGE)
+    return in_groups(met, ["pair_id", "x", "y"], ["i"], meet, EDGE)
 
 
 def assigned(found: DataFrame) -> DataFrame:
     """The edges of ``all_edges`` that the assignment takes. A pair of versions is one group only to number its parts, from whole
     numbers; a part is one group of the assignment."""
 
-    def numbered(pair: pa.Table) -> pa.Table:
-        return pair.append_column("part", pa.array(parts(pair.column("i").to_numpy(), pair.column("j").to_numpy()).astype(np.int32)))
+    def numbered(key: tuple, pair: list[tuple]) -> Iterator[tuple]:
+        i, j = (np.array([r[c] for r in pair], np.int64) for c in (0, 1))
+        return ((*key, *r, part) for r, part in zip(pair, parts(i, j).tolist(), strict=True))
 
-    def one(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("i", "ascending"), ("j", "ascending")])
-        i, j, score = (part.column(c).to_numpy() for c in ("i", "j", "score"))
+    def one(key: tuple, part: list[tuple]) -> Iterator[tuple]:
+        i, j, score = (np.array([r[c] for r in part]) for c in range(3))
         taken = matching(i, j, score)
-        return part.drop_columns("part").filter(pa.array([taken.get(a) == b for a, b in zip(i.tolist(), j.tolist(), strict=True)], pa.bool_()))
+        return ((key[0], *r) for r in part if taken.get(r[0]) == r[1])
 
-    return found.groupBy("pair_id").applyInArrow(numbered, f"{EDGE}, part int").groupBy("pair_id", "part").applyInArrow(one, EDGE)
+    return in_groups(in_groups(found, ["pair_id"], ["i", "j"], numbered, f"{EDGE}, part int"), ["pair_id", "part"], ["i", "j"], one, EDGE)
