@@ -13,6 +13,21 @@ from pyspark.sql.types import StructType
 
 #: Rows that are Python objects at once, on the way in and on the way out.
 ROWS = 1_000
+#: Bytes of a batch that are Python objects at once, unless a row alone has more.
+BYTES = 2**20
+
+
+def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``BYTES``, or of one row, as Spark's batches may hold thousands of long texts."""
+    for b in batches:
+        left = [b]
+        while left:
+            part = left.pop()
+            if part.num_rows > 1 and part.nbytes > BYTES:
+                half = part.num_rows // 2
+                left += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def in_groups(df: DataFrame, keys: list[str], order: list[str], each: Callable[[tuple, list[tuple]], Iterable[tuple]], result: str) -> DataFrame:
