@@ -6,8 +6,6 @@ or a contract, so agreements are independent and any number of them is spread by
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +28,25 @@ def with_sentences(clauses: DataFrame) -> DataFrame:
     return clauses.select(*KEY, "ord", F.posexplode(parts).alias("s_ord", "sentence"))
 
 
+def profiled(clauses: DataFrame, concepts: dict[str, tuple[str, ...]] = H.NAMES) -> DataFrame:
+    """``clauses`` with ``counts`` (how often each concept occurs in the text, array<struct<name, n>>), ``heads`` (the concepts that its heading
+    names) and ``primary`` (what it is about: named in its heading, met twice, or met most often, if it alone is or the heading names
+    none). Texts and headings are scanned once for all phrases, and no clause leaves its task."""
+    noted = mentions.tallied(clauses, ("text", "heading"), list(concepts.items())).withColumn("heads", F.transform("heading_n", lambda x: x["name"])).drop("heading_n").withColumnRenamed("text_n", "counts")
+    most = F.array_max(F.transform("counts", lambda x: x["n"]))
+    alone = F.size(F.filter("counts", lambda x: x["n"] == most)) == 1
+    headed = F.exists("counts", lambda x: F.array_contains("heads", x["name"]))
+    primary = F.transform(F.filter("counts", lambda x: F.array_contains("heads", x["name"]) | (x["n"] >= 2) | ((x["n"] == most) & (alone | ~headed))), lambda x: x["name"])
+    noted = noted.withColumn("primary", primary)
+    urgent = F.when(F.array_contains("primary", "URGENT_REPAIR"), F.array_union("primary", F.array(F.lit("REPAIRS")))).otherwise(F.col("primary"))
+    return noted.withColumn("primary", urgent)
+
+
 def profile_concepts(clauses: DataFrame, concepts: dict[str, tuple[str, ...]] = H.NAMES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(counts, heading, primary): how often each concept occurs in a clause, those its heading names, and what it is about. Texts and
-    headings are scanned once for all phrases, and the counts are kept."""
-    found = settled(mentions.counts(clauses, [*KEY, "ord"], ("text", "heading"), list(concepts.items())).withColumnRenamed("name", "concept"))
-    in_text, in_heading = found.where("field = 'text'").drop("field"), found.where("field = 'heading'").select(*KEY, "concept")
-    keyed = lambda df: df.withColumn("part", F.struct(*KEY))
-    primary = X.primary_concepts(keyed(in_text).select("part", "concept", "n"), keyed(in_heading).select("part", "concept"), "part").select("part.*", "concept")
-    urgent = primary.where("concept = 'URGENT_REPAIR'").select(*KEY, F.lit("REPAIRS").alias("concept"))
-    return in_text, in_heading, primary.unionByName(urgent).distinct()
+    """(counts, heading, primary): what ``profiled`` finds, a row for each concept; it is kept."""
+    found = settled(profiled(clauses, concepts).select(*KEY, "ord", "counts", "heads", "primary"))
+    each = lambda c: found.select(*KEY, F.explode(c).alias("concept"))
+    return found.select(*KEY, "ord", F.inline("counts").alias("concept", "n")), each("heads"), each("primary")
 
 
 def number_word_value(phrase: Column) -> Column:
@@ -52,50 +60,85 @@ def _numeric(hit: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(hit, f"({H.NUMBER})", 1), ",", "").cast("double")
 
 
+#: What a sentence must hold for one of the longer patterns to be worth trying.
+DIGIT = r"\d"
+SPAN = rf"(?iu)(?:{'|'.join(s.split()[0].removesuffix('s?') for s in H.SPANS)})"
+
+
+def with_numbers(sentences: DataFrame) -> DataFrame:
+    """``sentences`` with ``numbers``, array<struct<scan, at, kind, value, unit>>: money, durations and percents as they are read. Each
+    pattern sees the sentence once, and only one that may hold it."""
+    if "numbers" in sentences.columns:
+        return sentences
+    s = F.col("sentence")
+
+    def found(pattern: str, needs: str, scan: int, read) -> Column:  # noqa: ANN001
+        none = F.array().cast("array<struct<scan:int,at:int,kind:string,value:double,unit:string>>")
+        row = lambda x: F.struct(F.lit(scan).alias("scan"), x["at"].alias("at"), *(c.alias(n) for n, c in zip(("kind", "value", "unit"), read(x["hit"]), strict=True)))
+        return F.when(F.rlike(s, F.lit(needs)), F.transform(X.occurrences(s, pattern), row)).otherwise(none)
+
+    def duration(hit: Column) -> tuple[Column, Column, Column]:
+        part = lambda i: F.regexp_extract(hit, H.DURATION, i)
+        amount = F.when(part(1) != "", F.regexp_replace(part(1), ",", "").cast("double")).otherwise(number_word_value(part(2)).cast("double"))
+        unit = F.lower(part(3))
+        days = F.when(unit.rlike("^(?:שעות|שעה|hours?)$"), amount / 24).when(unit.rlike("^(?:שבועות|weeks?)$"), amount * 7)
+        months = F.when(unit.rlike("^(?:חודשים|חודש|months?)$"), amount).when(unit.rlike("^(?:שנים|שנה|years?)$"), amount * 12)
+        kind = F.when(months.isNotNull(), "months").otherwise("days")
+        return kind, F.coalesce(months, days, amount), kind
+
+    told = lambda kind, unit: lambda hit: (F.lit(kind), _numeric(hit), F.lit(unit))
+    fixed = lambda value, unit: lambda _: (F.lit(unit), F.lit(float(value)), F.lit(unit))
+    parts = [found(H.MONEY, DIGIT, 0, told("money", "ILS")), found(H.DURATION, SPAN, 1, duration)]
+    parts += [found(pattern, "|".join(stems), 2 + i, fixed(value, unit)) for i, (pattern, value, unit, stems) in enumerate(H.IMPLICIT)]
+    parts.append(found(H.PERCENT, DIGIT, 9, told("percent", "percent")))
+    return sentences.withColumn("numbers", F.filter(F.concat(*parts), lambda x: x["value"] > 0))
+
+
 def sentence_numbers(sentences: DataFrame) -> DataFrame:
     """Every number of a sentence: (…, scan, at, kind, value, unit); ``scan`` orders money, durations and percents as they are read."""
+    return with_numbers(sentences).select(*SENTENCE, "sentence", F.inline("numbers"))
+
+
+Owners = tuple[tuple[tuple[str, ...], dict[str, str]], ...]
 
-    def found(pattern: str) -> DataFrame:
-        return sentences.select(*SENTENCE, "sentence", F.explode(X.occurrences(F.col("sentence"), pattern)).alias("x")).select(*SENTENCE, "sentence", "x.at", "x.hit")
-
-    def row(df: DataFrame, scan: int, kind: Column, value: Column, unit: Column) -> DataFrame:
-        return df.select(*SENTENCE, "sentence", F.lit(scan).alias("scan"), "at", kind.alias("kind"), value.alias("value"), unit.alias("unit"))
-
-    part = lambda i: F.regexp_extract("hit", H.DURATION, i)
-    amount = F.when(part(1) != "", F.regexp_replace(part(1), ",", "").cast("double")).otherwise(number_word_value(part(2)).cast("double"))
-    unit = F.lower(part(3))
-    days = F.when(unit.rlike("^(?:שעות|שעה|hours?)$"), amount / 24).when(unit.rlike("^(?:שבועות|weeks?)$"), amount * 7)
-    months = F.when(unit.rlike("^(?:חודשים|חודש|months?)$"), amount).when(unit.rlike("^(?:שנים|שנה|years?)$"), amount * 12)
-    kind = F.when(months.isNotNull(), "months").otherwise("days")
-    money, percent = found(H.MONEY), found(H.PERCENT)
-    rows = [row(money, 0, F.lit("money"), _numeric(F.col("hit")), F.lit("ILS")), row(found(H.DURATION), 1, kind, F.coalesce(months, days, amount), kind)]
-    rows += [row(found(p), 2 + i, F.lit(u), F.lit(float(v)), F.lit(u)) for i, (p, v, u) in enumerate(H.IMPLICIT)]
-    rows.append(row(percent, 9, F.lit("percent"), _numeric(F.col("hit")), F.lit("percent")))
-    return reduce(DataFrame.unionByName, rows).where(F.col("value") > 0)
-
-
-def sentence_facts(sentences: DataFrame, owners: tuple[tuple[tuple[str, ...], dict[str, str]], ...] = H.OWNERS) -> DataFrame:
-    """(…, scan, at, fact, value, unit, sentence): each number under the subject named closest before it, or else after it. All subjects
-    are found in one scan."""
-    numbers = sentence_numbers(sentences)
+
+def with_facts(sentences: DataFrame, owners: Owners = H.OWNERS) -> DataFrame:
+    """``sentences`` with ``numbers`` and ``facts``, array<struct<scan, at, fact, value, unit>>: each number under the subject named closest
+    before it, or else after it. All subjects are found in one scan, and no sentence leaves its task."""
+    if "facts" in sentences.columns:
+        return sentences
+    noted = with_numbers(mentions.noted(sentences, "sentence", [(i, phrases) for i, (phrases, _) in enumerate(owners)]))
     stated = F.array(*(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(t).alias("target")) for k, t in targets.items())) for _, targets in owners))
-    hits = mentions.mentions(sentences, SENTENCE, "sentence", [(i, phrases) for i, (phrases, _) in enumerate(owners)])
-    meant = F.explode(F.get(stated, F.col("name"))).alias("m")
-    subjects = hits.select(*SENTENCE, F.col("at").alias("s_at"), (F.col("at") + F.length("hit")).alias("s_end"), F.col("name").alias("s"), meant).select(*SENTENCE, "s_at", "s_end", "s", "m.kind", "m.target")
-    order = F.struct((F.col("s_at") > F.col("at")).alias("after"), F.abs(F.col("at") - F.col("s_at")).alias("d"), (-F.col("s_end")).alias("e"), "s", "target", "s_at")
-    keys = [*SENTENCE, "scan", "at", "kind", "value", "unit", "sentence"]
-    owned = numbers.join(subjects.hint("merge"), [*SENTENCE, "kind"]).where("s_at <> at").groupBy(*keys).agg(F.min(order).alias("o")).select(*keys, "o.target", "o.s_at")
-    before = F.substring(F.col("sentence"), F.lit(1), F.col("at") - 1)
-    between = F.when(F.col("s_at") < F.col("at"), F.substring(F.col("sentence"), F.col("s_at"), F.col("at") - F.col("s_at"))).otherwise("")
+    s = F.col("sentence")
     says = lambda c, p: F.rlike(c, F.lit(p))
-    rent = (
-        F.when(says(before, H.OPTION_MARKER), "OPTION_RENT")
-        .when(~says(between, H.MONTHLY_MARKER) & says(F.col("sentence"), H.PREPAYMENT_MARKER) & ~says(F.col("sentence"), H.MONTHLY_MARKER), "PREPAID_RENT")
-        .when(says(between, H.PREPAYMENT_MARKER), "PREPAID_RENT")
-        .otherwise("MONTHLY_RENT")
-    )
-    fact = F.when(F.col("target") == "RENT_BY_CONTEXT", rent).when(F.col("target") == "SECURITY_RETURN_IF_STATED", F.when(says(F.col("sentence"), H.RETURN_VERB), "SECURITY_RETURN_DAYS")).when(F.col("target") != "", F.col("target"))
-    return owned.withColumn("fact", fact).where("fact IS NOT NULL").select(*SENTENCE, "scan", "at", "fact", "value", "unit", "sentence")
+
+    def order(n: Column, h: Column, m: Column) -> Column:
+        return F.struct((h["at"] > n["at"]).alias("after"), F.abs(n["at"] - h["at"]).alias("d"), (-h["end"]).alias("e"), h["name"].alias("s"), m["target"].alias("target"), h["at"].alias("s_at"))
+
+    def owner(n: Column) -> Column:
+        of = lambda h: F.transform(F.filter(F.get(stated, h["name"]), lambda m: m["kind"] == n["kind"]), lambda m: order(n, h, m))
+        return F.array_min(F.flatten(F.transform(F.filter("hits", lambda h: h["at"] != n["at"]), of)))
+
+    def fact(n: Column, o: Column) -> Column:
+        before = F.substring(s, F.lit(1), n["at"] - 1)
+        between = F.when(o["s_at"] < n["at"], F.substring(s, o["s_at"], n["at"] - o["s_at"])).otherwise("")
+        rent = (
+            F.when(says(before, H.OPTION_MARKER), "OPTION_RENT")
+            .when(~says(between, H.MONTHLY_MARKER) & says(s, H.PREPAYMENT_MARKER) & ~says(s, H.MONTHLY_MARKER), "PREPAID_RENT")
+            .when(says(between, H.PREPAYMENT_MARKER), "PREPAID_RENT")
+            .otherwise("MONTHLY_RENT")
+        )
+        returned = F.when(says(s, H.RETURN_VERB), "SECURITY_RETURN_DAYS")
+        return F.when(o["target"] == "RENT_BY_CONTEXT", rent).when(o["target"] == "SECURITY_RETURN_IF_STATED", returned).when(o["target"] != "", o["target"])
+
+    owned = F.transform("numbers", lambda n: F.struct(n.alias("n"), owner(n).alias("o")))
+    named = F.transform(owned, lambda x: F.struct(x["n"]["scan"].alias("scan"), x["n"]["at"].alias("at"), fact(x["n"], x["o"]).alias("fact"), x["n"]["value"].alias("value"), x["n"]["unit"].alias("unit")))
+    return noted.withColumn("facts", F.filter(named, lambda x: x["fact"].isNotNull())).drop("hits")
+
+
+def sentence_facts(sentences: DataFrame, owners: Owners = H.OWNERS) -> DataFrame:
+    """(…, scan, at, fact, value, unit, sentence): the facts that ``with_facts`` reads, a row each."""
+    return with_facts(sentences, owners).select(*SENTENCE, "sentence", F.inline("facts")).select(*SENTENCE, "scan", "at", "fact", "value", "unit", "sentence")
 
 
 def contract_facts(facts: DataFrame) -> DataFrame:
@@ -105,13 +148,21 @@ def contract_facts(facts: DataFrame) -> DataFrame:
     return first.select("contract_id", "fact", "x.*")
 
 
+def with_references(sentences: DataFrame) -> DataFrame:
+    """``sentences`` with ``refs``, array<struct<at, kind, labels>>: the sections that it points at; kind is REFERENCE, SUBJECT_TO or NOTWITHSTANDING."""
+
+    def read(x: Column) -> Column:
+        prefix = F.substring(F.col("sentence"), F.greatest(F.lit(1), x["at"] - 25), F.least(F.lit(25), x["at"] - 1))
+        kind = F.when(F.rlike(prefix, F.lit(H.NOTWITHSTANDING)), "NOTWITHSTANDING").when(F.rlike(prefix, F.lit(H.SUBJECT_TO)), "SUBJECT_TO").otherwise("REFERENCE")
+        return F.struct(x["at"].alias("at"), kind.alias("kind"), F.regexp_extract_all(x["hit"], F.lit(r"(\d+(?:\.\d+)*)"), F.lit(1)).alias("labels"))
+
+    return sentences.withColumn("refs", F.transform(X.occurrences(F.col("sentence"), H.REFERENCE), read))
+
+
 def references(sentences: DataFrame, clauses: DataFrame) -> DataFrame:
-    """(…, at, label, kind, sentence) of each section a sentence points at, but for its own; kind is REFERENCE, SUBJECT_TO or NOTWITHSTANDING."""
-    hits = sentences.select(*SENTENCE, "sentence", F.explode(X.occurrences(F.col("sentence"), H.REFERENCE)).alias("x"))
-    prefix = F.substring(F.col("sentence"), F.greatest(F.lit(1), F.col("x.at") - 25), F.least(F.lit(25), F.col("x.at") - 1))
-    kind = F.when(F.rlike(prefix, F.lit(H.NOTWITHSTANDING)), "NOTWITHSTANDING").when(F.rlike(prefix, F.lit(H.SUBJECT_TO)), "SUBJECT_TO").otherwise("REFERENCE")
-    labels = F.regexp_extract_all(F.col("x.hit"), F.lit(r"(\d+(?:\.\d+)*)"), F.lit(1))
-    rows = hits.select(*SENTENCE, "sentence", F.col("x.at").alias("at"), kind.alias("kind"), F.posexplode(labels).alias("l_ord", "label"))
+    """(…, at, label, kind, sentence) of each section a sentence points at, but for its own."""
+    hits = with_references(sentences).select(*SENTENCE, "sentence", F.inline("refs"))
+    rows = hits.select(*SENTENCE, "sentence", "at", "kind", F.posexplode("labels").alias("l_ord", "label"))
     own = clauses.select(*KEY, "section_label")
     return rows.join(own.hint("merge"), KEY).where(~F.col("label").eqNullSafe(F.col("section_label"))).drop("section_label")
 

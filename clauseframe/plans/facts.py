@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 
 def concept_counts(df: DataFrame, concepts: dict[str, str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, concept, n) of the concepts that occur. Each pattern is a literal; one row gives one small array."""
@@ -28,14 +30,18 @@ def primary_concepts(counts: DataFrame, in_heading: DataFrame | None = None, key
 
 def occurrences(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<at, hit>> of a pattern's matches, ``at`` from 1. Positions follow from the lengths of what lies between."""
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(F.slice(between, F.lit(1), F.greatest(F.size(between) - 1, F.lit(0))).alias("gap"), hits.alias("hit"))
+    between = lambda: F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,hit:string>>").alias("out"))
     step = lambda acc, x: F.struct(
         (acc["end"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), F.concat(acc["out"], F.array(F.struct((acc["end"] + F.length(x["gap"]) + 1).alias("at"), x["hit"].alias("hit")))).alias("out")
     )
-    return F.aggregate(zipped, start, step)["out"]
+
+    def placed(hits: Column) -> Column:
+        zipped = bound(between(), lambda gaps: F.arrays_zip(F.slice(gaps, F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(0))).alias("gap"), hits.alias("hit")))
+        # most texts hold none, so they are not split
+        return F.when(F.size(hits) > 0, F.aggregate(zipped, start, step)["out"]).otherwise(F.array().cast("array<struct<at:int,hit:string>>"))
+
+    return bound(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), placed)
 
 
 def nearest_subject(numbers: DataFrame, subjects: DataFrame, keys: list[str]) -> DataFrame:

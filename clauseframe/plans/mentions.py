@@ -159,3 +159,38 @@ def counts(df: DataFrame, keys: list[str], texts: tuple[str, ...], named: list[t
         return [(field, name, k) for name, k in n.items()]
 
     return _scan(df, keys, texts, named, {"field": "string", "name": "string", "n": "int"}, rows_of)
+
+
+def noted(df: DataFrame, text: str, named: list[tuple[object, tuple[str, ...]]]) -> DataFrame:
+    """``df`` with ``hits``, array<struct<name, at, end>> of every match as ``mentions`` has it; ``end`` is the place after it."""
+    kind = pa.list_(pa.struct([("name", pa.int32()), ("at", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(named)
+        for batch in batches:
+            hits = [[{"name": n, "at": s + 1, "end": e + 1} for n, s, e in phrases.found(value)] for value in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], [*batch.schema.names, "hits"])
+
+    told = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{told}, hits array<struct<name:int,at:int,end:int>>")
+
+
+def tallied(df: DataFrame, texts: tuple[str, ...], named: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
+    """``df`` with, for each of the columns ``texts``, a column ``…_n``, array<struct<name, n>>: how often each name occurs, those that do."""
+    kind = pa.list_(pa.struct([("name", pa.string()), ("n", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(named)
+
+        def tally(text: str | None) -> list[dict[str, object]]:
+            n: dict[str, int] = {}
+            for name, _s, _e in phrases.found(text):
+                n[named[name][0]] = n.get(named[name][0], 0) + 1
+            return [{"name": name, "n": k} for name, k in n.items()]
+
+        for batch in batches:
+            more = [pa.array(map(tally, batch.column(t).to_pylist()), kind) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *(f"{t}_n" for t in texts)])
+
+    told = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"{t}_n array<struct<name:string,n:int>>" for t in texts)])
+    return df.mapInArrow(run, told)
