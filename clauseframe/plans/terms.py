@@ -37,17 +37,16 @@ def start_date(sentence: Column) -> Column:
 
 def extract(clauses: DataFrame) -> DataFrame:
     """The terms of each agreement in ``clauses`` (see ``clauses``)."""
-    sentences = settled(C.with_sentences(clauses))
+    sentences = settled(C.with_facts(C.with_sentences(clauses)))
     facts = C.contract_facts(C.sentence_facts(sentences))
-    numbers = settled(C.sentence_numbers(sentences))
-    first = lambda kind: F.min_by("value", F.when(F.col("kind") == kind, F.struct("scan", "at")))
-    read = numbers.groupBy(*C.SENTENCE).agg(
-        first("money").alias("money"), F.count_if(F.col("kind") == "money").alias("n_money"), first("percent").alias("percent"), F.min_by("value", F.when(F.col("kind") == "months", F.struct("at", "scan"))).alias("months"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "money", F.struct("at", "value")))).alias("amounts"),
-    )
-    _, _, primary = C.profile_concepts(clauses)
-    option = primary.where("concept = 'OPTION'").select(*C.KEY, F.lit(True).alias("of_option"))
-    df = sentences.join(read.hint("merge"), C.SENTENCE, "left").join(option.hint("merge"), C.KEY, "left")
+    of = lambda kind: F.filter("numbers", lambda n: n["kind"] == kind)
+    first = lambda kind, *order: F.array_min(F.transform(of(kind), lambda n: F.struct(*(n[c].alias(c) for c in (*order, "value")))))["value"]
+    read = {
+        "money": first("money", "scan", "at"), "n_money": F.size(of("money")), "percent": first("percent", "scan", "at"), "months": first("months", "at", "scan"),
+        "amounts": F.array_sort(F.transform(of("money"), lambda n: F.struct(n["at"].alias("at"), n["value"].alias("value")))),
+    }
+    option = C.profiled(clauses).where(F.array_contains("primary", "OPTION")).select(*C.KEY, F.lit(True).alias("of_option"))
+    df = sentences.withColumns(read).join(option.hint("merge"), C.KEY, "left")
     s = F.col("sentence")
     about = lambda c: says(s, H.CONCEPTS[c])
     null = F.lit(None)
