@@ -24,7 +24,7 @@ from .common import mixed, written
 
 ORDER = 5
 MOST_TEXTS = 2000  # of each language, chosen by a hash of the id, are learned from
-MOST_CELLS = 40_000_000  # grams times languages that the tables may have; beyond that the highest order is left out
+MOST_CELLS: int | None = None  # grams times languages from which a caller who sets it has the highest order left out; None: the order is ORDER at any size
 PIECE = 2**20  # characters looked at at once
 CALIBRATION = 8  # one in so many of the chosen texts calibrates
 SPACE, UNKNOWN = 32, "und"
@@ -268,17 +268,18 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
 def fit(docs: DataFrame, most: int = MOST_TEXTS, order: int = ORDER) -> Model:
     """The calibrated model of all languages of ``docs``; without any, a model without languages.
 
-    What reaches the driver is bounded: grams of ``most`` texts a language, fewer than ``MOST_CELLS`` times languages, else lower orders
-    are taken; and some numbers of each calibration text.
+    What reaches the driver are the grams of ``most`` texts a language and some numbers of each calibration text; neither grows with the
+    table beyond that. The order is the same at any size unless a caller sets ``MOST_CELLS``.
     """
     texts = written(chosen(docs, most), "learned")
     counts = written(gram_counts(texts.where(~F.col("calibrates")), order), "grams")
-    size = counts.agg(F.count("*").alias("n"), F.countDistinct("lang").alias("k")).first()
-    n = size.n
-    while n * size.k > MOST_CELLS and order > 2:
-        order -= 1
-        counts = written(counts.groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(F.sum("n").alias("n")), "grams")
-        n = counts.count()
+    if MOST_CELLS is not None:
+        size = counts.agg(F.count("*").alias("n"), F.countDistinct("lang").alias("k")).first()
+        n = size.n
+        while n * size.k > MOST_CELLS and order > 2:
+            order -= 1
+            counts = written(counts.groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(F.sum("n").alias("n")), "grams")
+            n = counts.count()
     table = counts.toArrow()
     lang, n = np.array(table.column("lang").to_pylist(), object), table.column("n").to_numpy()
     # languages whose chosen texts all calibrate have no counts and are not known
@@ -347,7 +348,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     A text that is null or has no letter is ``und``, with score 0 and without bits, and so is every text if no language is known. Ties
     go to the language that sorts first. Repeated rows are judged one by one; an empty table stays empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_CELLS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of MOST_TEXTS texts a language
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
