@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,8 +77,9 @@ def residual(text: Column | str, rules: tuple[Rule, ...], names: tuple[str, ...]
 
 def gate(df: DataFrame, rules: tuple[Rule, ...] = HEBREW, names: tuple[str, ...] = RESIDUAL, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(clean, quarantined): a document goes to the second as a whole if an identifier remains in any of its parts."""
-    bad = df.where(residual(text, rules, names)).select(key).distinct()
-    return df.join(bad.hint("merge"), key, "left_anti"), df.join(bad.hint("merge"), key, "left_semi")
+    bad = F.col(key).isNotNull() & F.bool_or("_left").over(Window.partitionBy(key))
+    told = df.withColumn("_left", residual(text, rules, names)).withColumn("_bad", bad)
+    return told.where("NOT _bad").drop("_left", "_bad"), told.where("_bad").drop("_left", "_bad")
 
 
 def resolved_spans(spans: Column, text: Column, least: float) -> Column:

@@ -61,3 +61,16 @@ def test_a_number_is_not_passed_over(spark, text, kind, value):
 
     df = spark.createDataFrame([(1, "C1", 0, 0, text)], "contract_id int, clause_id string, ord int, s_ord int, sentence string")
     assert (kind, value) in {(r.kind, r.value) for r in C.sentence_numbers(df).collect()}
+
+
+def test_the_gate_reads_each_text_once(spark):
+    from clauseframe.plans import redact
+
+    df = spark.createDataFrame([(1, "call 052-1234567"), (1, "b"), (2, "c"), (None, "052-1234567"), (3, None)], "doc_id int, text string")
+    clean, held = redact.gate(df)
+    told = io.StringIO()
+    with contextlib.redirect_stdout(told):
+        clean.explain()
+    assert "Join" not in told.getvalue() and told.getvalue().count("Exchange") == 1
+    assert sorted((r.doc_id or 0, r.text or "") for r in clean.collect()) == [(0, "052-1234567"), (2, "c"), (3, "")]
+    assert sorted(r.text for r in held.collect()) == ["b", "call 052-1234567"]
