@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -75,8 +77,11 @@ def checklist(parts: DataFrame, items: list[Item], key: str, text: str = "text",
 
     The patterns are literals: each part gives one array of matches, and only matches are grouped.
     """
-    one = lambda i: F.struct(F.lit(i.item).alias("item"), (F.rlike(text, F.lit(i.covered)) & (~F.rlike(text, F.lit(i.excluded)) if i.excluded else F.lit(True))).alias("covered"), F.rlike(text, F.lit(i.partial)).alias("partial"))
+    one = lambda i: F.struct(F.lit(i.item).alias("item"), (T.holds(text, i.covered) & (~T.holds(text, i.excluded) if i.excluded else F.lit(True))).alias("covered"), T.holds(text, i.partial).alias("partial"))
     rows = parts.select(key, part, F.explode(F.array(*map(one, items))).alias("hit")).select(key, part, "hit.*")
-    found = rows.groupBy(key, "item").agg(*(F.sort_array(F.collect_list(F.when(F.col(c), F.col(part)))).alias(c) for c in ("covered", "partial")))
-    status = F.when(F.size("covered") > 0, "COVERED").when(F.size("partial") > 0, "PARTIAL").otherwise("MISSING")
-    return found.select(key, "item", status.alias("status"), F.when(F.size("covered") > 0, F.col("covered")).otherwise(F.col("partial")).alias("parts"))
+    # what only tells the status costs no lists if nobody asks for ``parts``
+    names = ("covered", "partial")
+    lists = (F.sort_array(F.collect_list(F.when(F.col(c), F.col(part)))).alias(c) for c in names)
+    found = rows.groupBy(key, "item").agg(*lists, *(F.bool_or(F.col(c) & F.col(part).isNotNull()).alias(f"is_{c}") for c in names))
+    status = F.when(F.col("is_covered"), "COVERED").when(F.col("is_partial"), "PARTIAL").otherwise("MISSING")
+    return found.select(key, "item", status.alias("status"), F.when(F.col("is_covered"), F.col("covered")).otherwise(F.col("partial")).alias("parts"))

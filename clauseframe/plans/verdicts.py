@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..lexicon import hebrew as H
 from ..lexicon import verdicts as V
 from ..session import settled
@@ -36,7 +37,7 @@ WHOLE = ("MONTHLY_RENT", "LEASE_TERM_MONTHS")
 
 
 def says(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.rlike(text, F.lit(pattern)), F.lit(False))
+    return F.coalesce(T.holds(text, pattern), F.lit(False))
 
 
 def exit_terms(sentences: DataFrame) -> DataFrame:
