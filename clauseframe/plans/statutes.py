@@ -26,12 +26,15 @@ MERGED, APPENDIX = "הנוסח שולב ", "תוספת "
 LEAST, MOST = 20, 6000
 
 
+#: A space inside brackets or before punctuation, and around a joining mark; white space is one space by then.
+CLOSE = re.compile(r" (?=[.,;:!?)\]}])|(?<=[\[({]) ")
+QUOTED = re.compile(r" ?״ | ״")
+
+
 def tidy(text: str) -> str:
     """White space collapsed, none inside brackets, before punctuation or around joining marks."""
-    out = re.sub(r"\s+", " ", text).strip()
-    for pattern, to in ((r"־\s+", "־"), (r"\s+([.,;:!?)\]}])", r"\1"), (r"([\[({])\s+", r"\1"), (r"\s*״\s+|\s+״", "״")):
-        out = re.sub(pattern, to, out)
-    return out
+    out = CLOSE.sub("", " ".join(text.split()).replace("־ ", "־"))
+    return QUOTED.sub("״", out) if "״" in out else out
 
 
 @dataclass
@@ -230,7 +233,7 @@ def split_text(text: str, most: int = MOST) -> list[str]:
 def chunks(pages: DataFrame, as_of: str, key: str = "law_id", html: str = "html") -> DataFrame:
     """(key, ordinal, reference, section, text, hash): the chunks in force, in order. References repeat-proof by ``-INSTANCE-n``,
     parts by ``-Pn``; chunks under ``LEAST`` characters are left out before ordinals are given."""
-    return _numbered(_sections(pages, lambda h: [(None, sections_of(h, as_of))], key, html), key).drop("since")
+    return _numbered(_sections(pages, lambda h: [(None, sections_of(h, as_of))], key, html), key).drop("since", "turn", "next")
 
 
 #: Before all dates that a page names.
@@ -248,10 +251,9 @@ def chunk_intervals(pages: DataFrame, key: str = "law_id", html: str = "html") -
     """(key, since, until, ordinal, reference, section, text, hash): each chunk with the dates from which and before which it stands like
     that; ``until`` is null for what still does. Times in which a chunk stays as it is are one row."""
     rows = _numbered(_sections(pages, _history, key, html), key)
-    turns = rows.select(key, "since").distinct().withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("since"))).withColumn("next", F.lead("since").over(Window.partitionBy(key).orderBy("since")))
     same = [key, "ordinal", "reference", "section", "text", "hash"]
-    run = F.col("n") - F.row_number().over(Window.partitionBy(*same).orderBy("n"))
-    runs = rows.join(turns.hint("merge"), [key, "since"]).withColumn("run", run).groupBy(*same, "run").agg(F.min("since").alias("since"), F.max(F.struct("n", "next"))["next"].alias("until"))
+    run = F.col("turn") - F.row_number().over(Window.partitionBy(*same).orderBy("turn"))
+    runs = rows.withColumn("run", run).groupBy(*same, "run").agg(F.min("since").alias("since"), F.max(F.struct("turn", "next"))["next"].alias("until"))
     return runs.select(key, "since", "until", *same[1:])
 
 
@@ -262,25 +264,30 @@ def chunks_at(intervals: DataFrame, dates: DataFrame, key: str = "law_id", date:
 
 
 def _sections(pages: DataFrame, read: Callable[[str | None], list[tuple[str | None, list[tuple[str, str]]]]], key: str, html: str) -> DataFrame:
-    """(key, since, ord, section, parts) of what ``read`` makes of each page."""
+    """(key, since, turn, next, ord, section, parts) of what ``read`` makes of each page: ``turn`` numbers the page's times from 0, also one
+    in which no section stands, and ``next`` is when the following one begins. A page's rows are dealt by its key once, for all that follows."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, since, i, number, split_text(text)) for k, h in zip(*(c.to_pylist() for c in b.columns), strict=True) for since, found in read(h) for i, (number, text) in enumerate(found)]
-            kinds = (b.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [key, "since", "ord", "section", "parts"])
+            rows = []
+            for k, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                times = read(h)
+                begins = [since for since, _ in times]
+                rows += [(k, since, turn, following, i, number, split_text(text)) for turn, ((since, found), following) in enumerate(zip(times, [*begins[1:], None], strict=True)) for i, (number, text) in enumerate(found)]
+            kinds = (b.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [key, "since", "turn", "next", "ord", "section", "parts"])
 
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, since string, ord int, section string, parts array<string>")
+    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, since string, turn int, next string, ord int, section string, parts array<string>").repartition(key)
 
 
 def _numbered(rows: DataFrame, key: str) -> DataFrame:
-    """(key, since, ordinal, reference, section, text, hash) of the sections of each page and time."""
+    """(key, since, turn, next, ordinal, reference, section, text, hash) of the sections of each page and time."""
     base = F.concat(F.lit("IL-"), F.col(key).cast("string"), F.lit("-"), T.section_key("section", F.col("ord") + 1))
     rows = rows.withColumn("base", base)
     of = Window.partitionBy(key, "since", "base")
     unique = F.when(F.count(F.lit(1)).over(of) > 1, F.concat("base", F.lit("-INSTANCE-"), F.row_number().over(of.orderBy("ord")).cast("string"))).otherwise(F.col("base"))
-    parts = rows.withColumn("unique", unique).select(key, "since", "ord", "section", "unique", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "text")).where(F.length("text") >= LEAST)
+    parts = rows.withColumn("unique", unique).select(key, "since", "turn", "next", "ord", "section", "unique", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "text")).where(F.length("text") >= LEAST)
     reference = F.when(F.col("n") == 1, F.col("unique")).otherwise(F.concat("unique", F.lit("-P"), (F.col("part") + 1).cast("string")))
     ordinal = F.row_number().over(Window.partitionBy(key, "since").orderBy("ord", "part")) - 1
-    return parts.select(key, "since", ordinal.alias("ordinal"), reference.alias("reference"), F.nullif("section", F.lit("")).alias("section"), "text", F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"))
+    return parts.select(key, "since", "turn", "next", ordinal.alias("ordinal"), reference.alias("reference"), F.nullif("section", F.lit("")).alias("section"), "text", F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"))
