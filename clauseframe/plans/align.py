@@ -187,6 +187,29 @@ TOKEN = re.compile(r"\s+|\w+(?:[.,:/]\w+)*|.", re.DOTALL)
 BOX = 2**20
 
 
+#: Cells of a whole table up to which plain lists are quicker than arrays.
+SMALL = 2**12
+
+
+def small_path(x: list[int], y: list[int]) -> np.ndarray:
+    """What ``Path`` walks, from the whole table of lengths."""
+    n, m = len(x), len(y)
+    table = [[0] * (m + 1)]
+    for a in reversed(x):
+        below, row, best = table[-1], [0] * (m + 1), 0
+        for j in range(m - 1, -1, -1):
+            best = below[j + 1] + 1 if a == y[j] else below[j] if below[j] >= best else best
+            row[j] = best
+        table.append(row)
+    table.reverse()
+    i, j, out = 0, 0, []
+    while i < n and j < m:
+        kind = 0 if x[i] == y[j] else 1 if table[i + 1][j] >= table[i][j + 1] else 2
+        out.append(kind)
+        i, j = i + (kind != 2), j + (kind != 1)
+    return np.array(out + [1] * (n - i) + [2] * (m - j), np.int8)
+
+
 class Path:
     """The path through the table of common lengths of ``x`` and ``y``: a step on both sides where tokens are equal, else a deletion if that
     loses nothing, else an insertion.
@@ -256,10 +279,14 @@ def word_diff(a: str, b: str) -> list[tuple[str, str]]:
     short = min(len(xs), len(ys))
     differ = np.flatnonzero(xs[:short] != ys[:short])
     begun = int(differ[0]) if len(differ) else short
-    path = Path(xs[begun:], ys[begun:])
     n, m = len(xs) - begun, len(ys) - begun
-    path.walk(0, n, 0, m, np.zeros(m + 1, np.int32), np.zeros(n + 1, np.int32))
-    ops = np.concatenate([np.zeros(begun, np.int8), *path.ops])
+    if n * m <= SMALL:
+        walked = [small_path(xs[begun:].tolist(), ys[begun:].tolist())]
+    else:
+        path = Path(xs[begun:], ys[begun:])
+        path.walk(0, n, 0, m, np.zeros(m + 1, np.int32), np.zeros(n + 1, np.int32))
+        walked = path.ops
+    ops = np.concatenate([np.zeros(begun, np.int8), *walked])
     i, j = (np.concatenate([[0], np.cumsum(ops != other)]) for other in (2, 1))
     cuts = np.flatnonzero(np.diff(ops)) + 1
     out = []
