@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is replaced by ``mark``; a ``$1`` in it keeps the first group."""
+    """``pattern`` is replaced by ``mark``; a ``$1`` in it keeps the first group. A text without ``holds`` has no match."""
 
     name: str
     pattern: str
     mark: str
+    holds: str = ""
 
 
 _EDGE, _END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 #: General identifiers, in order. Fixed patterns.
 LATIN = (
-    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL_ADDRESS]"),
+    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL_ADDRESS]", "@"),
     Rule("card", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", "[CARD_NUMBER]"),
     Rule("ipv4", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "[IP_ADDRESS]"),
     Rule("phone", r"\+?[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}", "[PHONE_NUMBER]"),
@@ -44,7 +45,7 @@ HEBREW = (
     labelled("labelled_id", "ת[.\"״]ז\\.?|תעודת\\s+זהות|מספר\\s+זהות", r"\d{7,8}-?\d", "[ID_NUMBER]"),
     labelled("passport", "דרכון", "[A-Za-z]{0,2}[0-9]{6,9}", "[PASSPORT_NUMBER]"),
     Rule("phone", _EDGE + r"(?:\+?972[ -]?|0)(?:5[0-9]|7[2-9]|[2-4]|[89])[ -]?[0-9]{3}[ -]?[0-9]{4}" + _END, "[PHONE_NUMBER]"),
-    Rule("email", LATIN[0].pattern, LATIN[0].mark),
+    Rule("email", LATIN[0].pattern, LATIN[0].mark, LATIN[0].holds),
     Rule("address", r"(?<!\p{L})((?:ב|מ|ל)?(?:רחוב|רח['׳]|שדרות|שד['׳]|סמטת)\s+)(?:[\p{IsHebrew}'\"״-]+\s+){1,4}\d{1,4}(?:\s*/\s*\d{1,3})?(?!\d)", "$1[ADDRESS]"),
     named("landlord", "המשכיר|המשכירה|בעל הדירה|בעלת הדירה", "[LANDLORD_NAME]"),
     named("tenant", "השוכר|השוכרת|הדייר|הדיירת", "[TENANT_NAME]"),
@@ -60,7 +61,10 @@ def redact(df: DataFrame, rules: tuple[Rule, ...], text: str = "text", counts: s
     out, entries = df, []
     for i, r in enumerate(rules):
         step = f"_n{i}"
-        out = out.withColumn(step, F.coalesce(F.regexp_count(text, F.lit(r.pattern)), F.lit(0))).withColumn(text, F.regexp_replace(text, r.pattern, r.mark))
+        times = F.regexp_count(text, F.lit(r.pattern))
+        # what holds nothing is neither counted nor written anew
+        out = out.withColumn(step, F.coalesce(F.when(F.contains(F.col(text), F.lit(r.holds)), times) if r.holds else times, F.lit(0)))
+        out = out.withColumn(text, F.when(F.col(step) > 0, F.regexp_replace(text, r.pattern, r.mark)).otherwise(F.col(text)))
         entries += [F.lit(r.name), F.col(step)]
     return out.withColumn(counts, F.create_map(*entries)).drop(*(f"_n{i}" for i in range(len(rules))))
 
