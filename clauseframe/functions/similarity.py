@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.streams import small
 from ..session import settled
 
 
@@ -157,6 +159,99 @@ def tfidf_pairs(terms: DataFrame, group: str, part: str, term: str, least: float
     return met.groupBy(group, "part_a", "part_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("score")).where(F.col("score") >= least)
 
 
+#: Size of a group, in what its parts are measured by, up to which one task weighs its terms.
+MOST_IN_TASK = 1_000_000
+#: Products that a task holds at once, unless one part alone makes more.
+PRODUCTS = 500_000
+
+
+def products(table: pa.Table, least: float, held: int = PRODUCTS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, score) of the pairs of parts in ``table``, whose columns are group, part and the part's terms, sorted by the first two and
+    of whole groups: the weights of ``weighted_terms`` and their products, over all groups of the table at once."""
+    codes = lambda c: c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    group, part, lists = (c.combine_chunks() for c in table.columns)
+    said = pc.list_flatten(lists)
+    if not len(said):
+        return
+    group, part = codes(group), codes(part)
+    begins = np.append(True, (group[1:] != group[:-1]) | (part[1:] != part[:-1]))
+    rows, place = np.flatnonzero(begins), np.cumsum(begins) - 1
+    of, known = group[rows], part[rows] >= 0
+    at, term = place[pc.list_parent_indices(lists).to_numpy()], codes(said)
+    n, m = len(rows), int(term.max()) + 1
+    once, tf = np.unique(at * m + term, return_counts=True)
+    at, term = once // m, once % m
+    _, term, df = np.unique(of[at] * m + term, return_inverse=True, return_counts=True)
+    parts = np.bincount(of, known & (np.bincount(at, minlength=n) > 0))
+    w = tf * np.log((1 + parts[of[at]]) / (1 + df[term]))
+    at, term, w = at[w > 0], term[w > 0], w[w > 0]
+    w /= np.sqrt(np.bincount(at, w * w, n))[at]
+    # the parts of a term stand together, in order; each meets those behind it
+    order = np.lexsort((at, term))
+    order = order[known[at[order]]]
+    at, term, w = at[order], term[order], w[order]
+    behind = np.searchsorted(term, term, side="right") - np.arange(len(term)) - 1
+    own = np.argsort(at, kind="stable")
+    own = own[behind[own] > 0]
+    # all products of a part are in one piece
+    ends = np.append(np.flatnonzero(np.diff(at[own])), len(own) - 1) + 1 if len(own) else np.zeros(0, np.int64)
+    made, start = np.append(0, np.cumsum(behind[own])), 0
+    while start < len(own):
+        end = max(ends[np.searchsorted(ends, start, side="right")], ends[max(0, np.searchsorted(made[ends], made[start] + held, side="right") - 1)])
+        piece = own[start:end]
+        i = np.repeat(piece, behind[piece])
+        j = i + 1 + np.arange(len(i)) - np.repeat(made[start:end] - made[start], behind[piece])
+        pairs, which = np.unique(at[i] * n + at[j], return_inverse=True)
+        score = np.bincount(which, w[i] * w[j])
+        near = score >= least
+        yield rows[pairs[near] // n], rows[pairs[near] % n], score[near]
+        start = end
+
+
+def part_pairs(parts: DataFrame, group: str, part: str, terms: Column, size: Column, least: float, most: int = MOST_IN_TASK) -> DataFrame:
+    """What ``tfidf_pairs`` gives of ``terms``, an array of all terms of a row of ``parts``, a name for each kind of part.
+
+    The rows travel once, by their group, before their terms are read; a task holds one group, or about a megabyte of small ones. Groups
+    whose rows have more than ``most`` in ``size`` together are left to ``tfidf_pairs``, which deals a group's terms and pairs over all tasks.
+    """
+    own = parts.where(F.col(group).isNotNull())
+    large = own.groupBy(group).agg(F.sum(size).alias("_size")).where(F.col("_size") > most).select(group)
+    some = not large.isEmpty()
+    large = settled(large) if some else large
+    few = own.join(large, group, "left_anti") if some else own
+    kinds = ", ".join(f"`{n}` {parts.schema[c].dataType.simpleString()}" for n, c in ((group, group), ("part_a", part), ("part_b", part)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole() -> Iterator[list[pa.RecordBatch]]:
+            held: list[pa.RecordBatch] = []
+            for b in small(batches):
+                if b.num_rows:
+                    if held and held[-1].column(0)[-1] != b.column(0)[0]:
+                        yield held
+                        held = []
+                    last = b.column(0).dictionary_encode().indices.to_numpy()
+                    cut = int(np.argmax(last == last[-1]))
+                    if cut:
+                        yield [*held, b.slice(0, cut)]
+                        held = []
+                    held.append(b.slice(cut))
+            yield held
+
+        for held in whole():
+            if held:
+                table = pa.Table.from_batches(held)
+                for a, b, score in products(table, least):
+                    sides = [table.column(k).take(pa.array(x)).combine_chunks() for k, x in ((0, a), (1, a), (1, b))]
+                    yield pa.RecordBatch.from_arrays([*sides, pa.array(score)], [group, "part_a", "part_b", "score"])
+
+    dealt = few.repartition(group).sortWithinPartitions(group, part).select(group, part, terms.alias("_terms"))
+    found = dealt.mapInArrow(run, f"{kinds}, score double")
+    if not some:
+        return found
+    rest = own.join(large, group, "left_semi").select(group, part, F.explode(terms).alias("_term"))
+    return found.unionByName(tfidf_pairs(rest, group, part, "_term", least))
+
+
 def dealt_pairs(queries: DataFrame, vectors: DataFrame, key: str, vector: str, rows: int) -> tuple[DataFrame, DataFrame]:
     """Both sides (query, q) and (key, vector) with the columns qb and vb, so that each query meets each vector under one (qb, vb).
 

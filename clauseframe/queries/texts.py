@@ -155,8 +155,8 @@ SELECT a.doc_id, a.ord AS part_a, b.ord AS part_b, round(sum(a.w * b.w), 6) AS s
 GROUP BY ALL HAVING sum(a.w * b.w) >= 0.3""")
 def tfidf_pairs(spark, sf_dir):
     lines = segment.explode_lines(table(spark, sf_dir, "documents"))
-    terms = lines.select("doc_id", "ord", F.explode(F.filter(F.regexp_extract_all(F.lower("line"), F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: F.length(w) >= 3)).alias("term"))
-    return S.tfidf_pairs(terms, "doc_id", "ord", "term", 0.3).withColumn("score", F.round("score", 6))
+    terms = F.filter(F.regexp_extract_all(F.lower("line"), F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: F.length(w) >= 3)
+    return S.part_pairs(lines, "doc_id", "ord", terms, F.length("line"), 0.3).withColumn("score", F.round("score", 6))
 
 
 @query(r"""WITH g AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS t FROM benchmark), e AS (SELECT item_id, length(t) - 2 AS n, substr(t, unnest(range(1, length(t) - 1)), 3) AS gram FROM g WHERE length(t) >= 3),
