@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, wraps
 from itertools import groupby, islice
 
 import pyarrow as pa
@@ -17,6 +18,21 @@ ROWS = 1_000
 BYTES = 2**20
 
 
+#: Short texts whose readings a task remembers, and how long they are at most.
+REMEMBERED, SHORT = 5_000, 2_000
+
+
+def remembered(f: Callable[[str], object]) -> Callable[[str], object]:
+    """``f`` of a text, computed once in a task for a short text that comes again soon. What it gives is not to be changed."""
+    known = lru_cache(REMEMBERED)(f)
+
+    @wraps(f)
+    def one(text: str) -> object:
+        return known(text) if len(text) <= SHORT else f(text)
+
+    return one
+
+
 def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``BYTES``, or of one row, as Spark's batches may hold thousands of long texts."""
     for b in batches:

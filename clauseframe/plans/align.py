@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.streams import in_groups
+from ..operators.streams import in_groups, remembered
 from .assignment import Clause, all_edges, assigned, containment, edges, matching
 
 PART = 0.7
@@ -28,11 +28,16 @@ NAMED = re.compile(rf"((?:סעיפים|סעיפי|סעיף|[Ss]ections?|[Cc]laus
 OWN_LABEL = re.compile(rf"\s*(?:סעיף\s+)?({LABEL})\s*[.):\-]")
 
 
-def normalized(text: str) -> str:
-    plain = re.sub(r"^\s*\d+(?:\.\d+)*\s*[.):\-]?\s*", "", text or "")
+@remembered
+def _normalized(text: str) -> str:
+    plain = re.sub(r"^\s*\d+(?:\.\d+)*\s*[.):\-]?\s*", "", text)
     return " ".join(re.sub("[‘’‚׳]", "'", re.sub("[“”„״]", '"', plain)).split())
 
 
+def normalized(text: str | None) -> str:
+    return _normalized(text or "")
+
+
 def own_label(text: str) -> str | None:
     """The number that a clause begins with."""
     found = OWN_LABEL.match(text or "")
@@ -134,7 +139,7 @@ def aligned(before: list[str], after: list[str], matched: list[tuple[int, int, f
     for i, (x, y) in groups.items():
         old, new = normalized(before[i]), after[pairs[i]]
         equal = old == normalized(new)
-        same = equal or old == normalized(renumbered(new, labels))
+        same = equal or (bool(labels) and old == normalized(renumbered(new, labels)))
         change = "SPLIT" if len(y) > 1 else "MERGED" if len(x) > 1 else "UNCHANGED" if same else "MODIFIED"
         rows.append((float(pairs[i]), (sorted(x), sorted(y), change, round(score[i], 3), i not in still, change == "UNCHANGED" and not equal)))
     for i in range(len(before)):

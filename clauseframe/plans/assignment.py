@@ -17,23 +17,27 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.streams import in_groups
+from ..operators.streams import in_groups, remembered
 
 MATCH, CONTAINED = 0.45, 0.85
 BLOCK = 256
 EDGE = "pair_id long, i int, j int, score double"
 
 
+@remembered
+def features(text: str) -> tuple[Counter, int, set[str], str]:
+    """Trigrams and how many there are, words, and the first line if it may be a heading."""
+    flat = "".join(text.split())
+    line = text.split("\n", 1)[0]
+    return Counter([flat[i : i + 3] for i in range(len(flat) - 2)]), max(0, len(flat) - 2), {w for w in re.findall(r"[^\W_]+", text) if len(w) > 1}, line.strip() if len(line.split()) <= 7 else ""
+
+
 class Clause:
     """What the comparison needs of a clause."""
 
     def __init__(self, text: str, at: float):
         self.text, self.at = text, at
-        flat = "".join(text.split())
-        self.grams = Counter([flat[i : i + 3] for i in range(len(flat) - 2)])
-        self.n = max(0, len(flat) - 2)
-        self.words = {w for w in re.findall(r"[^\W_]+", text) if len(w) > 1}
-        self.heading = text.split("\n", 1)[0].strip() if len(text.split("\n", 1)[0].split()) <= 7 else ""
+        self.grams, self.n, self.words, self.heading = features(text)
 
 
 def overlap(a: Clause, b: Clause) -> int:
@@ -113,6 +117,8 @@ def edges(before: list[Clause], after: list[Clause]) -> tuple[np.ndarray, np.nda
 
 def parts(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The number of each edge's connected part: its smallest row."""
+    if len(set(i.tolist())) == len(set(j.tolist())) == len(i):
+        return i  # no two edges share an end
     rows, r = np.unique(i, return_inverse=True)
     columns, c = np.unique(j, return_inverse=True)
     label, below = np.arange(len(rows)), np.full(len(columns), len(rows))
@@ -132,6 +138,8 @@ def matching(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> dict[int, int]:
     Shortest augmenting paths, a row after another, over the edges only: for each row the cheapest alternating path to a free
     column, or to a row that is better left alone, where an edge costs 1 - score and staying alone 1.
     """
+    if len(i) == 1:
+        return {int(i[0]): int(j[0])}
     rows, r = np.unique(i, return_inverse=True)
     columns, c = np.unique(j, return_inverse=True)
     n, m = len(rows), len(columns)

@@ -6,12 +6,14 @@ or a contract, so agreements are independent and any number of them is spread by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..lexicon import hebrew as H
-from ..session import settled
+from ..session import dealt, settled
 from . import facts as X
 from . import mentions
 
@@ -20,7 +22,10 @@ SENTENCE = [*KEY, "ord", "s_ord"]
 
 
 def with_sentences(clauses: DataFrame) -> DataFrame:
-    """(contract_id, clause_id, ord, s_ord, sentence). A clause's heading line is a sentence of its own."""
+    """(contract_id, clause_id, ord, s_ord, sentence). A clause's heading line is a sentence of its own. Of clauses that are read (see ``read``)
+    also what their sentences say."""
+    if "said" in clauses.columns:
+        return clauses.select(*KEY, "ord", F.inline("said"))
     lines = F.filter(F.transform(F.split("text", "\n"), T.trimmed), lambda x: x != "")
     headed = F.col("heading").isNotNull() & (F.size(lines) > 1)
     body = F.when(headed, F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(1))), "\n")).otherwise(F.col("text"))
@@ -32,6 +37,8 @@ def profiled(clauses: DataFrame, concepts: dict[str, tuple[str, ...]] = H.NAMES)
     """``clauses`` with ``counts`` (how often each concept occurs in the text, array<struct<name, n>>), ``heads`` (the concepts that its heading
     names) and ``primary`` (what it is about: named in its heading, met twice, or met most often, if it alone is or the heading names
     none). Texts and headings are scanned once for all phrases, and no clause leaves its task."""
+    if "primary" in clauses.columns:
+        return clauses
     noted = mentions.tallied(clauses, ("text", "heading"), list(concepts.items())).withColumn("heads", F.transform("heading_n", lambda x: x["name"])).drop("heading_n").withColumnRenamed("text_n", "counts")
     most = F.array_max(F.transform("counts", lambda x: x["n"]))
     alone = F.size(F.filter("counts", lambda x: x["n"] == most)) == 1
@@ -150,6 +157,8 @@ def contract_facts(facts: DataFrame) -> DataFrame:
 
 def with_references(sentences: DataFrame) -> DataFrame:
     """``sentences`` with ``refs``, array<struct<at, kind, labels>>: the sections that it points at; kind is REFERENCE, SUBJECT_TO or NOTWITHSTANDING."""
+    if "refs" in sentences.columns:
+        return sentences
 
     def read(x: Column) -> Column:
         prefix = F.substring(F.col("sentence"), F.greatest(F.lit(1), x["at"] - 25), F.least(F.lit(25), x["at"] - 1))
@@ -174,3 +183,46 @@ def resolved(references_: DataFrame, clauses: DataFrame) -> DataFrame:
     rest = references_.join(targets.hint("merge"), ["contract_id", "label"], "left_anti").withColumn("parent", F.substring_index("label", ".", 1)).where("parent <> label")
     general = rest.join(targets.withColumnRenamed("label", "parent").hint("merge"), ["contract_id", "parent"]).drop("parent")
     return exact.unionByName(general).where("target <> clause_id")
+
+
+Step = Callable[[DataFrame], DataFrame]
+
+
+def worded(clauses: DataFrame, before: Step | None = None, after: Step | None = None) -> tuple[DataFrame, DataFrame]:
+    """(clauses, wordings): ``clauses`` with ``wording``, a number, and what is read of each distinct pair of text and heading under it.
+
+    Agreements are written from templates, so most of their clauses are worded alike; whatever follows from the words alone is read once a
+    wording. ``wordings`` stand as clauses of agreements of their own (contract_id is the wording's number, clause_id empty) with ``counts``,
+    ``heads``, ``primary`` (see ``profiled``), ``stems`` and ``said``, array<struct<s_ord, sentence, numbers, facts, refs>>. ``before`` changes
+    or adds to the columns of wordings before they are read, ``after`` adds to what is read. ``clauses`` take over what ``before`` does.
+    """
+    own = ["text", "heading"]
+    # the digest only sorts and deals; wordings are told apart by their words
+    digest = F.xxhash64(*own).alias("_digest")
+    words = dealt(clauses.select(*own).distinct(), *own).select(F.monotonically_increasing_id().alias("contract_id"), F.lit("").alias("clause_id"), F.lit(0).alias("ord"), *own, digest, *(F.col(c).alias(f"_{c}") for c in own))
+    first = settled(words)
+    changed = before(first) if before else first
+    more = [c for c in changed.columns if c not in first.columns]
+    words = settled(profiled(changed).withColumn("stems", T.stems("text", stop=H.STOP)))
+    sentences = with_references(with_facts(with_sentences(words)))
+    told = F.array_sort(F.collect_list(F.struct("s_ord", "sentence", "numbers", "facts", "refs")))
+    known = words.join(sentences.groupBy("contract_id").agg(told.alias("said")).hint("merge"), "contract_id", "left")
+    known = settled(after(settled(known)) if after else known)
+    named = words.select("_digest", *(f"_{c}" for c in own), F.col("contract_id").alias("wording"), F.col("text").alias("_now"), *more)
+    mine = clauses.withColumn("_d", digest)
+    same = (F.col("_d") == F.col("_digest")) & F.col("text").eqNullSafe(F.col("_text")) & F.col("heading").eqNullSafe(F.col("_heading"))
+    found = mine.join(named.hint("merge"), same).withColumn("text", F.col("_now")).select(*clauses.columns, "wording", *more)
+    return found, known.drop("_digest", *(f"_{c}" for c in own), *more)
+
+
+def with_readings(clauses: DataFrame, wordings: DataFrame) -> DataFrame:
+    """``clauses`` of ``worded`` beside what is read of their wordings."""
+    read = wordings.drop("clause_id", "ord", *(c for c in clauses.columns if c in ("text", "heading"))).withColumnRenamed("contract_id", "wording")
+    return clauses.join(read.hint("merge"), "wording")
+
+
+def read(clauses: DataFrame, after: Step | None = None) -> DataFrame:
+    """``clauses`` with all that is read of their wordings; those that are read already only get what ``after`` adds."""
+    if "said" in clauses.columns:
+        return after(clauses) if after else clauses
+    return with_readings(*worded(clauses, after=after))

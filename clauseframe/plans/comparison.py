@@ -43,7 +43,7 @@ def compare_agreements(clauses: DataFrame, pairs: DataFrame, preferences: dict |
     its counterpart count as added or removed. Every step is keyed by contract_id or pair_id; pairs are independent.
     """
     named = settled(pairs.select("pair_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("contract_id")) for s in ("before", "after")))).alias("x")).select("pair_id", "x.*"))
-    done = analyses.analyze(clauses.join(named.select("contract_id").distinct().hint("merge"), "contract_id", "left_semi"), preferences)
+    done = analyses.analyze(settled(clauses.join(named.select("contract_id").distinct().hint("merge"), "contract_id", "left_semi")), preferences)
     # ``at``: a clause's place in its version, as the alignment counts
     place = F.row_number().over(Window.partitionBy("contract_id").orderBy("ord")) - 1
     placed = settled(done.clauses.select("contract_id", "clause_id", "text", place.alias("at")))

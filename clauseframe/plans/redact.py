@@ -82,7 +82,7 @@ def residual(text: Column | str, rules: tuple[Rule, ...], names: tuple[str, ...]
 def gate(df: DataFrame, rules: tuple[Rule, ...] = HEBREW, names: tuple[str, ...] = RESIDUAL, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(clean, quarantined): a document goes to the second as a whole if an identifier remains in any of its parts."""
     bad = F.col(key).isNotNull() & F.bool_or("_left").over(Window.partitionBy(key))
-    told = df.withColumn("_left", residual(text, rules, names)).withColumn("_bad", bad)
+    told = (df if "_left" in df.columns else df.withColumn("_left", residual(text, rules, names))).withColumn("_bad", bad)
     return told.where("NOT _bad").drop("_left", "_bad"), told.where("_bad").drop("_left", "_bad")
 
 

@@ -7,6 +7,7 @@ violation counts. Each row's verdict is a fold over one array, so that every con
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,16 +39,18 @@ def overridden(override: Column, value: Column, verified: Column) -> tuple[Colum
 
 
 def evaluate(df: DataFrame, rules: list[Rule], flags: tuple[str, ...], violation: str = "violates", reason: str = "reason") -> DataFrame:
-    """``df`` with a boolean column for each flag, and the reason."""
-    hits = F.filter(F.array(*(F.when(F.coalesce(r.holds, F.lit(False)), F.struct(F.lit(r.reason).alias("reason"), F.lit(r.flag).alias("flag"))) for r in rules)), lambda x: x.isNotNull())
-    out = df.withColumn("_hits", hits)
-    first = F.array_position(F.transform("_hits", lambda x: x["flag"]), violation)
-    out = out.withColumn("_hits", F.when(first > 0, F.slice("_hits", F.lit(1), first.cast("int"))).otherwise(F.col("_hits")))
-    for flag in flags:
-        out = out.withColumn(flag, F.array_contains(F.transform("_hits", lambda x: x["flag"]), flag))
-    # a violation hides the softer flags of the rules before it
-    out = out.withColumns({f: F.col(f) & ~F.col(violation) for f in flags if f != violation})
-    return out.withColumn(reason, F.try_element_at("_hits", F.lit(-1))["reason"]).drop("_hits")
+    """``df`` with a boolean column for each flag, and the reason. Conditions are plain columns of one row, so nothing is collected: the first
+    violation gives the reason, else the last rule that holds."""
+    held = [(r, F.coalesce(r.holds, F.lit(False))) for r in rules]
+    violated = [(r, c) for r, c in held if r.flag == violation]
+    out = df.withColumns({f"_h{i}": c for i, (_, c) in enumerate(held)})
+    own = {id(r): F.col(f"_h{i}") for i, (r, _) in enumerate(held)}
+    some = lambda rows: reduce(lambda a, b: a | b, (own[id(r)] for r in rows), F.lit(False))
+    breach = some([r for r, _ in violated])
+    # a violation hides the softer flags of the rules before it, and nothing after it counts
+    said = {f: breach if f == violation else some([r for r, _ in held if r.flag == f]) & ~breach for f in flags}
+    first = F.coalesce(*(F.when(own[id(r)], r.reason) for r, _ in violated), *(F.when(own[id(r)], r.reason) for r, _ in reversed(held)), F.lit(None).cast("string"))
+    return out.withColumns(said | {reason: first}).drop(*(f"_h{i}" for i in range(len(held))))
 
 
 def security_cap(rent: Column, months: Column, security: Column) -> dict[str, Column]:
@@ -72,13 +75,19 @@ class Item:
     excluded: str | None = None
 
 
+def hits(text: Column | str, items: list[Item]) -> Column:
+    """array<struct<item, covered, partial>>: what a text says of each protection."""
+    one = lambda i: F.struct(F.lit(i.item).alias("item"), (T.holds(text, i.covered) & (~T.holds(text, i.excluded) if i.excluded else F.lit(True))).alias("covered"), T.holds(text, i.partial).alias("partial"))
+    return F.array(*map(one, items))
+
+
 def checklist(parts: DataFrame, items: list[Item], key: str, text: str = "text", part: str = "ord") -> DataFrame:
     """(key, item, status, parts): COVERED where a part matches the item's pattern and not its veto, else PARTIAL, else MISSING.
 
-    The patterns are literals: each part gives one array of matches, and only matches are grouped.
+    The patterns are literals: each part gives one array of matches, and only matches are grouped. Parts that have ``hits`` are not read again.
     """
-    one = lambda i: F.struct(F.lit(i.item).alias("item"), (T.holds(text, i.covered) & (~T.holds(text, i.excluded) if i.excluded else F.lit(True))).alias("covered"), T.holds(text, i.partial).alias("partial"))
-    rows = parts.select(key, part, F.explode(F.array(*map(one, items))).alias("hit")).select(key, part, "hit.*")
+    found = F.col("hits") if "hits" in parts.columns else hits(text, items)
+    rows = parts.select(key, part, F.explode(found).alias("hit")).select(key, part, "hit.*")
     # what only tells the status costs no lists if nobody asks for ``parts``
     names = ("covered", "partial")
     lists = (F.sort_array(F.collect_list(F.when(F.col(c), F.col(part)))).alias(c) for c in names)

@@ -35,10 +35,8 @@ def start_date(sentence: Column) -> Column:
     return F.when(month.between(1, 12) & day.between(1, 31), F.format_string("%d-%02d-%02d", full, month, day))
 
 
-def extract(clauses: DataFrame) -> DataFrame:
-    """The terms of each agreement in ``clauses`` (see ``clauses``)."""
-    sentences = settled(C.with_facts(C.with_sentences(clauses)))
-    facts = C.contract_facts(C.sentence_facts(sentences))
+def stated(clauses: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(contract_id, clause_id, ord, s_ord, quote, term, kind, value, other, note): every sentence of ``clauses`` that states a term."""
     of = lambda kind: F.filter("numbers", lambda n: n["kind"] == kind)
     first = lambda kind, *order: F.array_min(F.transform(of(kind), lambda n: F.struct(*(n[c].alias(c) for c in (*order, "value")))))["value"]
     read = {
@@ -76,13 +74,32 @@ def extract(clauses: DataFrame) -> DataFrame:
         item("late_vacating", late & (vacating.isNotNull() | multiple.isNotNull()), vacating, multiple),
         item("late_payment", says(s, M.LATE_PAYMENT) & ~late & (paying.isNotNull() | interest.isNotNull()), paying, interest),
     ]
-    rows = df.select("contract_id", "clause_id", "ord", "s_ord", s.alias("quote"), F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("x")).select("contract_id", "clause_id", "ord", "s_ord", "quote", "x.*")
+    return df.select("contract_id", "clause_id", "ord", "s_ord", s.alias("quote"), F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("x")).select("contract_id", "clause_id", "ord", "s_ord", "quote", "x.*")
+
+
+def with_terms(wordings: DataFrame) -> DataFrame:
+    """What is read of wordings (see ``clauses.worded``) with ``terms`` and ``exits``: what their sentences state, and how they let a tenant leave."""
+    sentences = C.with_facts(C.with_sentences(wordings))
+    listed = lambda rows, name: rows.groupBy("contract_id").agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in (*C.KEY, "ord")))).alias(name)).hint("merge")
+    return wordings.join(listed(stated(wordings, sentences), "terms"), "contract_id", "left").join(listed(exit_terms(sentences), "exits"), "contract_id", "left")
+
+
+def extract(clauses: DataFrame) -> DataFrame:
+    """The terms of each agreement in ``clauses`` (see ``clauses``); what ``with_terms`` has read is not read again."""
+    if "terms" in clauses.columns:
+        sentences = C.with_sentences(clauses)
+        rows, exits = (clauses.select(*C.KEY, "ord", F.inline(c)) for c in ("terms", "exits"))
+    else:
+        sentences = settled(C.with_facts(C.with_sentences(clauses)))
+        rows, exits = stated(clauses, sentences), exit_terms(sentences)
+    facts = C.contract_facts(C.sentence_facts(sentences))
     once = rows.groupBy("contract_id", "term", "kind").agg(F.min_by(F.struct("value", "other", "note", "clause_id", "quote"), F.struct("ord", "s_ord")).alias("x")).select("contract_id", "term", "kind", "x.*")
 
     names = {"MONTHLY_RENT": "rent", "LEASE_TERM_MONTHS": "term", "OPTION_RENT": "option_rent", "SECURITY_RETURN_DAYS": "security_return_days"}
     named = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    null = F.lit(None)
     whole = facts.where(F.col("fact").isin(*names)).select("contract_id", named[F.col("fact")].alias("term"), F.lit("").alias("kind"), "value", null.cast("double").alias("other"), null.cast("string").alias("note"), "clause_id", F.col("sentence").alias("quote"))
-    leaving = agreement_exit(exit_terms(sentences))
+    leaving = agreement_exit(exits)
     gone = leaving.select("contract_id", F.lit("exit").alias("term"), F.lit("").alias("kind"), F.coalesce(F.col("amount"), F.col("months").cast("double")).alias("value"), F.col("notice_days").alias("other"), F.col("kind").alias("note"), "clause_id", null.cast("string").alias("quote"))
     return once.select(*COLUMNS).unionByName(whole.select(*COLUMNS)).unionByName(gone.select(*COLUMNS))
 

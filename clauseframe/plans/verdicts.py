@@ -81,65 +81,76 @@ def agreement_exit(exits: DataFrame) -> DataFrame:
     return rows.where("k = 1").select("contract_id", "clause_id", "kind", "months", "amount", "notice_days", "conflict")
 
 
+def marked(clauses: DataFrame, preferences: dict) -> DataFrame:
+    """``clauses`` that are read, with ``marks``: what the rules ask of a clause's own words - the facts that it states first, and a flag for each
+    rule that looks at its wording only."""
+    p, text = INDIFFERENT | preferences, F.col("text")
+    any_sentence = lambda f: F.coalesce(F.exists("said", lambda x: f(x["sentence"])), F.lit(False))
+    # facts stand in the order of their sentences and scans, so the first of a kind is the clause's
+    first = lambda k: F.get(F.filter(F.flatten(F.transform("said", lambda x: x["facts"])), lambda x: x["fact"] == k), F.lit(0))["value"]
+    days = lambda x: F.array_min(F.transform(F.filter(x["numbers"], lambda n: n["kind"] == "days"), lambda n: F.struct(n["at"].alias("at"), n["value"].alias("value"))))["value"]
+    entry = F.transform("said", lambda x: F.when(says(x["sentence"], H.CONCEPTS["ENTRY"]) & says(x["sentence"], V.NOTICE), days(x)))
+    demanded = lambda s: F.filter(F.array(*(F.when(says(s, pattern), F.lit(kind)) for kind, pattern in V.SECURITY_KINDS.items())), lambda k: k.isNotNull())
+    refused = lambda s: F.array_except(demanded(s), F.array(*map(F.lit, p["accepted_securities"])).cast("array<string>"))
+    refuses = any_sentence(lambda s: says(s, V.DEMANDS_SECURITY) & (F.size(refused(s)) > 0) & (~says(s, V.OFFERS_CHOICE) | (F.size(refused(s)) == F.size(demanded(s)))))
+    yes = lambda flag, c: c if flag else F.lit(False)
+    flags = {
+        "PETS": yes(p["pets"], says(text, V.PETS_BARRED)),
+        "FURNITURE": yes(p["furnished"], says(text, V.UNFURNISHED)),
+        "SECURITY_KIND": refuses,
+        "INDEXATION": yes(not p["accepts_indexation"], any_sentence(lambda s: says(s, V.RENT_INDEXED) & ~says(s, V.NOT_INDEXED))),
+        "BROKER_FEE": yes(not p["accepts_broker_fee"], any_sentence(lambda s: says(s, V.BROKER_FEE) & says(s, V.TENANT_PAYS))),
+        "RENEWAL": yes(p["renewal"], says(text, V.NO_RENEWAL)),
+        "ROOMMATES": yes(p["roommates"], any_sentence(lambda s: says(s, V.SUBLET_BARRED))),
+        "WAIVER": says(text, V.WAIVES_ALL),
+        "REALIZATION": says(text, V.REALIZES) & says(text, V.NO_NOTICE),
+        "ENTRY": says(text, V.ENTERS) & says(text, V.NO_COORDINATION),
+        "OWNER_CHARGES": says(text, V.OWNER_CHARGES),
+        "NO_REFUND": says(text, V.NO_REFUND) & says(text, V.SELF_REPAIR),
+        "shifts": says(text, V.SHIFTS_BURDEN),
+    }
+    facts = {k: first(k) for k in (*OWN, *WHOLE)} | {"entry_days": F.get(F.filter(entry, lambda d: d.isNotNull()), F.lit(0))}
+    return clauses.withColumn("marks", F.struct(*(c.alias(n) for n, c in (flags | facts).items())))
+
+
 def verdicts(clauses: DataFrame, links: DataFrame, preferences: dict) -> DataFrame:
     """(contract_id, clause_id, violates, risk, preference, rule, topic, confidence, severity, category) of each clause.
 
-    ``links`` are ``links.link_clauses`` of the clauses; ``preferences`` overrides ``INDIFFERENT``.
+    ``links`` are ``links.link_clauses`` of the clauses; ``preferences`` overrides ``INDIFFERENT``, also for ``marked``, if that was called before.
     """
     p = INDIFFERENT | preferences
-    read = C.with_facts(C.with_sentences(clauses))
-    read = settled(read) if p["early_exit"] else read
-    s = F.col("sentence")
-    about_entry = says(s, H.CONCEPTS["ENTRY"]) & says(s, V.NOTICE)
-    days = F.array_min(F.transform(F.filter("numbers", lambda n: n["kind"] == "days"), lambda n: F.struct(n["at"].alias("at"), n["value"].alias("value"))))["value"]
-    # a sentence's facts stand in the order of their scan, so the first of a kind is the agreement's or the clause's if the sentence is first
-    first = lambda k: F.get(F.filter("facts", lambda x: x["fact"] == k), F.lit(0))["value"]
-    sentences = read.select(*C.SENTENCE, "sentence", *(first(k).alias(k) for k in (*OWN, *WHOLE)), F.when(about_entry, days).alias("entry_days"))
-    least = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("s_ord"))).alias(c)
-    said = F.transform(F.array_sort(F.collect_list(F.struct("s_ord", "sentence"))), lambda x: x["sentence"]).alias("said")
-    told = sentences.groupBy(*C.KEY).agg(said, *map(least, (*OWN, *WHOLE, "entry_days")))
+    if "marks" not in clauses.columns:
+        clauses = C.read(clauses, after=lambda read: marked(read, preferences))
+    df = clauses.select(*C.KEY, "ord", "marks.*")
     if p["early_exit"]:
-        leaving = exit_terms(read).where("kind IN ('NOT_ALLOWED', 'UNTIL_END')").select(*C.KEY, F.lit(True).alias("stuck")).distinct()
-        told = told.join(leaving.hint("merge"), C.KEY, "left")
-    pointed = links.groupBy(*C.KEY).agg(F.bool_or(F.col("relation") == "OVERRIDES").alias("overrides"), F.bool_or((F.col("relation") == "OVERRIDDEN_BY") & says(F.col("excerpt"), V.SHIFTS_BURDEN)).alias("overridden"))
-    df = clauses.select(*C.KEY, "ord", "text").join(told.hint("merge"), C.KEY, "left").join(pointed.hint("merge"), C.KEY, "left")
+        leaving = exit_terms(C.with_facts(C.with_sentences(clauses))).where("kind IN ('NOT_ALLOWED', 'UNTIL_END')").select(*C.KEY, F.lit(True).alias("stuck")).distinct()
+        df = df.join(leaving.hint("merge"), C.KEY, "left")
+    of_kind = lambda relation: links.where(F.col("relation") == relation)
+    # what overrides a clause is read once for each wording; kept, as a pattern would be pushed below the distinct and to both sides of the join
+    shifting = settled(settled(of_kind("OVERRIDDEN_BY").select("excerpt").distinct()).withColumn("shifting", says(F.col("excerpt"), V.SHIFTS_BURDEN))).where("shifting").drop("shifting")
+    over = of_kind("OVERRIDES").select(*C.KEY, F.lit(True).alias("overrides"), F.lit(False).alias("overridden"))
+    under = of_kind("OVERRIDDEN_BY").join(shifting.hint("merge"), "excerpt", "left_semi").select(*C.KEY, F.lit(False).alias("overrides"), F.lit(True).alias("overridden"))
+    pointed = over.unionByName(under).groupBy(*C.KEY).agg(F.bool_or("overrides").alias("overrides"), F.bool_or("overridden").alias("overridden"))
+    df = df.join(pointed.hint("merge"), C.KEY, "left")
     of = Window.partitionBy("contract_id")
-    df = settled(df.withColumns({f"of_{k}": F.min_by(F.struct(F.col(k).alias("value"), "clause_id"), F.when(F.col(k).isNotNull(), F.struct("ord", "clause_id"))).over(of) for k in WHOLE}))
+    df = df.withColumns({f"of_{k}": F.min_by(F.struct(F.col(k).alias("value"), "clause_id"), F.when(F.col(k).isNotNull(), F.struct("ord", "clause_id"))).over(of) for k in WHOLE})
 
-    text = F.col("text")
     fact = F.col
     of_all = lambda k: F.col(f"of_{k}")
     defined_here = lambda k: of_all(k)["clause_id"] == F.col("clause_id")
-    any_sentence = lambda f: F.coalesce(F.exists("said", f), F.lit(False))
-    demanded = lambda s: F.filter(F.array(*(F.when(says(s, pattern), F.lit(kind)) for kind, pattern in V.SECURITY_KINDS.items())), lambda k: k.isNotNull())
-    refused = lambda s: F.array_except(demanded(s), F.array(*map(F.lit, p["accepted_securities"])).cast("array<string>"))
-    refuses = any_sentence(lambda s: says(s, V.DEMANDS_SECURITY) & (F.size(refused(s)) > 0) & (~says(s, V.OFFERS_CHOICE) | (F.size(refused(s)) == F.size(demanded(s)))))
     cap = rules.security_cap(of_all("MONTHLY_RENT")["value"], of_all("LEASE_TERM_MONTHS")["value"], fact("SECURITY_AMOUNT"))
     yes = lambda flag, c: c if flag else F.lit(False)
-    shifts = says(text, V.SHIFTS_BURDEN)
-    overrides = F.coalesce("overrides", F.lit(False)) & shifts
-    holds = {
+    overrides = F.coalesce("overrides", F.lit(False)) & F.col("shifts")
+    holds = {rule: F.col(rule) for rule in RULES if rule in df.columns} | {
         "SECURITY_CAP": ~cap["passed"],
         "URGENT_REPAIR": ~rules.urgent_repair(fact("URGENT_REPAIR_DAYS"), MOST_REPAIR_DAYS),
-        "PETS": yes(p["pets"], says(text, V.PETS_BARRED)),
         "BUDGET": defined_here("MONTHLY_RENT") & (of_all("MONTHLY_RENT")["value"] > p["max_rent"]),
-        "FURNITURE": yes(p["furnished"], says(text, V.UNFURNISHED)),
-        "SECURITY_KIND": refuses,
         "INCREASE": fact("RENT_INCREASE_PERCENT") > p["max_increase"],
         "LENGTH": yes(p["term"] is not None, defined_here("LEASE_TERM_MONTHS") & (of_all("LEASE_TERM_MONTHS")["value"] != (p["term"] or 0))),
-        "INDEXATION": yes(not p["accepts_indexation"], any_sentence(lambda s: says(s, V.RENT_INDEXED) & ~says(s, V.NOT_INDEXED))),
-        "BROKER_FEE": yes(not p["accepts_broker_fee"], any_sentence(lambda s: says(s, V.BROKER_FEE) & says(s, V.TENANT_PAYS))),
         "EARLY_EXIT": yes(p["early_exit"], F.coalesce(F.col("stuck"), F.lit(False)) if p["early_exit"] else None),
-        "RENEWAL": yes(p["renewal"], says(text, V.NO_RENEWAL)),
-        "ROOMMATES": yes(p["roommates"], any_sentence(lambda s: says(s, V.SUBLET_BARRED))),
         "ENTRY_NOTICE": yes(p["min_notice_hours"] is not None, F.col("entry_days") * 24 < (p["min_notice_hours"] or 0)),
         "REPAIR_TIME": fact("URGENT_REPAIR_DAYS") * 24 > p["repair_hours"],
-        "WAIVER": says(text, V.WAIVES_ALL),
-        "REALIZATION": says(text, V.REALIZES) & says(text, V.NO_NOTICE),
-        "ENTRY": says(text, V.ENTERS) & says(text, V.NO_COORDINATION),
-        "OWNER_CHARGES": says(text, V.OWNER_CHARGES),
         "SECURITY_RETURN": fact("SECURITY_RETURN_DAYS") > MOST_RETURN_DAYS,
-        "NO_REFUND": says(text, V.NO_REFUND) & says(text, V.SELF_REPAIR),
         "OVERRIDES": overrides,
         "OVERRIDDEN": ~overrides & F.coalesce("overridden", F.lit(False)),
     }
