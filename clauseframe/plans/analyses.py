@@ -49,7 +49,7 @@ def analyze(clauses: DataFrame, preferences: dict | None = None, items: tuple =
     clause's words alone is read once for each wording, see ``clauses.worded``."""
     asked, protect = preferences or {}, [rules.Item(*i) for i in items]
     masked = lambda words: redact.redact(words, redact.HEBREW).drop("redactions").withColumn("_left", redact.residual("text", redact.HEBREW, redact.RESIDUAL))
-    told = lambda read: verdicts.marked(read, asked).withColumn("hits", rules.hits("text", protect))
+    told = lambda read: links.with_told(verdicts.marked(read, asked).withColumn("hits", rules.hits("text", protect)))
     numbered, wordings = C.worded(clauses, masked, told)
     clean, held = redact.gate(numbered, key="contract_id")
     kept = settled(clean.where(F.length(F.trim(F.coalesce("text", F.lit("")))) >= least_chars))

@@ -88,3 +88,14 @@ def test_lone_edges_are_parts_of_their_own():
                 if a[0] == b[0] or a[1] == b[1]:
                     label[a] = label[b] = min(label[a], label[b])
         assert assignment.parts(i, j).tolist() == [label[e] for e in edges]
+
+
+def test_links_are_those_of_clauses_that_are_not_read(spark):
+    from clauseframe.plans import links
+
+    df = frame(spark)
+    plain = lambda d: sorted(map(str, links.candidates(d).collect()))
+    want, read = plain(df), C.read(df)
+    assert plain(read) == plain(links.with_told(read)) == want and len(want) > 5
+    done = analyses.analyze(df, WISHES)
+    assert "told" in done.wordings.columns and done.wordings.count() == len(TEXTS) + 1  # made once a wording
